@@ -238,6 +238,11 @@ def truncate_text(c, n: int = 35) -> Column:
 # ---------------------------------------------------------------------------
 # X12 character n-grams inside word boundaries
 # ---------------------------------------------------------------------------
+def _gram_at(padded: Column, n: int):
+    # one-argument lambda: a two-argument one would be handed the element index
+    return lambda i: F.substr(padded, i, F.lit(n))
+
+
 def char_wb_ngrams(c, n_min: int = 2, n_max: int = 4) -> Column:
     """n-grams of each blank-padded lower-cased word (the ``char_wb`` analyzer).
 
@@ -254,11 +259,8 @@ def char_wb_ngrams(c, n_min: int = 2, n_max: int = 4) -> Column:
         per_n = []
         for n in range(n_min, n_max + 1):
             short = F.array(padded) if n == n_min else empty
-            per_n.append(
-                F.when(L < n, short).otherwise(
-                    F.transform(F.sequence(F.lit(1), L - n + 1), lambda i, n=n: F.substr(padded, i, F.lit(n)))
-                )
-            )
+            per_n.append(F.when(L < n, short).otherwise(
+                F.transform(F.sequence(F.lit(1), L - n + 1), _gram_at(padded, n))))
         return F.concat(*per_n)
 
     return F.flatten(F.transform(words, grams_of))

@@ -54,3 +54,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Size-checked parallelism for CPU-heavy row-local work.
+
+    Repartitions (round-robin) only when the scan yields fewer partitions than the cluster
+    runs at once -- e.g. a small single-row-group file. A large input already arrives in many
+    splits, so at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
