@@ -103,3 +103,18 @@ def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFr
     from .wordjoin import dictionary_rewrite
     merged = LX.merge_dictionary(LX.dictionary_table(df.sparkSession, LX.roman_lookup()), dictionary)
     return dictionary_rewrite(df, col, out, merged)
+
+
+def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native",
+                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Left join each token to a dictionary table (src, dst); a miss keeps the token.
+
+    The dictionary is broadcast only when its row count is within ``max_broadcast_rows``
+    (checked with one count on the dictionary, never on the big side); otherwise Catalyst
+    plans a shuffle join on the token.
+    """
+    d = dictionary.select(F.col("src").alias("_vm_src"), F.col("dst").alias("_vm_dst"))
+    if d.count() <= max_broadcast_rows:
+        d = F.broadcast(d)
+    j = df.join(d, df[col] == d["_vm_src"], "left")
+    return j.withColumn(out, F.coalesce(F.col("_vm_dst"), F.col(col))).drop("_vm_src", "_vm_dst")
