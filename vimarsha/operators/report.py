@@ -219,10 +219,17 @@ def kpis(df: DataFrame, status: str = "status", label: str = "sentiment_label",
 
 def confidence_by(df: DataFrame, lang: str = "detected_language", label: str = "sentiment_label",
                   conf: str = "confidence_score", status: str = "status") -> DataFrame:
-    """Mean confidence per language x sentiment over processed rows; empty unless >1 language."""
-    ok_df = df.filter(F.col(status).isin("ok", "ok_with_warnings"))
-    g = ok_df.groupBy(lang, label).agg(F.avg(conf).alias("avg_confidence"))
-    n_lang = ok_df.agg(F.count_distinct(lang).alias("_langs"))
+    """Mean confidence per language x sentiment over processed rows; empty unless >1 language.
+
+    One pass: processed-only averages are conditional aggregates (a row filter on a derived
+    column would be pushed down and recompute it), and the language count is taken from the
+    small grouped result.
+    """
+    ok = F.col(status).isin("ok", "ok_with_warnings")
+    g = (df.groupBy(lang, label).agg(F.avg(F.when(ok, F.col(conf))).alias("avg_confidence"),
+                                     F.count_if(ok).alias("_ok"))
+         .filter("_ok > 0").drop("_ok"))
+    n_lang = g.agg(F.count_distinct(lang).alias("_langs"))
     return _with_total(g, n_lang).filter("_langs > 1").drop("_langs")
 
 
@@ -281,11 +288,15 @@ def quality_summary(df: DataFrame, score: str = "score", success: str = "success
 
 def quality_by_category(df: DataFrame, key: str = "category", score: str = "score",
                         backend: str = "backend") -> DataFrame:
-    """Mean score per category, best first; categories without scores dropped; backends used."""
-    g = df.filter(F.col(score).isNotNull()).groupBy(key).agg(
-        F.avg(score).alias("avg_score"), F.count("*").alias("n"),
-        F.array_sort(F.collect_set(backend)).alias("backends"))
-    return g.orderBy(F.desc("avg_score"), key)
+    """Mean score per category (by category); categories without scores dropped; backends used.
+
+    Conditional aggregates instead of a row filter, so a computed score is evaluated once.
+    """
+    has = F.col(score).isNotNull()
+    g = df.groupBy(key).agg(
+        F.avg(score).alias("avg_score"), F.count(score).alias("n"),
+        F.array_sort(F.collect_set(F.when(has, F.col(backend)))).alias("backends"))
+    return g.filter("n > 0").orderBy(key)
 
 
 # --------------------------------------------------------------------------- A30-A32

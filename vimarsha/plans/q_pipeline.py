@@ -32,8 +32,8 @@ def q_route_text(spark, sf):
 WITH a AS ({ANALYZE_SQL}), s AS (SELECT unnest(string_split(pipeline_steps, ', ')) AS step FROM a WHERE pipeline_steps <> '')
 SELECT step, count(*) AS n FROM s GROUP BY step""")
 def q_pipeline_steps(spark, sf):
-    a = analyzed(spark, sf).filter(F.col("pipeline_steps") != "")
-    return a.select(F.explode(F.split("pipeline_steps", ", ")).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+    steps = F.when(F.col("pipeline_steps") != "", F.split("pipeline_steps", ", ")).otherwise(F.array())
+    return analyzed(spark, sf).select(F.explode(steps).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
 
 
 @register("batch_counts", f"""

@@ -36,9 +36,8 @@ def r6(cols, digits=6):
 # --------------------------------------------------------------------------- flagship (entry)
 def detected_label_distribution(spark, sf):
     """analyze every document, then label counts and share per detected language."""
-    a = analyzed(spark, sf)
-    g = a.groupBy("detected_language", "sentiment_label").agg(F.count("*").alias("n"))
-    tot = a.groupBy("detected_language").agg(F.count("*").alias("total"))
+    g = analyzed(spark, sf).groupBy("detected_language", "sentiment_label").agg(F.count("*").alias("n"))
+    tot = g.groupBy("detected_language").agg(F.sum("n").alias("total"))  # from the small grouped table
     return (g.join(tot, "detected_language")
             .select("detected_language", "sentiment_label", "n",
                     F.round(F.col("n") / F.col("total"), 6).alias("share")))
