@@ -1 +1,110 @@
-"""Plans (filled in below)."""
+"""Plans for splits and learning operators (L1-L10, T11) on documents joined with labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ml as ML
+from .catalog import register, table
+from .views import docs
+
+_H = "((doc_id % 1000003) * 2654435761 + 16419) % 4294967296"
+_POLARITY = "CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END"
+
+
+def labelled(spark, sf, label_expr: str = _POLARITY):
+    d = docs(spark, sf, ("doc_id", "text"))
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    return d.join(lab, "doc_id").select("doc_id", "text", F.expr(label_expr).alias("label"))
+
+
+# --------------------------------------------------------------------------- L3 / J5
+@register("holdout_split", f"""
+SELECT doc_id, CASE WHEN {_H} % 10000 < 1000 THEN 'validation' ELSE 'train' END AS split FROM documents""")
+def q_holdout_split(spark, sf):
+    return ML.holdout_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.1, 42)
+
+
+# --------------------------------------------------------------------------- L10
+@register("prepare_polarity", f"""
+SELECT d.doc_id, d.text, l.quality::INTEGER AS label,
+       CASE WHEN {_H.replace('doc_id', 'd.doc_id')} % 10000 < 1000 THEN 'validation' ELSE 'train' END AS split
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def q_prepare_polarity(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text").join(
+        table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return ML.prepare_polarity(d, "text", "quality", "doc_id", 0.1, 42)
+
+
+# --------------------------------------------------------------------------- L2
+@register("stratified_split", f"""
+WITH x AS (SELECT d.doc_id, {_POLARITY} AS label, {_H.replace('doc_id', 'd.doc_id')} AS h
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+pl AS (SELECT label, count(*) AS n FROM x GROUP BY label),
+tot AS (SELECT sum(n) AS t FROM pl),
+q AS (SELECT label, floor(n * 0.2::DOUBLE) AS fl, n * 0.2::DOUBLE - floor(n * 0.2::DOUBLE) AS fr,
+             ceil(t * 0.2::DOUBLE) AS target FROM pl, tot),
+q2 AS (SELECT *, row_number() OVER (ORDER BY fr DESC, label) AS rk, target - sum(fl) OVER () AS lft FROM q),
+q3 AS (SELECT label, fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS quota FROM q2),
+r AS (SELECT x.*, row_number() OVER (PARTITION BY label ORDER BY h, doc_id) AS rn FROM x)
+SELECT doc_id, label, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN q3 USING (label)""")
+def q_stratified_split(spark, sf):
+    return ML.stratified_split(labelled(spark, sf).drop("text"), "doc_id", "label", 0.2, 42)
+
+
+# --------------------------------------------------------------------------- L1 (rows-only: fitted vocabulary)
+@register("tfidf_features")
+def q_tfidf_features(spark, sf):
+    lab = labelled(spark, sf)
+    model = ML.tfidf_pipeline_model(lab, "text")
+    f = ML.tfidf_features(lab, model, "text")
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return f.select("doc_id", F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"),
+                    F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v * v), 6).alias("sq_norm"))
+
+
+# --------------------------------------------------------------------------- L4-L8 (rows-only: fitted models)
+@register("bench_nb")
+def q_bench_nb(spark, sf):
+    return ML.benchmark_classifiers(labelled(spark, sf), "doc_id", "text", "label", ["naive_bayes"])
+
+
+@register("bench_lr")
+def q_bench_lr(spark, sf):
+    return ML.benchmark_classifiers(labelled(spark, sf), "doc_id", "text", "label", ["logistic_regression"])
+
+
+@register("bench_svm")
+def q_bench_svm(spark, sf):
+    return ML.benchmark_classifiers(labelled(spark, sf), "doc_id", "text", "label", ["linear_svm"])
+
+
+@register("classifier_benchmark")
+def q_classifier_benchmark(spark, sf):
+    return ML.benchmark_classifiers(labelled(spark, sf), "doc_id", "text", "label")
+
+
+@register("benchmark_suite")
+def q_benchmark_suite(spark, sf):
+    tox = "CASE WHEN toxic = 1 THEN 'Negative' ELSE 'Positive' END"
+    return ML.benchmark_suite({
+        "documents_quality": (labelled(spark, sf), "doc_id", "text", "label"),
+        "documents_toxicity": (labelled(spark, sf, tox), "doc_id", "text", "label"),
+    }, ["naive_bayes", "logistic_regression"])
+
+
+# --------------------------------------------------------------------------- L9 / T11
+@register("train_sentiment")
+def q_train_sentiment(spark, sf):
+    _model, _labels, metrics = ML.train_sentiment(labelled(spark, sf), "doc_id", "text", "label")
+    return metrics
+
+
+@register("score_sentiment")
+def q_score_sentiment(spark, sf):
+    model, labels, _ = ML.train_sentiment(labelled(spark, sf), "doc_id", "text", "label")
+    scorer = ML.TextModelScorer(model, labels)
+    s = scorer.score(docs(spark, sf), "text")
+    return s.select("doc_id", F.col("sentiment.label").alias("label"),
+                    F.round("sentiment.confidence", 6).alias("confidence"))
