@@ -58,3 +58,19 @@ def q_validate_text(spark, sf):
         (F.lit(-1) - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"),
         F.when(F.col("role") == "system", F.lit(None).cast("string")).otherwise(F.col("text")).alias("text"))
     return validate_text(d.unionByName(c), "text").select("doc_id", "skip_reason")
+
+
+# --------------------------------------------------------------------------- R1 / R2 (structured streaming)
+@register("analyze_stream", ANALYZE_SQL)
+def q_analyze_stream(spark, sf):
+    from ..streaming.stream import analyze_stream, read_stream, run_to_table
+    sdf = read_stream(spark, f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    return run_to_table(analyze_stream(sdf, "text", keep=["doc_id"]), mode="append")
+
+
+@register("running_counts", f"""
+WITH a AS ({ANALYZE_SQL}) SELECT status, count(*) AS n FROM a GROUP BY 1""")
+def q_running_counts(spark, sf):
+    from ..streaming.stream import read_stream, run_to_table, running_counts
+    sdf = read_stream(spark, f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    return run_to_table(running_counts(sdf), mode="complete")
