@@ -80,7 +80,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             cols.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    df.select(*cols).write.mode(mode).option("header", True).csv(path)
+    (df.select(*cols).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .csv(path))
 
 
 def write_report(df: DataFrame, path: str, alias: str | None = None) -> None:
