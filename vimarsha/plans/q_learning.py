@@ -108,3 +108,39 @@ def q_score_sentiment(spark, sf):
     s = scorer.score(docs(spark, sf), "text")
     return s.select("doc_id", F.col("sentiment.label").alias("label"),
                     F.round("sentiment.confidence", 6).alias("confidence"))
+
+
+# --------------------------------------------------------------------------- T3 language-ID signal
+def _wb(n_min, n_max):
+    from .q_text import _wb_sql
+    return _wb_sql("text", n_min, n_max)
+
+
+@register("langid_profile", f"""
+WITH g AS (SELECT lang, unnest({_wb(1, 3)}) AS gram FROM documents WHERE lang IS NOT NULL)
+SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL""")
+def q_langid_profile(spark, sf):
+    from ..operators.langid import ngram_counts
+    return ngram_counts(docs(spark, sf, ("doc_id", "text", "lang")), "text", "lang", 1, 3)
+
+
+def _langid_scored(spark, sf):
+    from ..operators.langid import fit_langid, langid_scores
+    d = docs(spark, sf, ("doc_id", "text", "lang"))
+    train = ML.holdout_split(d, "doc_id", 0.2, 7).filter("split = 'train'")
+    model = fit_langid(train, "text", "lang")
+    return langid_scores(d, "doc_id", model, "text")
+
+
+@register("langid_top")
+def q_langid_top(spark, sf):
+    s = _langid_scored(spark, sf)
+    return s.select("doc_id", "lang", F.col("langid_lang").alias("predicted"),
+                    F.round("langid_prob", 6).alias("prob"))
+
+
+@register("detect_with_langid")
+def q_detect_with_langid(spark, sf):
+    from ..operators.detect import detect_language
+    d = detect_language(_langid_scored(spark, sf), "text", langid=("langid_lang", "langid_prob"))
+    return d.groupBy("lang", F.col("detection.language").alias("language")).agg(F.count("*").alias("n"))
