@@ -60,3 +60,12 @@ def test_unknown_words_and_emoji_sentence(spark):
 def test_custom_dictionary_overrides(spark):
     out = _tl(spark, ["tumba blorp"], dictionary={"BLORP": "ಬ್ಲಾರ್ಪ್", "tumba": "ತುಂ"})
     assert out[0].transliterated == "ತುಂ ಬ್ಲಾರ್ಪ್"
+
+
+def test_join_path_equals_inline(spark):
+    texts = ["tumba chennagide", "TUMBA  CHENNAGIDE, olle!", "xyz 1234 ನಮಸ್ಕಾರ", "", "  ", "yenu? blorp"]
+    added = spark.createDataFrame([("BLORP", "ಬ್ಲಾರ್ಪ್")], "src string, dst string")
+    df = one_col(spark, texts)
+    joined = {r.id: r.transliteration for r in transliterate(df, dictionary=added, key="id").collect()}
+    inline = {r.id: r.transliteration for r in transliterate(df, dictionary={"blorp": "ಬ್ಲಾರ್ಪ್"}).collect()}
+    assert joined == inline

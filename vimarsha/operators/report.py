@@ -317,3 +317,47 @@ def batch_counts(df: DataFrame, status: str = "status") -> DataFrame:
     s = F.col(status)
     return df.agg(F.count_if(s.isin("ok", "ok_with_warnings")).alias("ok"), F.count_if(s == "error").alias("error"),
                   F.count_if(s == "skipped").alias("skipped"))
+
+
+# --------------------------------------------------------------------------- T17
+def _as_array(df: DataFrame, name: str) -> DataFrame:
+    """A small section table folded into one row: array of its rows (sections are bounded)."""
+    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+
+
+def _as_struct(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.struct(*df.columns).alias(name))
+
+
+def evaluation_document(evaluated: DataFrame, analyzed: DataFrame | None = None,
+                        key: str = "script_type") -> DataFrame:
+    """One row holding every report section as structs / arrays plus its JSON text.
+
+    Each section is a grouped aggregate (bounded by labels, groups or k), folded into one row and
+    joined on a constant key; ``document`` is ``to_json`` of all of them (write it with S6).
+    """
+    from . import metrics as M
+    ev = evaluated.withColumn("correct", F.col("ground_truth").eqNullSafe(F.col("predicted_label")))
+    sections = [
+        _as_struct(M.f1_summary(ev), "overall"),
+        _as_array(M.per_class_metrics(ev), "per_class"),
+        _as_array(M.metrics_by(ev, key), "per_script"),
+        _as_array(M.confusion_matrix(ev), "confusion_matrix"),
+        _as_array(label_balance(ev), "label_balance"),
+        _as_array(accuracy_by(ev, "product_category"), "accuracy_by_category"),
+        _as_array(misprediction_pairs(ev), "misprediction_pairs"),
+        _as_array(top_messages(ev), "top_messages"),
+        _as_array(error_rate_by(ev, key), "error_rate_by_script"),
+        _as_array(confidence_by_outcome(ev), "confidence_by_outcome"),
+        _as_array(box_summary(ev, "confidence_score", "predicted_label"), "confidence_box"),
+        _as_array(value_counts(ev, "ground_truth"), "ground_truth_distribution"),
+    ]
+    if analyzed is not None:
+        sections += [_as_struct(kpis(analyzed), "kpis"),
+                     _as_array(value_counts(analyzed, "detected_language"), "detected_languages")]
+    doc = None
+    for s in sections:
+        s = s.withColumn("_one", F.lit(1))
+        doc = s if doc is None else doc.join(s, "_one")
+    doc = doc.drop("_one")
+    return doc.withColumn("document", F.to_json(F.struct(*doc.columns)))

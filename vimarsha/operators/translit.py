@@ -26,7 +26,7 @@ RESULT_TYPE = ("struct<original:string,transliterated:string,"
                "word_mappings:array<struct<src:string,dst:string>>,method:string,success:boolean>")
 
 
-def _word_result(t: Column, lookup: dict[str, str], scheme_map: Column | None) -> Column:
+def _word_result(t: Column, lookup: dict[str, str], scheme_map: Column | None = None) -> Column:
     low = F.lower(t)
     stripped = X.rstrip_punct(low)
     exact = LX.lookup_expr(low, lookup)
@@ -72,37 +72,27 @@ def _finish(c: Column, per_token: Column) -> Column:
 
 
 def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration",
-                  dictionary: dict[str, str] | DataFrame | None = None,
-                  scheme: bool = False) -> DataFrame:
-    """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries.
-
-    ``scheme=True`` adds the rule-based spelling of out-of-vocabulary words (T7), computed once
-    per distinct word and joined back.
+                  dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries (T6): a dict is
+    inlined; a DataFrame (src, dst) -- or a dict beyond ``INLINE_LIMIT`` entries -- is merged over
+    the defaults and applied through joins (``key`` names a unique row key for that path).
     """
     lookup = LX.roman_lookup()
     if isinstance(dictionary, dict):
         lookup = LX.roman_lookup(dictionary)
     elif dictionary is not None:
-        return _transliterate_by_join(df, col, out, dictionary)
+        return _transliterate_by_join(df, col, out, dictionary, key)
     if len(lookup) > LX.INLINE_LIMIT:
-        return _transliterate_by_join(df, col, out, LX.dictionary_table(df.sparkSession, lookup))
-    scheme_map = None
-    if scheme:
-        from .scheme import scheme_vocabulary  # distinct OOV words -> spelling
-        return scheme_vocabulary(df, col, out, lookup)
-    tmp = df.withColumn("_vm_tok", transliteration_expr(col, lookup, scheme_map))
+        return _transliterate_by_join(df, col, out, LX.dictionary_table(df.sparkSession, lookup), key)
+    tmp = df.withColumn("_vm_tok", transliteration_expr(col, lookup))
     return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_tok"))).drop("_vm_tok")
 
 
-def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame) -> DataFrame:
-    """Large dictionary: look up each *distinct* lower-cased word once, then rebuild per row.
-
-    The dictionary table is merged over the defaults (T6), its size is checked before it is
-    broadcast, and texts are rebuilt from (row key, position) without collecting anything.
-    """
+def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None) -> DataFrame:
+    """Large dictionary: look up each *distinct* lower-cased word once, then rebuild per row."""
     from .wordjoin import dictionary_rewrite
     merged = LX.merge_dictionary(LX.dictionary_table(df.sparkSession, LX.roman_lookup()), dictionary)
-    return dictionary_rewrite(df, col, out, merged)
+    return dictionary_rewrite(df, col, out, merged, key)
 
 
 def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native",

@@ -517,3 +517,55 @@ def q_dictionary_merge(spark, sf):
 
 
 _ = rating_to_sentiment
+
+
+# --------------------------------------------------------------------------- T6 + J1 at scale: dictionary as a table
+@register("transliterate_by_join", f"""
+WITH {_DICT_SQL}, {_ADDED_SQL},
+merged AS (SELECT src, dst FROM added UNION ALL SELECT word, expected FROM dict WHERE word NOT IN (SELECT src FROM added)),
+tk AS (SELECT doc_id, {S.tokens_ws('text')} AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk),
+u AS (SELECT *, lower(tok) AS low, {S.rstrip_punct('lower(tok)')} AS stem,
+             NOT regexp_matches(tok, '{S.NON_WS}') AS ws,
+             regexp_matches(tok, '{S.KANNADA}') OR NOT regexp_matches(tok, '\\pL') AS pass FROM t),
+v AS (SELECT u.*, e.dst AS ex, s.dst AS st FROM u LEFT JOIN merged e ON u.low = e.src LEFT JOIN merged s ON u.stem = s.src),
+w AS (SELECT doc_id, pos,
+        CASE WHEN ws OR pass THEN tok WHEN ex IS NOT NULL THEN ex
+             WHEN st IS NOT NULL THEN st || substr(low, length(stem) + 1) ELSE tok END AS dst,
+        NOT ws AND NOT pass AND (ex IS NOT NULL OR st IS NOT NULL) AS hit FROM v)
+SELECT doc_id, string_agg(dst, '' ORDER BY pos) AS transliterated,
+       CASE WHEN bool_or(hit) THEN 'fallback' ELSE 'unchanged' END AS method FROM w GROUP BY doc_id""")
+def q_transliterate_by_join(spark, sf):
+    b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
+    toks = b.select(F.explode(X.split_ws(X.py_strip("text"))).alias("tok"))
+    added = (toks.filter((F.length("tok") >= 12) & ~F.col("tok").rlike("[^A-Za-z]"))
+             .select(F.lower("tok").alias("src"), F.upper("tok").alias("dst")).distinct())
+    t = transliterate(docs(spark, sf), dictionary=added, key="doc_id")
+    return t.select("doc_id", "transliteration.transliterated", "transliteration.method")
+
+
+# --------------------------------------------------------------------------- T10 translation memories
+_MEMORY_SQL = f"""tl AS (SELECT d.doc_id, d.text, {S.transliterated('d.text')} AS src FROM documents d),
+mem AS (SELECT {S.strip('tl.src')} AS k, min('[memory] ' || {S.translated_text('tl.src')}) AS tr
+        FROM tl JOIN labels l ON tl.doc_id = l.doc_id GROUP BY 1)"""
+
+
+@register("translate_with", f"""
+WITH {_MEMORY_SQL}
+SELECT tl.doc_id, CASE WHEN {S.is_blank('tl.src')} THEN tl.src ELSE coalesce(mem.tr, {S.translated_text('tl.src')}) END
+         AS translated,
+       CASE WHEN mem.tr IS NOT NULL THEN 'memory' ELSE 'fallback' END AS backend
+FROM tl LEFT JOIN mem ON {S.strip('tl.src')} = mem.k""")
+def q_translate_with(spark, sf):
+    from ..operators.translate import translate_with
+    t = transliterate(docs(spark, sf)).select("doc_id", F.col("transliteration.transliterated").alias("src"))
+    reviewed = t.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    memory = reviewed.select(F.col("src").alias("source_text"),
+                             F.concat(F.lit("[memory] "), translated_text("src")).alias("translated_text"))
+    return translate_with(t, "src", [("memory", memory)]).select("doc_id", "translated", "backend")
+
+
+# --------------------------------------------------------------------------- T17 evaluation document
+@register("evaluation_document")
+def q_evaluation_document(spark, sf):
+    return R.evaluation_document(rv(spark, sf, text=True), analyzed(spark, sf))
