@@ -217,14 +217,26 @@ def token_overlap(a, b) -> Column:
     return F.size(F.array_intersect(lower_word_set(a), lower_word_set(b)))
 
 
-def similarity_score(translated, expected) -> Column:
-    """overlap / |expected words| * 5 clamped to [1, 5]; 0.0 when expected has no words."""
-    exp_words = lower_word_set(expected)
+def similarity_from_sets(got_words: Column, exp_words: Column) -> Column:
     n = F.size(exp_words)
-    ratio = F.size(F.array_intersect(lower_word_set(translated), exp_words)).cast("double") / n
+    ratio = F.size(F.array_intersect(got_words, exp_words)).cast("double") / n
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.greatest(ratio * 5.0, F.lit(1.0)), F.lit(5.0)))
 
 
+def similarity_score(translated, expected) -> Column:
+    """overlap / |expected words| * 5 clamped to [1, 5]; 0.0 when expected has no words.
+
+    For large texts prefer :func:`with_similarity`, which builds each word set once.
+    """
+    return similarity_from_sets(lower_word_set(translated), lower_word_set(expected))
+
+
+def with_similarity(df, translated: str, expected: str, out: str = "score"):
+    """Adds ``out``; the two word sets are materialised as columns first so each is built once."""
+    tmp = df.withColumns({"_vm_ws_a": lower_word_set(translated), "_vm_ws_e": lower_word_set(expected)})
+    return tmp.withColumn(out, similarity_from_sets(F.col("_vm_ws_a"), F.col("_vm_ws_e"))).drop("_vm_ws_a", "_vm_ws_e")
+
+
 def word_count(c) -> Column:
     s = py_strip(col_(c))
     return F.when(s == "", F.lit(0)).otherwise(F.size(split_ws(s)))
@@ -264,3 +276,13 @@ def char_wb_ngrams(c, n_min: int = 2, n_max: int = 4) -> Column:
         return F.concat(*per_n)
 
     return F.flatten(F.transform(words, grams_of))
+
+
+def explode_rows(df, arr, alias: str, *keep):
+    """``explode`` that keeps expensive array expressions from being computed twice.
+
+    A plain ``explode`` makes Catalyst infer ``size(arr) > 0`` and push it below projections (and
+    below a round-robin repartition), where the array is built a second time. ``explode_outer``
+    infers nothing; the NULL row it yields for an empty array is dropped on the generated column.
+    """
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).filter(F.col(alias).isNotNull())

@@ -37,7 +37,7 @@ class LangIdModel:
 
 def ngram_counts(df: DataFrame, text: str, lang: str, n_min: int = 1, n_max: int = 3) -> DataFrame:
     """(lang, gram, n): n-gram frequencies per language."""
-    g = df.select(lang, F.explode(X.char_wb_ngrams(text, n_min, n_max)).alias("gram"))
+    g = X.explode_rows(df, X.char_wb_ngrams(text, n_min, n_max), "gram", lang)
     return g.groupBy(lang, "gram").agg(F.count("*").alias("n"))
 
 
@@ -59,7 +59,7 @@ def langid_scores(df: DataFrame, key: str, model: LangIdModel, text: str = "text
     """Adds the top language and its probability to every row (rows with no text get NULL)."""
     grams = df.select(key, X.char_wb_ngrams(text, model.n_min, model.n_max).alias("_g"))
     sizes = grams.select(key, F.size("_g").alias("_N"))
-    per_gram = grams.select(key, F.explode("_g").alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("_c"))
+    per_gram = X.explode_rows(grams, F.col("_g"), "gram", key).groupBy(key, "gram").agg(F.count("*").alias("_c"))
     prof = model.profile
     if model.profile_rows <= MAX_BROADCAST_PROFILE_ROWS:
         prof = F.broadcast(prof)

@@ -89,23 +89,32 @@ def prepare_polarity(df: DataFrame, text: str, label: str, key: str, frac: float
 # ---------------------------------------------------------------------------
 # features (L1)
 # ---------------------------------------------------------------------------
-def tfidf_pipeline_model(train: DataFrame, text: str = "text", min_df: float = 2.0,
-                         max_features: int = 50000) -> PipelineModel:
+def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 2.0, max_features: int = 50000,
+              keep: list[str] | None = None) -> tuple[PipelineModel, DataFrame]:
     """char_wb 2-4 grams -> counts (min_df, top max_features by corpus frequency) -> smoothed IDF
     ln((1+n)/(1+df)) + 1 -> L2 normalisation.
 
-    Spark's IDF omits the +1, so the fitted IDF vector is shifted by one and applied with an
-    ElementwiseProduct stage; the whole thing is one PipelineModel.
+    Two passes over the training text: the vocabulary fit, then one transform whose term counts
+    are persisted; IDF and the training features are derived from those cached counts. Spark's
+    IDF omits the +1, so the fitted IDF vector is shifted by one and applied with an
+    ElementwiseProduct stage. Returns (model, training features with ``keep`` columns).
     """
-    grams = train.withColumn("_vm_grams", X.char_wb_ngrams(text))
-    cv = CountVectorizer(inputCol="_vm_grams", outputCol="_vm_tf", minDF=min_df, vocabSize=max_features)
-    cv_model = cv.fit(grams)
-    tf = cv_model.transform(grams)
+    keep = list(keep or [])
+    grams = train.select(*keep, X.char_wb_ngrams(text).alias("_vm_grams"))
+    cv_model = CountVectorizer(inputCol="_vm_grams", outputCol="_vm_tf", minDF=min_df, vocabSize=max_features).fit(grams)
+    tf = cv_model.transform(grams).select(*keep, "_vm_tf").persist()
     idf_model = IDF(inputCol="_vm_tf", outputCol="_vm_unused").fit(tf)
     shifted = Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()])
     scale = ElementwiseProduct(scalingVec=shifted, inputCol="_vm_tf", outputCol="_vm_tfidf")
     norm = Normalizer(inputCol="_vm_tfidf", outputCol="features", p=2.0)
-    return PipelineModel(stages=[cv_model, scale, norm])
+    model = PipelineModel(stages=[cv_model, scale, norm])
+    feats = norm.transform(scale.transform(tf)).select(*keep, "features")
+    return model, feats
+
+
+def tfidf_pipeline_model(train: DataFrame, text: str = "text", min_df: float = 2.0,
+                         max_features: int = 50000) -> PipelineModel:
+    return fit_tfidf(train, text, min_df, max_features)[0]
 
 
 def tfidf_features(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
@@ -153,13 +162,12 @@ def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
         if c not in CLASSIFIERS:
             raise ValueError(f"Unknown classifier: {c}")
     clean = df.select(key, text, F.col(label).cast("string").alias("label")).dropna(subset=[text, "label"])
-    split = stratified_split(clean, key, "label", test_frac, seed)
+    split = stratified_split(clean, key, "label", test_frac, seed).persist()  # read 4x below: compute once
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(split)
     labels = list(indexer.labels)
     train = indexer.transform(split.filter(F.col("split") == "train"))
     test = indexer.transform(split.filter(F.col("split") == "test"))
-    feats = tfidf_pipeline_model(train, text)
-    train_f = tfidf_features(train, feats, text).select(key, "label", "label_idx", "features")
+    feats, train_f = fit_tfidf(train, text, keep=[key, "label", "label_idx"])
     n_train = train_f.count()
     train_f = compact_for_iterations(train_f, n_train).cache()
     test_f = tfidf_features(test, feats, text).select(key, "label", "label_idx", "features").cache()
@@ -210,8 +218,7 @@ def train_sentiment(df: DataFrame, key: str, text: str, label: str, path: str |
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(split)
     labels = list(indexer.labels)
     train = indexer.transform(split.filter(F.col("split") == "train"))
-    feats = tfidf_pipeline_model(train, "text")
-    train_f = tfidf_features(train, feats, "text")
+    feats, train_f = fit_tfidf(train, "text", keep=["label", "label_idx"])
     n_train = train_f.count()
     train_f = compact_for_iterations(train_f, n_train).cache()
     clf = build_classifier(classifier, n_train, len(labels)).fit(train_f)

@@ -31,7 +31,7 @@ from ..sources.columns import resolve_text_column
 from .detect import detect_language
 from .score import LexiconScorer
 from .translate import translated_text
-from .translit import _finish, transliteration_expr
+from .translit import transliterated_text
 
 RESULT_COLUMNS = [
     "original_text", "detected_language", "detection_confidence", "transliterated_text",
@@ -49,7 +49,7 @@ def route(df: DataFrame, text_col: str, lang_col: str = "_vm_lang",
     c, lang = F.col(text_col), F.col(lang_col)
     is_rom = lang == "romanized_kannada"
     is_kn = lang == "kannada_script"
-    translit = F.when(is_rom, _finish(c, transliteration_expr(c, rl))["transliterated"])
+    translit = F.when(is_rom, transliterated_text(c, rl))
     out = df.withColumn("_vm_translit", translit)
     translated = (F.when(is_kn, translated_text(c, nl))
                   .when(is_rom, translated_text(F.col("_vm_translit"), nl)))

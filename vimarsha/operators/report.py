@@ -170,7 +170,7 @@ def misprediction_pairs(df: DataFrame, truth: str = "ground_truth", pred: str =
 def top_messages(df: DataFrame, errors: str = "errors", correct: str = "correct", k: int = 5) -> DataFrame:
     """Messages of wrong rows, split on ';', trimmed, blanks dropped; top k by count."""
     wrong = df.filter(~F.col(correct) & (F.length(errors) > 0))
-    parts = wrong.select(F.explode(F.split(errors, ";")).alias("_p")).select(X.py_strip("_p").alias("message"))
+    parts = X.explode_rows(wrong, F.split(errors, ";"), "_p").select(X.py_strip("_p").alias("message"))
     return top_k(parts.filter(F.col("message") != ""), "message", k, "count")
 
 
@@ -266,7 +266,7 @@ def translit_error_patterns(pairs: DataFrame, inp: str = "input", got: str = "go
 def char_frequency(df: DataFrame, col: str, k: int = 15, letters_only: bool = True) -> DataFrame:
     """Top-k characters of the lower-cased text (letters only by default)."""
     pat = r"(\p{L})" if letters_only else r"(?s)(.)"
-    chars = df.select(F.explode(F.regexp_extract_all(F.lower(col), F.lit(pat), 1)).alias("char"))
+    chars = X.explode_rows(df, F.regexp_extract_all(F.lower(col), F.lit(pat), 1), "char")
     return top_k(chars, "char", k, "count")
 
 

@@ -23,8 +23,13 @@ from ..functions import lexicon as LX
 from ..functions import text as X
 
 
+_PUNCT = list(FV.TRAILING_PUNCT)
+
+
 def translate_word(w: Column, lookup: dict[str, str]) -> Column:
-    clean = X.strip_punct(w)
+    # the strip regex only runs for words that start or end with a mark
+    edged = F.substring(w, 1, 1).isin(_PUNCT) | F.substring(w, -1, 1).isin(_PUNCT)
+    clean = F.when(edged, X.strip_punct(w)).otherwise(w)
     hit = LX.lookup_expr(clean, lookup)
     return F.coalesce(F.concat(hit, F.substr(w, F.length(clean) + 1)), w)
 

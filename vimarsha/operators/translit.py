@@ -5,10 +5,9 @@ Per token (runs of whitespace pass through untouched and are not recorded):
 * contains a Kannada character, or has no letter -> unchanged
 * dictionary, case-insensitive exact key; else the key with trailing ``.,!?;:`` removed, the
   removed part re-attached -> ``fallback``
-* optional rule scheme for out-of-vocabulary words (T7) -> ``scheme``
 * else unchanged
 
-Overall method: scheme+fallback -> mixed, scheme, fallback, else unchanged.
+Overall method: fallback when any word was found, else unchanged.
 
 The dictionary is a literal map inside the expression when it is small (the default 165 keys);
 larger user dictionaries are joined on the *distinct* vocabulary with a size-checked broadcast.
@@ -16,61 +15,77 @@ larger user dictionaries are joined on the *distinct* vocabulary with a size-che
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as FV
 from ..functions import lexicon as LX
 from ..functions import text as X
 
 RESULT_TYPE = ("struct<original:string,transliterated:string,"
                "word_mappings:array<struct<src:string,dst:string>>,method:string,success:boolean>")
+_PUNCT = list(FV.TRAILING_PUNCT)
 
 
-def _word_result(t: Column, lookup: dict[str, str], scheme_map: Column | None = None) -> Column:
-    low = F.lower(t)
-    stripped = X.rstrip_punct(low)
-    exact = LX.lookup_expr(low, lookup)
-    by_stem = F.concat(LX.lookup_expr(stripped, lookup), F.substr(low, F.length(stripped) + 1))
-    passthrough = X.has_native(t) | ~t.rlike(r"\p{L}")
-    dst = F.when(passthrough, t).when(exact.isNotNull(), exact).when(by_stem.isNotNull(), by_stem)
-    method = (F.when(passthrough, "unchanged").when(exact.isNotNull() | by_stem.isNotNull(), "fallback"))
-    if scheme_map is not None:
-        sch = F.try_element_at(scheme_map, low)
-        dst = dst.when(sch.isNotNull(), sch)
-        method = method.when(sch.isNotNull(), "scheme")
-    return F.struct(t.alias("src"), dst.otherwise(t).alias("dst"), method.otherwise("unchanged").alias("method"))
+def _keys_imply_word(lookup: dict[str, str]) -> bool:
+    """True when every key is ASCII, blank-free and has a letter: then a hit already implies the
+    token has a letter and no Kannada character, so those per-token checks can be skipped."""
+    return all(k.isascii() and re.search("[A-Za-z]", k) and not re.search(r"\s", k) for k in lookup)
 
 
-def transliteration_expr(c, lookup: dict[str, str] | None = None, scheme_map: Column | None = None) -> Column:
-    """struct(original, transliterated, word_mappings, method, success) for one text column."""
-    c = X.col_(c)
-    lookup = lookup if lookup is not None else LX.roman_lookup()
-    per_token = F.transform(
-        X.tokens_ws(c),
-        lambda t: F.when(X.is_ws_token(t), F.struct(t.alias("src"), t.alias("dst"),
-                                                    F.lit(None).cast("string").alias("method")))
-        .otherwise(_word_result(t, lookup, scheme_map)),
-    )
-    return per_token
+def token_hits(tokens: Column, lookup: dict[str, str]) -> Column:
+    """Per token: the dictionary spelling, or NULL when the token stays as it is.
+
+    Exact lower-cased key first, then the key without trailing ``.,!?;:`` with that part
+    re-attached (the regex strip only runs for tokens that end in such a mark).
+    """
+    fast = _keys_imply_word(lookup)
+
+    def hit(t):
+        low = F.lower(t)
+        stem = X.rstrip_punct(low)
+        by_stem = F.when(F.substring(low, -1, 1).isin(_PUNCT),
+                         F.concat(LX.lookup_expr(stem, lookup), F.substr(low, F.length(stem) + 1)))
+        h = F.coalesce(LX.lookup_expr(low, lookup), by_stem)
+        if not fast:
+            h = F.when(~X.has_native(t) & t.rlike(r"\p{L}") & ~X.is_ws_token(t), h)
+        return h
 
+    return F.transform(tokens, hit)
 
-def _finish(c: Column, per_token: Column) -> Column:
-    words = F.filter(per_token, lambda m: m["method"].isNotNull())
-    has = lambda name: F.exists(words, lambda m: m["method"] == name)
-    method = (F.when(has("scheme") & has("fallback"), "mixed").when(has("scheme"), "scheme")
-              .when(has("fallback"), "fallback").otherwise("unchanged"))
+
+def _finish(c: Column, tokens: Column, hits: Column) -> Column:
+    """Result struct from the token list and the per-token hits.
+
+    Tokens alternate between blank runs and words, so a token's kind follows from its position
+    and from whether the text starts with a blank.
+    """
+    first_ws = F.coalesce(c.rlike(f"^{X.WS}"), F.lit(False))
+    is_word = lambda i: (F.pmod(i, F.lit(2)) == 0) != first_ws
+    pairs = F.zip_with(tokens, hits, lambda t, h: F.struct(t.alias("src"), F.coalesce(h, t).alias("dst")))
     blank = X.is_blank(c)
     empty = F.array().cast("array<struct<src:string,dst:string>>")
     return F.struct(
         c.alias("original"),
-        F.when(blank, c).otherwise(F.array_join(F.transform(per_token, lambda m: m["dst"]), "")).alias("transliterated"),
-        F.when(blank, empty).otherwise(
-            F.transform(words, lambda m: F.struct(m["src"].alias("src"), m["dst"].alias("dst")))).alias("word_mappings"),
-        F.when(blank, F.lit("unchanged")).otherwise(method).alias("method"),
+        F.when(blank, c).otherwise(F.array_join(F.transform(pairs, lambda m: m["dst"]), "")).alias("transliterated"),
+        F.when(blank, empty).otherwise(F.filter(pairs, lambda m, i: is_word(i))).alias("word_mappings"),
+        F.when(blank | ~F.exists(hits, lambda h: h.isNotNull()), F.lit("unchanged"))
+         .otherwise(F.lit("fallback")).alias("method"),
         F.lit(True).alias("success"),
     )
 
 
+def transliterated_text(c, lookup: dict[str, str] | None = None) -> Column:
+    """Only the transliterated string (no mappings): what routing needs."""
+    c = X.col_(c)
+    lookup = lookup if lookup is not None else LX.roman_lookup()
+    toks = X.tokens_ws(c)
+    joined = F.array_join(F.zip_with(toks, token_hits(toks, lookup), lambda t, h: F.coalesce(h, t)), "")
+    return F.when(X.is_blank(c), c).otherwise(joined)
+
+
 def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration",
                   dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries (T6): a dict is
@@ -84,8 +99,9 @@ def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration"
         return _transliterate_by_join(df, col, out, dictionary, key)
     if len(lookup) > LX.INLINE_LIMIT:
         return _transliterate_by_join(df, col, out, LX.dictionary_table(df.sparkSession, lookup), key)
-    tmp = df.withColumn("_vm_tok", transliteration_expr(col, lookup))
-    return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_tok"))).drop("_vm_tok")
+    tmp = df.withColumn("_vm_toks", X.tokens_ws(col))
+    tmp = tmp.withColumn("_vm_hits", token_hits(F.col("_vm_toks"), lookup))
+    return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.col("_vm_hits"))).drop("_vm_toks", "_vm_hits")
 
 
 def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None) -> DataFrame:

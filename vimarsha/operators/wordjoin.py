@@ -35,17 +35,16 @@ def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame,
     stem = d.select(F.col("_k").alias("_stem"), F.col("_v").alias("_by_stem"))
     looked = vocab.join(exact, "_low", "left").join(stem, "_stem", "left")
     t = toks.join(looked, ["_low", "_stem"], "left")
-    passthrough = X.has_native("tok") | ~F.col("tok").rlike(r"\p{L}")
+    passthrough = F.col("_ws") | X.has_native("tok") | ~F.col("tok").rlike(r"\p{L}")
     by_stem = F.concat(F.col("_by_stem"), F.substr(F.col("_low"), F.length("_stem") + 1))
-    dst = (F.when(F.col("_ws") | passthrough, F.col("tok")).when(F.col("_exact").isNotNull(), F.col("_exact"))
-           .when(F.col("_by_stem").isNotNull(), by_stem).otherwise(F.col("tok")))
-    method = (F.when(F.col("_ws"), F.lit(None).cast("string")).when(passthrough, "unchanged")
-              .when(F.col("_exact").isNotNull() | F.col("_by_stem").isNotNull(), "fallback").otherwise("unchanged"))
-    t = t.select(key, "pos", F.struct(F.col("tok").alias("src"), dst.alias("dst"), method.alias("method")).alias("m"))
-    rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_ms"))
-    rebuilt = rebuilt.select(key, F.transform("_ms", lambda x: x["m"]).alias("_vm_tok"))
+    hit = F.when(~passthrough, F.coalesce(F.col("_exact"), by_stem))
+    t = t.select(key, "pos", "tok", hit.alias("hit"))
+    rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "hit"))).alias("_ms"))
+    rebuilt = rebuilt.select(key, F.transform("_ms", lambda x: x["tok"]).alias("_vm_toks"),
+                             F.transform("_ms", lambda x: x["hit"]).alias("_vm_hits"))
     from .translit import _finish
-    j = df.join(rebuilt, key, "left").withColumn(
-        "_vm_tok", F.coalesce("_vm_tok", F.array().cast("array<struct<src:string,dst:string,method:string>>")))
-    res = j.withColumn(out, _finish(F.col(col), F.col("_vm_tok"))).drop("_vm_tok")
+    j = df.join(rebuilt, key, "left")
+    empty = F.array().cast("array<string>")
+    res = j.withColumn(out, _finish(F.col(col), F.coalesce("_vm_toks", empty), F.coalesce("_vm_hits", empty)))
+    res = res.drop("_vm_toks", "_vm_hits")
     return res.drop("_vm_row") if key == "_vm_row" else res

@@ -33,7 +33,8 @@ WITH a AS ({ANALYZE_SQL}), s AS (SELECT unnest(string_split(pipeline_steps, ', '
 SELECT step, count(*) AS n FROM s GROUP BY step""")
 def q_pipeline_steps(spark, sf):
     steps = F.when(F.col("pipeline_steps") != "", F.split("pipeline_steps", ", ")).otherwise(F.array())
-    return analyzed(spark, sf).select(F.explode(steps).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+    from ..functions.text import explode_rows
+    return explode_rows(analyzed(spark, sf), steps, "step").groupBy("step").agg(F.count("*").alias("n"))
 
 
 @register("batch_counts", f"""

@@ -129,7 +129,7 @@ def q_step_means_long(spark, sf):
 # --------------------------------------------------------------------------- A15 / J6
 def _doc_words(spark, sf):
     d = docs(spark, sf).filter(~X.is_blank("text"))
-    return d.select(F.explode(X.split_ws(X.py_strip("text"))).alias("token"))
+    return X.explode_rows(d, X.split_ws(X.py_strip("text")), "token")
 
 
 _WORDS_SQL = f"""w AS (SELECT unnest({S.split_ws(S.strip('text'))}) AS token FROM documents WHERE NOT {S.is_blank('text')})"""
@@ -289,7 +289,7 @@ def q_label_balance(spark, sf):
 def _oov_pairs(spark, sf):
     """(input, got) for every word occurrence the dictionary leaves unchanged."""
     t = transliterate(docs(spark, sf))
-    m = t.select(F.explode("transliteration.word_mappings").alias("m"))
+    m = X.explode_rows(t, F.col("transliteration.word_mappings"), "m")
     return m.select(F.col("m.src").alias("input"), F.col("m.dst").alias("got")).filter(
         (F.col("input") == F.col("got")) & F.col("input").rlike(r"\p{L}") & ~X.has_native("input"))
 
@@ -328,9 +328,9 @@ def scored_translations(spark, sf):
     """Romanized text -> native (dictionary) -> English (dictionary), scored against the text."""
     d = docs(spark, sf, ("doc_id", "text", "source"))
     t = transliterate(d).withColumn("_tl", F.col("transliteration.transliterated"))
-    t = t.withColumn("translated", translated_text("_tl"))
+    t = X.with_similarity(t.withColumn("translated", translated_text("_tl")), "translated", "text", "_score")
     return t.select("doc_id", F.col("source").alias("category"), F.lit("fallback").alias("backend"),
-                    F.round(X.similarity_score("translated", "text"), 6).alias("score"),
+                    F.round("_score", 6).alias("score"),
                     F.lit(True).alias("success"), X.truncate_text("text", 35).alias("display"))
 
 
@@ -510,7 +510,7 @@ SELECT src, dst FROM added
 UNION ALL SELECT word, expected FROM dict WHERE word NOT IN (SELECT src FROM added)""")
 def q_dictionary_merge(spark, sf):
     b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
-    toks = b.select(F.explode(X.split_ws(X.py_strip("text"))).alias("tok"))
+    toks = X.explode_rows(b, X.split_ws(X.py_strip("text")), "tok")
     added = (toks.filter((F.length("tok") >= 12) & ~F.col("tok").rlike("[^A-Za-z]"))
              .select(F.lower("tok").alias("src"), F.upper("tok").alias("dst")).distinct())
     return LX.merge_dictionary(LX.dictionary_table(spark, LX.roman_lookup()), added)
@@ -537,7 +537,7 @@ SELECT doc_id, string_agg(dst, '' ORDER BY pos) AS transliterated,
        CASE WHEN bool_or(hit) THEN 'fallback' ELSE 'unchanged' END AS method FROM w GROUP BY doc_id""")
 def q_transliterate_by_join(spark, sf):
     b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
-    toks = b.select(F.explode(X.split_ws(X.py_strip("text"))).alias("tok"))
+    toks = X.explode_rows(b, X.split_ws(X.py_strip("text")), "tok")
     added = (toks.filter((F.length("tok") >= 12) & ~F.col("tok").rlike("[^A-Za-z]"))
              .select(F.lower("tok").alias("src"), F.upper("tok").alias("dst")).distinct())
     t = transliterate(docs(spark, sf), dictionary=added, key="doc_id")

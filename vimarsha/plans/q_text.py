@@ -81,8 +81,7 @@ WITH w AS (SELECT unnest({S.split_ws(S.strip('text'))}) AS word FROM documents W
 p AS (SELECT substr(word, length({S.rstrip_punct('word')}) + 1) AS punct FROM w)
 SELECT punct, count(*) AS n FROM p GROUP BY punct""")
 def q_split_trailing_punct(spark, sf):
-    w = (docs(spark, sf).filter(~X.is_blank("text"))
-         .select(F.explode(X.split_ws(X.py_strip("text"))).alias("word")))
+    w = X.explode_rows(docs(spark, sf).filter(~X.is_blank("text")), X.split_ws(X.py_strip("text")), "word")
     return w.select(X.split_trailing_punct("word")["punct"].alias("punct")).groupBy("punct").agg(F.count("*").alias("n"))
 
 
@@ -156,7 +155,7 @@ def q_char_wb_ngrams(spark, sf):
 WITH g AS (SELECT DISTINCT doc_id, unnest({_wb_sql('text')}) AS ngram FROM documents)
 SELECT ngram, count(*) AS df FROM g GROUP BY ngram HAVING count(*) >= 2""")
 def q_ngram_df(spark, sf):
-    g = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(X.char_wb_ngrams("text"))).alias("ngram"))
+    g = X.explode_rows(docs(spark, sf), F.array_distinct(X.char_wb_ngrams("text")), "ngram", "doc_id")
     return g.groupBy("ngram").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
