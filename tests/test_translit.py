@@ -69,3 +69,11 @@ def test_join_path_equals_inline(spark):
     joined = {r.id: r.transliteration for r in transliterate(df, dictionary=added, key="id").collect()}
     inline = {r.id: r.transliteration for r in transliterate(df, dictionary={"blorp": "ಬ್ಲಾರ್ಪ್"}).collect()}
     assert joined == inline
+
+
+def test_scheme_for_unknown_words(spark):
+    out = {r.id: r.transliteration for r in
+           transliterate(one_col(spark, ["tumba raama", "xyz 123", "olle"]), key="id", scheme=True).collect()}
+    assert out[0].transliterated == "ತುಂಬ ರಾಮ" and out[0].method == "mixed"
+    assert out[1].method == "scheme" and out[1].transliterated.endswith(" 123")
+    assert out[2].method == "fallback"

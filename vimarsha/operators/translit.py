@@ -56,7 +56,7 @@ def token_hits(tokens: Column, lookup: dict[str, str]) -> Column:
     return F.transform(tokens, hit)
 
 
-def _finish(c: Column, tokens: Column, hits: Column) -> Column:
+def _finish(c: Column, tokens: Column, hits: Column, kinds: Column | None = None) -> Column:
     """Result struct from the token list and the per-token hits.
 
     Tokens alternate between blank runs and words, so a token's kind follows from its position
@@ -71,12 +71,20 @@ def _finish(c: Column, tokens: Column, hits: Column) -> Column:
         c.alias("original"),
         F.when(blank, c).otherwise(F.array_join(F.transform(pairs, lambda m: m["dst"]), "")).alias("transliterated"),
         F.when(blank, empty).otherwise(F.filter(pairs, lambda m, i: is_word(i))).alias("word_mappings"),
-        F.when(blank | ~F.exists(hits, lambda h: h.isNotNull()), F.lit("unchanged"))
-         .otherwise(F.lit("fallback")).alias("method"),
+        _method(blank, hits, kinds).alias("method"),
         F.lit(True).alias("success"),
     )
 
 
+def _method(blank: Column, hits: Column, kinds: Column | None) -> Column:
+    """scheme+fallback -> mixed, scheme, fallback, else unchanged."""
+    if kinds is None:
+        return F.when(blank | ~F.exists(hits, lambda h: h.isNotNull()), F.lit("unchanged")).otherwise(F.lit("fallback"))
+    has = lambda k: F.exists(kinds, lambda x: x == k)
+    return (F.when(blank, "unchanged").when(has("scheme") & has("fallback"), "mixed").when(has("scheme"), "scheme")
+            .when(has("fallback"), "fallback").otherwise("unchanged"))
+
+
 def transliterated_text(c, lookup: dict[str, str] | None = None) -> Column:
     """Only the transliterated string (no mappings): what routing needs."""
     c = X.col_(c)
@@ -87,16 +95,20 @@ def transliterated_text(c, lookup: dict[str, str] | None = None) -> Column:
 
 
 def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration",
-                  dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None) -> DataFrame:
+                  dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None,
+                  scheme: bool = False) -> DataFrame:
     """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries (T6): a dict is
     inlined; a DataFrame (src, dst) -- or a dict beyond ``INLINE_LIMIT`` entries -- is merged over
     the defaults and applied through joins (``key`` names a unique row key for that path).
+    ``scheme=True`` spells words missing from the dictionary with the ITRANS rules (T7), once per
+    distinct word, through the same join path.
     """
     lookup = LX.roman_lookup()
     if isinstance(dictionary, dict):
         lookup = LX.roman_lookup(dictionary)
-    elif dictionary is not None:
-        return _transliterate_by_join(df, col, out, dictionary, key)
+    elif dictionary is not None or scheme:
+        table = dictionary if dictionary is not None else df.sparkSession.createDataFrame([], "src string, dst string")
+        return _transliterate_by_join(df, col, out, table, key, scheme)
     if len(lookup) > LX.INLINE_LIMIT:
         return _transliterate_by_join(df, col, out, LX.dictionary_table(df.sparkSession, lookup), key)
     tmp = df.withColumn("_vm_toks", X.tokens_ws(col))
@@ -104,11 +116,12 @@ def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration"
     return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.col("_vm_hits"))).drop("_vm_toks", "_vm_hits")
 
 
-def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None) -> DataFrame:
+def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None,
+                           scheme: bool = False) -> DataFrame:
     """Large dictionary: look up each *distinct* lower-cased word once, then rebuild per row."""
     from .wordjoin import dictionary_rewrite
     merged = LX.merge_dictionary(LX.dictionary_table(df.sparkSession, LX.roman_lookup()), dictionary)
-    return dictionary_rewrite(df, col, out, merged, key)
+    return dictionary_rewrite(df, col, out, merged, key, scheme)
 
 
 def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native",

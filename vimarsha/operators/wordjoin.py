@@ -18,7 +18,8 @@ from ..session import cut_lineage
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None = None) -> DataFrame:
+def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None = None,
+                       scheme: bool = False) -> DataFrame:
     """Same result struct as the inline transliteration, computed with joins."""
     if key is None:
         # ids must not change if a stage is recomputed: freeze them in the shared checkpoint folder
@@ -30,21 +31,33 @@ def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame,
     toks = df.select(key, F.posexplode(X.tokens_ws(col)).alias("pos", "tok"))
     toks = toks.withColumns({"_ws": X.is_ws_token(F.col("tok")), "_low": F.lower("tok")})
     toks = toks.withColumn("_stem", X.rstrip_punct("_low"))
-    vocab = toks.filter(~F.col("_ws")).select("_low", "_stem").distinct()
+    # the distinct vocabulary is looked up (and spelled) once, then joined back to every occurrence
+    vocab = toks.filter(~F.col("_ws")).select("tok", "_low", "_stem").distinct()
     exact = d.select(F.col("_k").alias("_low"), F.col("_v").alias("_exact"))
     stem = d.select(F.col("_k").alias("_stem"), F.col("_v").alias("_by_stem"))
     looked = vocab.join(exact, "_low", "left").join(stem, "_stem", "left")
-    t = toks.join(looked, ["_low", "_stem"], "left")
-    passthrough = F.col("_ws") | X.has_native("tok") | ~F.col("tok").rlike(r"\p{L}")
+    passthrough = X.has_native("tok") | ~F.col("tok").rlike(r"\p{L}")
     by_stem = F.concat(F.col("_by_stem"), F.substr(F.col("_low"), F.length("_stem") + 1))
-    hit = F.when(~passthrough, F.coalesce(F.col("_exact"), by_stem))
-    t = t.select(key, "pos", "tok", hit.alias("hit"))
-    rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "hit"))).alias("_ms"))
+    looked = looked.withColumn("_dict", F.when(~passthrough, F.coalesce(F.col("_exact"), by_stem)))
+    if scheme:
+        from .scheme import scheme_spelling
+        looked = looked.withColumn("_sch", F.when(~passthrough & F.col("_dict").isNull(), scheme_spelling("tok")))
+    else:
+        looked = looked.withColumn("_sch", F.lit(None).cast("string"))
+    looked = looked.select("tok", "_dict", "_sch")
+    t = toks.join(looked, "tok", "left")
+    hit = F.when(~F.col("_ws"), F.coalesce(F.col("_dict"), F.col("_sch")))
+    kind = (F.when(F.col("_ws"), F.lit(None).cast("string")).when(F.col("_dict").isNotNull(), "fallback")
+            .when(F.col("_sch").isNotNull(), "scheme"))
+    t = t.select(key, "pos", "tok", hit.alias("hit"), kind.alias("kind"))
+    rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "hit", "kind"))).alias("_ms"))
     rebuilt = rebuilt.select(key, F.transform("_ms", lambda x: x["tok"]).alias("_vm_toks"),
-                             F.transform("_ms", lambda x: x["hit"]).alias("_vm_hits"))
+                             F.transform("_ms", lambda x: x["hit"]).alias("_vm_hits"),
+                             F.transform("_ms", lambda x: x["kind"]).alias("_vm_kinds"))
     from .translit import _finish
     j = df.join(rebuilt, key, "left")
     empty = F.array().cast("array<string>")
-    res = j.withColumn(out, _finish(F.col(col), F.coalesce("_vm_toks", empty), F.coalesce("_vm_hits", empty)))
-    res = res.drop("_vm_toks", "_vm_hits")
+    res = j.withColumn(out, _finish(F.col(col), F.coalesce("_vm_toks", empty), F.coalesce("_vm_hits", empty),
+                                    F.coalesce("_vm_kinds", empty)))
+    res = res.drop("_vm_toks", "_vm_hits", "_vm_kinds")
     return res.drop("_vm_row") if key == "_vm_row" else res

@@ -569,3 +569,17 @@ def q_translate_with(spark, sf):
 @register("evaluation_document")
 def q_evaluation_document(spark, sf):
     return R.evaluation_document(rv(spark, sf, text=True), analyzed(spark, sf))
+
+
+# --------------------------------------------------------------------------- T7 rule scheme on the OOV vocabulary
+@register("translit_vocab")
+def q_translit_vocab(spark, sf):
+    from ..operators.scheme import scheme_spelling
+    words = _oov_pairs(spark, sf).select(F.col("input").alias("word")).distinct()
+    return words.select("word", scheme_spelling("word").alias("spelling"))
+
+
+@register("transliterate_scheme")
+def q_transliterate_scheme(spark, sf):
+    t = transliterate(docs(spark, sf), key="doc_id", scheme=True)
+    return t.groupBy(F.col("transliteration.method").alias("method")).agg(F.count("*").alias("n"))
