@@ -144,3 +144,20 @@ def q_detect_with_langid(spark, sf):
     from ..operators.detect import detect_language
     d = detect_language(_langid_scored(spark, sf), "text", langid=("langid_lang", "langid_prob"))
     return d.groupBy("lang", F.col("detection.language").alias("language")).agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------- S4 + S6: per-split files merged back
+@register("merge_splits", f"""
+SELECT doc_id, source, text, CASE WHEN {_H} % 10000 < 1000 THEN 'validation' ELSE 'train' END AS _split
+FROM documents""")
+def q_merge_splits(spark, sf):
+    """Write the documents as one JSON-lines folder per split (S6 writer), read them back tagged."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.readers import merge_splits, write_report
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex[:10]}"
+    d = ML.holdout_split(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", 0.1, 42)
+    for split in ("train", "validation"):
+        write_report(d.filter(F.col("split") == split).drop("split"), f"{root}/{split}")
+    m = merge_splits(spark, {s: f"{root}/{s}" for s in ("train", "validation")})
+    return m.select("doc_id", "source", "text", "_split")

@@ -187,7 +187,44 @@ def q_translate_dict(spark, sf):
     return t.select("doc_id", translated_text("tl").alias("translated"))
 
 
-@register("segment_text", None)
+# --------------------------------------------------------------------------- X7 oracle: greedy packing as list_reduce
+_ACC = "STRUCT(segs VARCHAR[], cur VARCHAR)"
+
+
+def _app(arr: str, cur: str) -> str:
+    return f"(CASE WHEN {cur} <> '' THEN list_append({arr}, {S.strip(cur)}) ELSE {arr} END)"
+
+
+def _fold(items: str, body: str) -> str:
+    """list_reduce over ``items`` wrapped as accumulator structs: an empty start state first and a
+    flush marker (non-NULL ``segs``) last, so the result's ``segs`` is complete."""
+    start = f"{{'segs': []::VARCHAR[], 'cur': ''}}::{_ACC}"
+    flush = f"{{'segs': []::VARCHAR[], 'cur': ''}}::{_ACC}"
+    wrapped = f"list_transform({items}, lambda it: {{'segs': NULL::VARCHAR[], 'cur': it}}::{_ACC})"
+    guarded = (f"CASE WHEN x.segs IS NOT NULL THEN {{'segs': {_app('acc.segs', 'acc.cur')}, 'cur': ''}}::{_ACC} "
+               f"ELSE {body} END")
+    return f"list_reduce(list_append(list_prepend({start}, {wrapped}), {flush}), lambda acc, x: {guarded}).segs"
+
+
+def _segments_sql(s: str, m: int = FV.MAX_SEGMENT_LEN) -> str:
+    def mk(segs, cur):
+        return f"{{'segs': {segs}, 'cur': {cur}}}::{_ACC}"
+    words = _fold(S.split_ws("x.cur"), f"CASE WHEN length(acc.cur) + length(x.cur) + 1 > {m} "
+                  f"THEN {mk(_app('acc.segs', 'acc.cur'), 'x.cur')} "
+                  f"ELSE {mk('acc.segs', S.strip('acc.cur || chr(32) || x.cur'))} END")
+    sentences = (f"list_filter(list_transform(regexp_split_to_array({s}, '{X.SENTENCE_END}{S.WS}*'), "
+                 f"lambda z: {S.strip('z')}), lambda z: z <> '')")
+    body = (f"CASE WHEN length(x.cur) > {m} THEN {mk('list_concat(' + _app('acc.segs', 'acc.cur') + ', ' + words + ')', chr(39) * 2)} "
+            f"WHEN length(acc.cur) + length(x.cur) + 1 > {m} THEN {mk(_app('acc.segs', 'acc.cur'), 'x.cur')} "
+            f"ELSE {mk('acc.segs', S.strip('acc.cur || chr(32) || x.cur'))} END")
+    return f"(CASE WHEN length({s}) <= {m} THEN [{s}] ELSE {_fold(sentences, body)} END)"
+
+
+@register("segment_text", f"""
+WITH t AS (SELECT doc_id, {S.strip('text')} AS s FROM documents WHERE NOT {S.is_blank('text')}),
+g AS (SELECT doc_id, {_segments_sql('s')} AS segs FROM t)
+SELECT doc_id, len(segs) AS n_segments, list_max(list_transform(segs, lambda q: length(q))) AS max_len,
+       list_sum(list_transform(segs, lambda q: len({S.split_ws('q')}))) AS n_words FROM g""")
 def q_segment_text(spark, sf):
     d = docs(spark, sf).filter(~X.is_blank("text")).withColumn("segs", X.segment_text(X.py_strip("text")))
     return d.select("doc_id", F.size("segs").alias("n_segments"),
@@ -195,7 +232,11 @@ def q_segment_text(spark, sf):
                     F.aggregate("segs", F.lit(0), lambda a, s: a + F.size(X.split_ws(s))).alias("n_words"))
 
 
-@register("translate_segments", None)
+@register("translate_segments", f"""
+WITH t AS (SELECT doc_id, {S.transliterated('text')} AS tl FROM documents),
+g AS (SELECT doc_id, tl, CASE WHEN {S.is_blank('tl')} THEN []::VARCHAR[] ELSE {_segments_sql(S.strip('tl'))} END AS segs
+      FROM t)
+SELECT doc_id, len(segs) AS n_segments, {S.translated_text('tl')} AS translated, true AS same_as_flat FROM g""")
 def q_translate_segments(spark, sf):
     t = transliterate(docs(spark, sf)).select("doc_id", F.col("transliteration.transliterated").alias("tl"))
     r = translate_segments(t, "tl", "tr")
