@@ -50,3 +50,20 @@ def test_langid_signal_in_pipeline(spark):
                                "id int, text string, top string, p double")
     r = analyze(df, "text", langid=("top", "p")).collect()[0]
     assert r.detected_language == "english" and r.status == "ok"
+
+
+def test_batch_udf_scorer_in_pipeline(spark):
+    from vimarsha.operators.score import BatchModelScorer
+
+    def length_model():  # defined inside the test so it is shipped to workers by value
+        import numpy as np
+
+        def predict(texts):
+            n = np.array([len(t) for t in texts], dtype=float)
+            return np.stack([np.zeros_like(n), np.where(n > 20, 2.0, -2.0)], axis=1)
+        return predict
+
+    scorer = BatchModelScorer(length_model, ["Negative", "Positive"], batch_size=4)
+    rows = _run(spark, ["short one", "This product is excellent and I love it", ""], scorer=scorer)
+    assert [r.sentiment_label for r in rows] == ["Negative", "Positive", "Neutral"]
+    assert rows[2].status == "skipped"

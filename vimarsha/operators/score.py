@@ -143,3 +143,25 @@ class ModelScorer:
             F.lit(None).cast("array<double>").alias("raw_scores"),
         )
         return scored.withColumn(out, res).select(*cols, out)
+
+
+class BatchModelScorer:
+    """T11 slot for a user's own network, run through ``predict_batch_udf``.
+
+    ``make_predict_fn()`` is called once per Python worker and returns a function from a numpy
+    array of texts to a 2-D array of logits (one row per text). Texts travel in Arrow batches of
+    ``batch_size``; softmax, label map and confidence are then native expressions.
+    """
+
+    def __init__(self, make_predict_fn, label_map: list[str], batch_size: int = 64):
+        self.make_predict_fn, self.label_map, self.batch_size = make_predict_fn, label_map, batch_size
+
+    def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
+        from pyspark.ml.functions import predict_batch_udf
+        from pyspark.sql.types import ArrayType, DoubleType
+        udf = predict_batch_udf(self.make_predict_fn, return_type=ArrayType(DoubleType()),
+                                batch_size=self.batch_size)
+        tmp = df.withColumn("_vm_logits", udf(F.coalesce(F.col(text_col), F.lit(""))))
+        tmp = tmp.withColumn("_vm_probs", softmax(F.col("_vm_logits")))
+        res = from_probs(F.col("_vm_probs"), F.col("_vm_logits"), self.label_map)
+        return tmp.withColumn(out, res).drop("_vm_logits", "_vm_probs")
