@@ -60,12 +60,16 @@ def split_ws(c) -> Column:
 # X1/X2 script shares
 # ---------------------------------------------------------------------------
 def script_counts(c) -> Column:
-    """struct<total,kannada,english,numeric,other: int> over non-whitespace characters."""
-    nows = remove_ws(c)
-    total = F.length(nows)
-    kn = F.regexp_count(nows, F.lit(KANNADA))
-    en = F.regexp_count(nows, F.lit(ASCII_LETTER))
-    num = F.regexp_count(nows, F.lit(OTHER_DIGIT))
+    """struct<total,kannada,english,numeric,other: int> over non-whitespace characters.
+
+    The classes never contain whitespace, so they are counted on the text itself and the visible
+    total is length minus blanks: no stripped copy of the text is built.
+    """
+    c = col_(c)
+    total = F.length(c) - F.regexp_count(c, F.lit(WS))
+    kn = F.regexp_count(c, F.lit(KANNADA))
+    en = F.regexp_count(c, F.lit(ASCII_LETTER))
+    num = F.regexp_count(c, F.lit(OTHER_DIGIT))
     return F.struct(total.alias("total"), kn.alias("kannada"), en.alias("english"),
                     num.alias("numeric"), (total - kn - en - num).alias("other"))
 
