@@ -31,7 +31,7 @@ def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
     """A1: count and share per value, ordered by count desc then value."""
     counts = df.groupBy(col).agg(F.count("*").alias(out))
-    total = df.agg(F.count("*").alias("_total"))
+    total = counts.agg(F.sum(out).alias("_total"))  # from the grouped table: the input is read once
     j = _with_total(counts, total)
     return (j.select(col, out, _div(F.col(out), F.col("_total")).alias("share"))
             .orderBy(F.desc(out), F.asc_nulls_last(col)))
@@ -188,15 +188,20 @@ def error_details(df: DataFrame, cols: list[str], correct: str = "correct") -> D
 
 def error_summary(df: DataFrame, key: str = "script_type", truth: str = "ground_truth",
                   correct: str = "correct") -> DataFrame:
-    """Error count and rate overall, by group and by true label, in long form."""
-    wrong = ~F.col(correct)
-    overall = df.agg(F.lit("overall").alias("section"), F.lit(None).cast("string").alias("key"),
-                     F.count_if(wrong).alias("errors"), F.count("*").alias("total"))
-    by_key = df.groupBy(F.col(key).cast("string").alias("key")).agg(
-        F.count_if(wrong).alias("errors"), F.count("*").alias("total")).withColumn("section", F.lit(key))
-    by_truth = (df.filter(wrong).groupBy(F.col(truth).cast("string").alias("key"))
-                .agg(F.count("*").alias("errors")).withColumn("total", F.lit(None).cast("long"))
-                .withColumn("section", F.lit(truth)))
+    """Error count and rate overall, by group and by true label, in long form.
+
+    One pass over the input: counts per (group, truth, correct) -- a small table -- then every
+    section is a sum over it.
+    """
+    base = df.groupBy(F.col(key).cast("string").alias("_k"), F.col(truth).cast("string").alias("_t"),
+                      F.col(correct).alias("_ok")).agg(F.count("*").alias("_n"))
+    err = F.when(~F.col("_ok"), F.col("_n")).otherwise(0)
+    overall = base.agg(F.lit("overall").alias("section"), F.lit(None).cast("string").alias("key"),
+                       F.sum(err).alias("errors"), F.sum("_n").alias("total"))
+    by_key = (base.groupBy(F.col("_k").alias("key")).agg(F.sum(err).alias("errors"), F.sum("_n").alias("total"))
+              .withColumn("section", F.lit(key)))
+    by_truth = (base.filter(~F.col("_ok")).groupBy(F.col("_t").alias("key")).agg(F.sum("_n").alias("errors"))
+                .withColumn("total", F.lit(None).cast("long")).withColumn("section", F.lit(truth)))
     u = overall.unionByName(by_key).unionByName(by_truth)
     return u.withColumn("error_rate", F.try_divide(F.col("errors").cast("double"), F.col("total").cast("double")))
 
@@ -263,10 +268,11 @@ def translit_error_patterns(pairs: DataFrame, inp: str = "input", got: str = "go
     return pairs.withColumn("pattern", kind)
 
 
-def char_frequency(df: DataFrame, col: str, k: int = 15, letters_only: bool = True) -> DataFrame:
-    """Top-k characters of the lower-cased text (letters only by default)."""
+def char_frequency(df: DataFrame, col: str, k: int = 15, letters_only: bool = True, lower: bool = True) -> DataFrame:
+    """Top-k characters of the (lower-cased) text, letters only by default."""
     pat = r"(\p{L})" if letters_only else r"(?s)(.)"
-    chars = X.explode_rows(df, F.regexp_extract_all(F.lower(col), F.lit(pat), 1), "char")
+    src = F.lower(col) if lower else F.col(col)
+    chars = X.explode_rows(df, F.regexp_extract_all(src, F.lit(pat), 1), "char")
     return top_k(chars, "char", k, "count")
 
 

@@ -583,3 +583,11 @@ def q_translit_vocab(spark, sf):
 def q_transliterate_scheme(spark, sf):
     t = transliterate(docs(spark, sf), key="doc_id", scheme=True)
     return t.groupBy(F.col("transliteration.method").alias("method")).agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------- A26 second form: characters of failed words
+@register("problem_chars", f"""
+WITH {_OOV_SQL}, c AS (SELECT unnest(regexp_extract_all(input, '(?s)(.)', 1)) AS char FROM f)
+SELECT char, count(*) AS count FROM c GROUP BY 1 ORDER BY count DESC, char LIMIT 10""")
+def q_problem_chars(spark, sf):
+    return R.char_frequency(_oov_pairs(spark, sf), "input", 10, letters_only=False, lower=False)
