@@ -35,7 +35,7 @@ def test_text_rules_match_python(spark, texts):
         assert r.s == r.text.strip()
         assert r.wc == len(r.text.split())
         assert r.rebuilt == r.text
-        assert r.g == py_char_wb(r.text)
+        assert sorted(r.g) == sorted(py_char_wb(r.text))
         assert r.blank == (not r.text.strip())
 
 

@@ -254,32 +254,38 @@ def truncate_text(c, n: int = 35) -> Column:
 # ---------------------------------------------------------------------------
 # X12 character n-grams inside word boundaries
 # ---------------------------------------------------------------------------
-def _gram_at(padded: Column, n: int):
-    # one-argument lambda: a two-argument one would be handed the element index
-    return lambda i: F.substr(padded, i, F.lit(n))
+def _window_pattern(n: int) -> str:
+    """Lookahead capturing every n-char window that lies inside one blank-padded word.
+
+    Words are separated by two blanks, so a window may hold a blank only as its first or last
+    character: inside a word, the word start with its leading blank, the word end with its
+    trailing blank, or (n >= 3) a whole padded word of n-2 letters.
+    """
+    if n == 1:
+        return "(?s)(?=(.))"
+    alts = [f" [^ ]{{{n - 1}}}", f"[^ ]{{{n}}}", f"[^ ]{{{n - 1}}} "]
+    if n >= 3:
+        alts.append(f" [^ ]{{{n - 2}}} ")
+    return "(?s)(?=(" + "|".join(alts) + "))"
 
 
 def char_wb_ngrams(c, n_min: int = 2, n_max: int = 4) -> Column:
-    """n-grams of each blank-padded lower-cased word (the ``char_wb`` analyzer).
+    """n-grams of each blank-padded lower-cased word (the ``char_wb`` analyzer), as a bag.
 
     Words are split on runs of whitespace. A padded word of length L yields L-n+1 grams for each
-    n <= L; n > L yields nothing, except that a word shorter than the smallest n is emitted once.
+    n <= L and nothing for n > L (a padded word is never shorter than 3, so the analyzer's
+    short-word case cannot arise for n_min <= 3). The text is lower-cased, its words are joined
+    by two blanks with one blank at each end, and each n is a single regex pass with a lookahead
+    capture (see ``_window_pattern``) -- no per-gram expression evaluation. The grams come out
+    grouped by n, not by word; every consumer (counts, document frequencies, CountVectorizer)
+    treats them as a bag.
     """
+    if n_min > 3:
+        raise ValueError("n_min above 3 needs the analyzer's short-word rule")
     s = py_strip(F.lower(col_(c)))
-    words = F.when(s == "", F.array().cast("array<string>")).otherwise(split_ws(s))
-    empty = F.array().cast("array<string>")
-
-    def grams_of(word):
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        L = F.length(padded)
-        per_n = []
-        for n in range(n_min, n_max + 1):
-            short = F.array(padded) if n == n_min else empty
-            per_n.append(F.when(L < n, short).otherwise(
-                F.transform(F.sequence(F.lit(1), L - n + 1), _gram_at(padded, n))))
-        return F.concat(*per_n)
-
-    return F.flatten(F.transform(words, grams_of))
+    padded = F.concat(F.lit(" "), F.regexp_replace(s, f"{WS}+", "  "), F.lit(" "))
+    per_n = [F.regexp_extract_all(padded, F.lit(_window_pattern(n)), 1) for n in range(n_min, n_max + 1)]
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.concat(*per_n))
 
 
 def explode_rows(df, arr, alias: str, *keep):

@@ -62,7 +62,8 @@ def _finish(c: Column, tokens: Column, hits: Column, kinds: Column | None = None
     Tokens alternate between blank runs and words, so a token's kind follows from its position
     and from whether the text starts with a blank.
     """
-    first_ws = F.coalesce(c.rlike(f"^{X.WS}"), F.lit(False))
+    # evaluated inside the lambda for every element: keep it O(1) (first character only)
+    first_ws = F.coalesce(F.substring(c, 1, 1).rlike(X.WS), F.lit(False))
     is_word = lambda i: (F.pmod(i, F.lit(2)) == 0) != first_ws
     pairs = F.zip_with(tokens, hits, lambda t, h: F.struct(t.alias("src"), F.coalesce(h, t).alias("dst")))
     blank = X.is_blank(c)
