@@ -83,11 +83,10 @@ def summary_from_stats(stats: DataFrame, counts: DataFrame, by: list[str] | None
         _div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("weighted_recall"),
         _div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
     )
-    if not by:  # both sides are single rows
-        tot, s, by_ = tot.withColumn("_one", F.lit(1)), s.withColumn("_one", F.lit(1)), ["_one"]
+    if not by:  # both sides are single rows: the label summary enters as scalar subqueries
+        j = tot.withColumns({c: s.select(c).scalar() for c in s.columns})
     else:
-        by_ = by
-    j = tot.join(s, by_, "left")
+        j = tot.join(s, by, "left")
     return j.select(*by, "n", "correct", _div(F.col("correct"), F.col("n")).alias("accuracy"),
                     "macro_precision", "macro_recall", "macro_f1",
                     "weighted_precision", "weighted_recall", "weighted_f1")

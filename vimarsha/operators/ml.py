@@ -60,13 +60,14 @@ def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.2
 
     per_label = counts.groupBy(label).agg(F.sum("_vm_bn").alias("_vm_n"))
     total = per_label.agg(F.sum("_vm_n").alias("_vm_tot"))
-    quota = (per_label.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one")
+    quota = (per_label.withColumn("_vm_tot", total.select("_vm_tot").scalar())
              .withColumn("_vm_exact", F.col("_vm_n") * F.lit(test_frac))
              .withColumn("_vm_floor", F.floor("_vm_exact"))
              .withColumn("_vm_target", F.ceil(F.col("_vm_tot") * F.lit(test_frac))))
-    w_rem = Window.orderBy(F.desc(F.col("_vm_exact") - F.col("_vm_floor")), F.asc(label))  # over |labels| rows
+    # the two windows below run over the |labels|-row quota table only
+    w_rem = Window.orderBy(F.desc(F.col("_vm_exact") - F.col("_vm_floor")), F.asc(label))
     quota = (quota.withColumn("_vm_rank", F.row_number().over(w_rem))
-             .withColumn("_vm_left", F.col("_vm_target") - F.sum("_vm_floor").over(Window.partitionBy("_one")))
+             .withColumn("_vm_left", F.col("_vm_target") - F.sum("_vm_floor").over(Window.partitionBy()))
              .withColumn("_vm_quota", F.col("_vm_floor") + F.when(F.col("_vm_rank") <= F.col("_vm_left"), 1).otherwise(0))
              .select(label, "_vm_quota"))
 
@@ -180,9 +181,9 @@ def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
         stats = M.label_stats(counts, None, labels)
         summ = M.summary_from_stats(M.label_stats(counts, None, None), counts)
         f1s = stats.groupBy().pivot("label", ["Positive", "Negative", "Neutral"]).agg(F.first("f1"))
-        row = (summ.select(F.lit(name).alias("name"), F.lit(pos).alias("position"), "accuracy",
-                           "macro_f1", "weighted_f1").withColumn("_one", F.lit(1))
-               .join(f1s.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+        row = summ.select(F.lit(name).alias("name"), F.lit(pos).alias("position"), "accuracy",
+                          "macro_f1", "weighted_f1",
+                          *[f1s.select(c).scalar().alias(c) for c in ("Positive", "Negative", "Neutral")])
         out = row if out is None else out.unionByName(row)
     w = Window.orderBy(F.desc("macro_f1"), F.asc("position"))  # over |classifiers| rows
     ranked = out.withColumn("rank", F.row_number().over(w))

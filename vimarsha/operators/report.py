@@ -1,8 +1,8 @@
 """Report tables as grouped aggregations.
 
 Each operator is one or two hash aggregations (partial on the map side) plus joins of tiny
-aggregated tables. Totals are joined as one-row aggregates (broadcast hash join on a constant
-key), never by collecting to the driver. Where a result is ranked, ties break on the key so the
+aggregated tables. Totals are one-row aggregates attached as scalar subqueries, never by
+collecting to the driver. Where a result is ranked, ties break on the key so the
 order is deterministic.
 """
 
@@ -22,9 +22,9 @@ def _div(a, b) -> Column:
 
 
 def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast join on a constant key)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row as scalar subqueries (computed
+    once, inlined as values: no join)."""
+    return df.withColumns({c: total.select(c).scalar() for c in total.columns})
 
 
 # --------------------------------------------------------------------------- A1/K3
@@ -340,7 +340,7 @@ def evaluation_document(evaluated: DataFrame, analyzed: DataFrame | None = None,
     """One row holding every report section as structs / arrays plus its JSON text.
 
     Each section is a grouped aggregate (bounded by labels, groups or k), folded into one row and
-    joined on a constant key; ``document`` is ``to_json`` of all of them (write it with S6).
+    selected as scalar subqueries; ``document`` is ``to_json`` of all of them (write it with S6).
     """
     from . import metrics as M
     ev = evaluated.withColumn("correct", F.col("ground_truth").eqNullSafe(F.col("predicted_label")))
@@ -361,9 +361,7 @@ def evaluation_document(evaluated: DataFrame, analyzed: DataFrame | None = None,
     if analyzed is not None:
         sections += [_as_struct(kpis(analyzed), "kpis"),
                      _as_array(value_counts(analyzed, "detected_language"), "detected_languages")]
-    doc = None
-    for s in sections:
-        s = s.withColumn("_one", F.lit(1))
-        doc = s if doc is None else doc.join(s, "_one")
-    doc = doc.drop("_one")
+    # every section is one row and one column: scalar subqueries, no joins
+    spark = evaluated.sparkSession
+    doc = spark.range(1).select(*[sec.scalar().alias(sec.columns[0]) for sec in sections])
     return doc.withColumn("document", F.to_json(F.struct(*doc.columns)))
