@@ -12,7 +12,7 @@ spread over 65 536 sort groups.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -162,7 +162,10 @@ def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
     for c in classifiers:
         if c not in CLASSIFIERS:
             raise ValueError(f"Unknown classifier: {c}")
-    clean = df.select(key, text, F.col(label).cast("string").alias("label")).dropna(subset=[text, "label"])
+    # the split reads its input in several branches (bucket counts, quotas, ranking): persist the
+    # labelled training table once instead of recomputing its scan and joins per branch
+    clean = (df.select(key, text, F.col(label).cast("string").alias("label")).dropna(subset=[text, "label"])
+             .persist())
     split = stratified_split(clean, key, "label", test_frac, seed).persist()  # read 4x below: compute once
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(split)
     labels = list(indexer.labels)

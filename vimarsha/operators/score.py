@@ -1,12 +1,13 @@
 """From logits or a fitted Spark ML model to label, confidence and probabilities.
 
 Scorers plug into :func:`vimarsha.operators.pipeline.analyze` as objects with
-``score(df, text_col) -> df`` adding ``sentiment_label`` and ``confidence_score`` (raw double):
+``score(df, text_col, out) -> df`` adding a struct(label, confidence, probabilities, raw_scores):
 
 * :class:`LexiconScorer` -- transparent word-count logits over a small polarity word list,
   softmax, argmax. Deterministic and expressible in SQL, so end-to-end runs are checkable.
-* :class:`ModelScorer` -- a fitted Spark ML ``PipelineModel`` (see :mod:`.ml`), probabilities
-  from ``vector_to_array``; the label names travel with the model.
+* :class:`vimarsha.operators.ml.TextModelScorer` -- a fitted Spark ML model (TF-IDF + classifier),
+  probabilities from ``vector_to_array``; the label names travel with the model.
+* :class:`BatchModelScorer` -- a user's own network through ``predict_batch_udf`` (Arrow batches).
 """
 
 from __future__ import annotations
@@ -116,35 +117,6 @@ class LexiconScorer:
         return tmp.withColumn(out, res).drop("_vm_logits", "_vm_probs")
 
 
-class ModelScorer:
-    """T11 with a fitted Spark ML PipelineModel whose last stage emits ``probability``.
-
-    ``labels`` are the class names in index order (for a StringIndexer-labelled model, its
-    ``labels``). Rows are scored where they are -- no shuffle; the model is shipped to tasks.
-    """
-
-    def __init__(self, model, labels: list[str], text_input: str = "text"):
-        self.model = model
-        self.labels = labels
-        self.text_input = text_input
-
-    def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        cols = df.columns
-        tmp = df.withColumn(self.text_input + "_vm_in", F.coalesce(F.col(text_col), F.lit("")))
-        tmp = tmp.withColumnRenamed(self.text_input + "_vm_in", "_vm_in")
-        scored = self.model.transform(tmp.withColumn(self.text_input, F.col("_vm_in"))
-                                      if self.text_input not in cols else tmp)
-        probs = vector_to_array(F.col("probability"))
-        res = F.struct(
-            label_of(argmax_index(probs), self.labels).alias("label"),
-            F.array_max(probs).alias("confidence"),
-            label_probabilities(probs, self.labels).alias("probabilities"),
-            F.lit(None).cast("array<double>").alias("raw_scores"),
-        )
-        return scored.withColumn(out, res).select(*cols, out)
-
-
 class BatchModelScorer:
     """T11 slot for a user's own network, run through ``predict_batch_udf``.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as FV
 from ..functions.labels import rating_to_sentiment
 from ..operators import metrics as M
 from .catalog import register, table
@@ -161,5 +160,3 @@ SELECT script_type, n, correct, {r6(['accuracy', 'macro_f1', 'weighted_f1'])} FR
 def q_evaluation_report(spark, sf):
     return _r6(M.evaluation_report(review_view(spark, sf, with_text=False)), ["accuracy", "macro_f1", "weighted_f1"])
 
-
-_ = FV  # labels domain used by the SQL literals above

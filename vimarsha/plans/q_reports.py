@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as FV
 from ..functions import lexicon as LX
 from ..functions import text as X
-from ..functions.labels import normalize_label, rating_to_sentiment, recode
+from ..functions.labels import normalize_label, recode
 from ..operators import report as R
 from ..operators.detect import detect_language
 from ..operators.pipeline import row_status
@@ -516,8 +516,6 @@ def q_dictionary_merge(spark, sf):
     return LX.merge_dictionary(LX.dictionary_table(spark, LX.roman_lookup()), added)
 
 
-_ = rating_to_sentiment
-
 
 # --------------------------------------------------------------------------- T6 + J1 at scale: dictionary as a table
 @register("transliterate_by_join", f"""

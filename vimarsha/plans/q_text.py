@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as FV
-from ..functions import lexicon as LX
 from ..functions import text as X
 from ..operators.detect import detect_language, is_kannada
 from ..operators.score import apply_neutral_threshold, from_logits
