@@ -109,3 +109,16 @@ def op5_packing(spark, sf_dir):
 
     from .packing import pack_documents
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    from .decontaminate import find_leaks
+    docs = read_table(spark, sf_dir, "documents")
+    return find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
