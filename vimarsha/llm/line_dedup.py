@@ -30,16 +30,12 @@ THRESHOLD = 2
 MIN_CHARS = 32
 
 
-def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the threshold + 1 even segments of a line; longer ones come last."""
+def segment(number: Column, length: Column, threshold: int) -> tuple[Column, Column]:
+    """(start from 1, length) of one of the threshold + 1 even segments of a line; longer ones come last."""
     n = threshold + 1
-    base, extra = F.floor(length / n).cast("int"), length % n
-    out, start = [], F.lit(1)
-    for i in range(n):
-        size = base + F.when(extra >= n - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+    base = F.call_function("div", length, F.lit(n)).cast("int")
+    short = n - F.pmod(length, F.lit(n))                 # so many segments have the lesser length
+    return 1 + number * base + F.greatest(number - short, F.lit(0)), base + F.when(number >= short, 1).otherwise(0)
 
 
 def shifts(threshold: int) -> list[tuple[int, int, int]]:
@@ -51,16 +47,15 @@ def shifts(threshold: int) -> list[tuple[int, int, int]]:
 
 def segment_keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
     """Hashes of a line's own segments, and of the substrings with which it probes others'."""
-    own = [F.xxhash64(F.lit(i), length, F.substring(line, start, size))
-           for i, (start, size) in enumerate(segments(length, threshold))]
-    at = {d: segments(length - d, threshold) for d in range(threshold + 1)}
-    probes = []
-    for i, d, s in shifts(threshold):
-        start, size = at[d][i]
-        start = start + s
-        probes.append(F.when((start >= 1) & (start + size - 1 <= length),
-                             F.xxhash64(F.lit(i), length - d, F.substring(line, start, size))))
-    return F.array(*own), F.array_compact(F.array(*probes))
+    def key(number: Column, of: Column, shift: Column) -> Column:
+        start, size = segment(number, of, threshold)
+        start = start + shift
+        return F.when((start >= 1) & (start + size - 1 <= length), F.xxhash64(number, of, F.substring(line, start, size)))
+
+    # small lambdas over literals: one expression over all places would be too large a method to be compiled
+    own = F.transform(F.array(*[F.lit(i) for i in range(threshold + 1)]), lambda i: key(i, length, F.lit(0)))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(x).alias("x")) for i, d, x in shifts(threshold)])
+    return own, F.array_compact(F.transform(places, lambda p: key(p["i"], length - p["d"], p["x"])))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -73,47 +68,45 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     k = threshold
     width = 2 * k + 1
     full, edge = (1 << width) - 1, 1 << (width - 1)
-    one = F.lit(1).cast("long")
-    pa, m = F.split(a, ""), F.char_length(a)
-
-    def step(state: Column, item: Column) -> Column:
-        i, c = item["i"], item["c"]
-        x = F.lit(0).cast("long")
+    m, n = F.char_length(a), F.char_length(b)
+    # each text character beside the band's pattern characters: zipped once, before the fold
+    none = F.array(*[F.lit("")] * k)
+    padded = F.concat(none, F.split(a, ""), F.array_repeat(F.lit(""), 2 * k + 1))
+    items = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), F.split(b, "").alias("c"),
+                         *[F.slice(padded, j + 1, n).alias(f"p{j}") for j in range(width)])
+
+    def seen(item: Column) -> Column:
+        x = F.lit(0)
         for j in range(width):
-            x = x + F.when(F.get(pa, i - k + j) == c, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"),
-                        i.alias("i"), x.alias("x"))
+            x = x + F.when(item[f"p{j}"] == item["c"], 1 << j).otherwise(0)
+        return F.struct(item["i"].alias("i"), x.alias("x"))
 
     def advance(s: Column) -> Column:
-        vp, vn, x, i = s["vp"], s["vn"], s["x"], s["i"]
-        d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full).cast("long"))
-        return F.struct(vp.alias("vp"), vn.alias("vn"), s["score"].alias("score"), i.alias("i"), d0.alias("d0"))
+        vp, vn, x = s["vp"], s["vn"], s["x"]
+        d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full))
+        return F.struct(vp.alias("vp"), vn.alias("vn"), s["score"].alias("score"), s["row"].alias("row"), d0.alias("d0"))
 
     def settle(s: Column) -> Column:
-        vp, vn, d0, i, score = s["vp"], s["vn"], s["d0"], s["i"], s["score"]
-        mask = F.lit(full).cast("long")
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(mask))
+        vp, vn, d0, score, row = s["vp"], s["vn"], s["d0"], s["score"], s["row"]
+        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(full)))
         hn = d0.bitwiseAND(vp)
-        row = m - i - 1 + k                        # the last pattern place's bit in this column
-        at = F.call_function("shiftleft", one, F.greatest(row, F.lit(0)))
-        edge_cost = F.when(d0.bitwiseAND(F.lit(edge).cast("long")) == 0, 1).otherwise(0)
-        row_cost = (F.when(hp.bitwiseAND(at) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(at) != 0, 1).otherwise(0))
         half = F.shiftright(d0, 1)
-        return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
-                        half.bitwiseAND(hp).alias("vn"),
-                        (score + F.when(row >= width - 1, edge_cost).otherwise(row_cost)).alias("score"))
-
-    start = F.struct(F.lit(full ^ ((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
-                     F.lit(k).alias("score"))
-    chars = F.split(b, "")
-    items = F.arrays_zip(F.sequence(F.lit(0), F.char_length(b) - 1).alias("i"), chars.alias("c"))
+        at = F.call_function("shiftleft", F.lit(1), row)
+        below = F.when(row >= width - 1, F.when(d0.bitwiseAND(F.lit(edge)) == 0, 1).otherwise(0)).otherwise(
+            F.when(hp.bitwiseAND(at) != 0, 1).when(hn.bitwiseAND(at) != 0, -1).otherwise(0))
+        return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp)).bitwiseAND(F.lit(full))).alias("vp"),
+                        half.bitwiseAND(hp).alias("vn"), (score + below).alias("score"), row.alias("row"))
 
     def fold(state: Column, item: Column) -> Column:
-        # each stage is computed once: a one-element transform binds it to a name
-        s1 = F.transform(F.array(step(state, item)), advance)
-        return F.element_at(F.transform(s1, settle), 1)
+        # a one-element transform binds a stage to a name, so that it is computed once
+        first = F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"),
+                         (state["row"] - 1).alias("row"), item["x"].alias("x"))
+        return F.element_at(F.transform(F.transform(F.array(first), advance), settle), 1)
 
-    return F.when(F.abs(m - F.char_length(b)) > k, k + 1).otherwise(F.aggregate(items, start, fold, lambda s: s["score"]))
+    # row: the bit of the last pattern place in this column, above the band while that place lies below it
+    start = F.struct(F.lit(full ^ ((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("score"), (m + k).alias("row"))
+    return F.when(F.abs(m - n) > k, k + 1).otherwise(
+        F.aggregate(F.transform(items, seen), start, fold, lambda s: s["score"]))
 
 
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -131,12 +124,11 @@ def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def once(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """Each distinct line once, as (h, line, n_chars). Only lines that recur are grouped: their texts
-    collapse before the shuffle, and the rest never moves."""
-    twice = saved(first.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "line-twice")
-    flagged = lines.join(small(twice.withColumn("again", F.lit(True))), "h", "left")
-    copies = flagged.filter("again").groupBy("h", "n_chars").agg(F.first("line").alias("line"))
-    return flagged.filter("again is null").select("h", "line", "n_chars").union(copies.select("h", "line", "n_chars"))
+    """Each distinct line once, at its first place, as (h, line, n_chars): lines that recur are told apart by the
+    small table of their first places."""
+    twice = saved(first.groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1").select("h", "first"), "line-twice")
+    return lines.join(small(twice), "h", "left").filter(
+        F.col("first").isNull() | (F.col("first") == F.struct("id", "no"))).select("h", "line", "n_chars")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD,
@@ -149,7 +141,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
                         F.char_length("line").alias("n_chars"))
     first = saved(keys.groupBy("h", "c", "n_chars").agg(
         F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")), "line-first")
-    long_lines = split.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("n_chars")).filter(
+    long_lines = split.select("id", "no", F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("n_chars")).filter(
         F.col("n_chars") >= max(min_chars, threshold + 1))
     pairs = near_pairs(once(long_lines, first), threshold)
     order = first.groupBy("h").agg(F.min("first").alias("first"))
