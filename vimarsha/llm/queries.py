@@ -122,3 +122,38 @@ def op9_decontamination(spark, sf_dir):
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+def _labelled(spark, sf_dir, label, parts, held_out):
+    """Documents of the training folds with a label, as (key, text, label)."""
+    from pyspark.sql import functions as F
+
+    from .common import small
+    from .nbsvm import fold
+    docs = only(read_table(spark, sf_dir, "documents"), "doc_id", "text").filter(~fold("doc_id", parts, held_out))
+    labels = only(read_table(spark, sf_dir, "labels"), "doc_id", label).filter(F.col(label).isNotNull() & ~fold("doc_id", parts, held_out))
+    return docs.join(small(labels), "doc_id").select(F.col("doc_id").alias("key"), "text", F.col(label).alias("label"))
+
+
+def _judged(scored, parts, held_out, cut):
+    from pyspark.sql import functions as F
+
+    from .nbsvm import fold
+    return scored.withColumn("held_out", fold("doc_id", parts, held_out)).withColumn(
+        "predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    from .nbsvm import fit, score_documents
+    model = fit(_labelled(spark, sf_dir, "quality", 5, 0))
+    scored = score_documents(read_table(spark, sf_dir, "documents"), model)
+    return _judged(scored, 5, 0, 0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import fit, score_documents
+    model = fit(_labelled(spark, sf_dir, "toxic", 3, 1))
+    scored = score_documents(read_table(spark, sf_dir, "documents"), model)
+    return _judged(scored, 3, 1, 0.7).select("doc_id", "held_out", "score", "predicted", "n_passages")

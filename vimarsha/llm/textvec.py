@@ -21,6 +21,8 @@ _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII bytes that are neither letter nor digit: gaps between the words of a word-only reading.
+SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -101,11 +103,11 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         i = j
 
 
-def words(texts: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+def words(texts: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Words]:
     for first, data, bounds in chunks(texts, limit):
         if lower:
             data = _LOWER[data]
-        solid = ~_SPACE[data]
+        solid = ~gaps[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds] = True
         before = np.empty_like(solid)
