@@ -157,3 +157,18 @@ def op7_toxicity(spark, sf_dir):
     model = fit(_labelled(spark, sf_dir, "toxic", 3, 1))
     scored = score_documents(read_table(spark, sf_dir, "documents"), model)
     return _judged(scored, 3, 1, 0.7).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+@register("op6_html_extraction")
+def op6_html_extraction(spark, sf_dir):
+    from .html_extract import extract
+    return extract(only(read_table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+
+
+@register("op10_url_filter")
+def op10_url_filter(spark, sf_dir):
+    from .url_filter import Rule, judge_urls
+    rules = [Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"),
+             Rule("allow", "com/fr/"), Rule("block", "com/de/")]
+    pages = only(read_table(spark, sf_dir, "pages"), "page_id", "url")
+    return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
