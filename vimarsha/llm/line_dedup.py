@@ -28,6 +28,7 @@ from .common import BLANKS, saved, small
 
 THRESHOLD = 2
 MIN_CHARS = 32
+_LETTERS = "etaoinsrhldcumg"
 
 
 def segment(number: Column, length: Column, threshold: int) -> tuple[Column, Column]:
@@ -45,17 +46,22 @@ def shifts(threshold: int) -> list[tuple[int, int, int]]:
             for s in range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1)]
 
 
-def segment_keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
-    """Hashes of a line's own segments, and of the substrings with which it probes others'."""
-    def key(number: Column, of: Column, shift: Column) -> Column:
-        start, size = segment(number, of, threshold)
-        start = start + shift
-        return F.when((start >= 1) & (start + size - 1 <= length), F.xxhash64(number, of, F.substring(line, start, size)))
+def segment_keys(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """(key, h): the hash of a line's substring for each place (segment, lengths' difference, shift). A substring
+    that runs over the line's ends finds nothing that verification lets pass.
 
-    # small lambdas over literals: one expression over all places would be too large a method to be compiled
-    own = F.transform(F.array(*[F.lit(i) for i in range(threshold + 1)]), lambda i: key(i, length, F.lit(0)))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(x).alias("x")) for i, d, x in shifts(threshold)])
-    return own, F.array_compact(F.transform(places, lambda p: key(p["i"], length - p["d"], p["x"])))
+    The literal places are exploded first, so that one short compiled expression hashes them all."""
+    at = lines.select("h", "line", "n_chars", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(x).alias("x")) for i, d, x in places])).alias("p"))
+    of = F.col("n_chars") - F.col("p.d")
+    start, size = segment(F.col("p.i"), of, threshold)
+    return at.select(F.xxhash64(F.col("p.i"), of, F.substring("line", start + F.col("p.x"), size)).alias("key"), "h")
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """A lower bound of twice the edit distance: the differences of some letters' counts."""
+    return sum((F.abs(F.char_length(F.replace(a, F.lit(c))) - F.char_length(a)
+                      - F.char_length(F.replace(b, F.lit(c))) + F.char_length(b)) for c in _LETTERS), F.lit(0))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -111,16 +117,15 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of line hashes, a < b, within the threshold. ``lines``: h, line, n_chars, each line once."""
-    own, probes = segment_keys(F.col("line"), F.col("n_chars"), threshold)
-    left = lines.select(F.explode(own).alias("key"), F.col("h").alias("x"))
-    right = lines.select(F.explode(probes).alias("key"), F.col("h").alias("y"))
+    left = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).withColumnRenamed("h", "x")
+    right = segment_keys(lines, shifts(threshold), threshold).withColumnRenamed("h", "y")
     pairs = saved(left.join(right, "key").filter("x <> y").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-wanted")
     texts = saved(lines.join(small(wanted), "h").select("h", "line"), "line-texts")
     both = (pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("p")), "a")
             .join(texts.select(F.col("h").alias("b"), F.col("line").alias("q")), "b"))
-    return both.filter(banded_distance(F.col("p"), F.col("q"), threshold) <= threshold).select("a", "b")
+    return both.filter(unlike(F.col("p"), F.col("q")) <= 2 * threshold).filter(banded_distance(F.col("p"), F.col("q"), threshold) <= threshold).select("a", "b")
 
 
 def once(lines: DataFrame, first: DataFrame) -> DataFrame:
@@ -143,7 +148,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
         F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("n")), "line-first")
     long_lines = split.select("id", "no", F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("n_chars")).filter(
         F.col("n_chars") >= max(min_chars, threshold + 1))
-    pairs = near_pairs(once(long_lines, first), threshold)
+    pairs = near_pairs(saved(once(long_lines, first), "lines"), threshold)
     order = first.groupBy("h").agg(F.min("first").alias("first"))
     later = saved(pairs.join(order.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a")
                   .join(order.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
