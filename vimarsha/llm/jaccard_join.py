@@ -6,12 +6,13 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two docum
 1. One pass gives each set's size and fingerprint and adds its tokens to a table of counters of fixed size
    that covers the whole corpus. The table orders all tokens, rare ones first. Any order is right; this one
    keeps a passage that many documents share out of the short prefixes.
-2. A set's prefix is so long that two linked sets share a token of their prefixes. Tokens that a single
-   set has are dropped; the first set of a token and size class leads, and the others are verified against
-   it: as many candidates as rows, whatever the size of the class. The links found make the groups.
+2. A set's prefix is so long that the prefixes of two linked sets share ``reach(n)`` tokens (a twentieth of the
+   smaller set). Tokens that a single set has are dropped; the first set of a token and size class leads, and
+   the others that share enough tokens with it are verified: at most as many candidates as rows, whatever the
+   size of the class. The links found make the groups.
 3. The matrix stores each group's union of prefix tokens with the sizes of its sets. A set probes the
-   groups that it is not part of; the bound of its overlap with a group's union, by sizes and places in the
-   order, and for groups of several sets by the whole union, decides which groups open.
+   groups that it is not part of; the bound of its overlap with a group's union, by shared prefix tokens, sizes
+   and places in the order, and for groups of several sets by the whole union, decides which groups open.
 4. Members of opened groups are verified exactly, and components of all links are the classes.
 
 A pair inside a group needs no link of its own, so copies are never expanded into pairs; between groups
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -102,6 +103,15 @@ def token_ranks(partial: DataFrame, bits: int) -> np.ndarray:
     return ranks
 
 
+def reach(n):
+    """How many tokens of their prefixes two linked sets of n tokens share at least; grows with n."""
+    return n // 20 + 1
+
+
+def _reach(n: Column) -> Column:
+    return F.floor(n / 20) + 1
+
+
 def _ordered(h: np.ndarray, ranks: np.ndarray, bits: int) -> np.ndarray:
     """Tokens as values whose order is that of (rank, hash)."""
     return (ranks[h & np.uint64((1 << bits) - 1)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
@@ -118,7 +128,7 @@ def _prefixes(k: int, bits: int, percent: int, shared):
                 once = np.sort(np.unique(fp, return_index=True)[1])
                 once = once[n[once] > 0]
                 size = n[once]
-                length = size - -(-percent * size // 100) + 1
+                length = np.minimum(size, size - -(-percent * size // 100) + reach(size))
                 for i in once.tolist():
                     key[bounds[i]:bounds[i + 1]].sort()
                 total = int(length.sum())
@@ -166,15 +176,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     common = prefixes.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("token")
     shared = saved(prefixes.join(common, "token").distinct(), "shared-tokens")
 
-    # the whole sets of those that share a token, computed anew from one document of each
-    found = shared.select("fp").distinct()
-    firsts = saved(sets_of.join(found, "fp").groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct(), "set-ids")
-    sets = saved(docs.join(small(firsts), "id").select("text").mapInArrow(_whole_sets(k), "fp long, tokens array<long>"), "sets")
+    def sets_for(fps: DataFrame) -> DataFrame:
+        """Whole sets, computed anew from one document of each."""
+        ids = saved(sets_of.join(fps.distinct(), "fp").groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct(), "set-ids")
+        return saved(docs.join(small(ids), "id").select("text").mapInArrow(_whole_sets(k), "fp long, tokens array<long>"), "sets")
 
-    # groups: sets linked with the leader of one of their tokens, sizes within a quarter
+    # groups: sets linked with the leader of their tokens, sizes within a quarter
     leaders = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
     lead = leaders.groupBy("token", "size").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
-    by_leader = leaders.join(lead, ["token", "size"]).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    by_leader = saved(leaders.join(lead, ["token", "size"]).filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(
+        F.count("*").alias("hits"), F.min("n").alias("n")).filter(F.col("hits") >= F.floor(_reach(F.col("n")) * 0.8)).select("a", "b"), "leader-pairs")
+    sets = sets_for(by_leader.select(F.explode(F.array("a", "b")).alias("fp")))
     links = saved(_verified(by_leader, sets, percent), "leader-links")
     group_of = saved(components(links), "groups")
 
@@ -188,12 +200,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     matrix = member.groupBy("token", "group", "sets").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("place"))
     q, m = member.alias("q"), matrix.alias("m")
-    fits = ((F.struct("q.sets", "q.group") < F.struct("m.sets", "m.group"))
-            & (percent * F.col("m.least") <= 100 * F.col("q.n")) & (percent * F.col("q.n") <= 100 * F.col("m.most"))
-            & ((100 + percent) * F.least(F.col("q.n") - F.col("q.pos"), F.col("m.most") - F.col("m.place"))
-               >= percent * (F.col("q.n") + F.col("m.least"))))
-    probes = saved(q.join(m, F.col("q.token") == F.col("m.token")).filter(fits).groupBy("q.fp", "q.n", "m.group", "m.sets").agg(
-        F.count("*").alias("hits")), "probes")
+    near = ((F.struct("q.sets", "q.group") < F.struct("m.sets", "m.group"))
+            & (percent * F.col("m.least") <= 100 * F.col("q.n")) & (percent * F.col("q.n") <= 100 * F.col("m.most")))
+    first = ((100 + percent) * F.least(F.col("q.n") - F.col("q.pos"), F.col("m.most") - F.col("m.place"))
+             >= percent * (F.col("q.n") + F.col("m.least")))
+    # places rule out a row only if it is the first shared token, so they count pairs with one fitting row at least
+    probes = q.join(m, F.col("q.token") == F.col("m.token")).filter(near).groupBy("q.fp", "q.n", "m.group", "m.sets").agg(
+        F.count("*").alias("hits"), F.min("m.least").alias("least"), F.bool_or(first).alias("first"))
+    probes = saved(probes.filter(F.col("first") & (F.col("hits") >= F.least(_reach(F.col("n")), _reach(F.col("least"))))), "probes")
+    sets = sets_for(probes.select("fp").union(sets_in.join(probes.select("group").distinct(), "group").select("fp")))
 
     # the whole union bounds the overlap with groups of several sets
     wide = probes.filter("sets > 1")

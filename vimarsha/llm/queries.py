@@ -172,3 +172,31 @@ def op10_url_filter(spark, sf_dir):
              Rule("allow", "com/fr/"), Rule("block", "com/de/")]
     pages = only(read_table(spark, sf_dir, "pages"), "page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    """The feed of a corpus: load all documents, take out exact copies, revise the word counts to words that are not
+    mere signs, and count the rest under a second tokenizer version. One batch comes twice, as after a retry."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .common import saved, scratch
+    from .token_counts import Rollup, count_tokens
+    docs = read_table(spark, sf_dir, "documents")
+    t = F.coalesce(docs["text"], F.lit(""))
+    docs = docs.select("doc_id", "source", "lang", F.xxhash64(t).alias("h"), F.crc32(t.cast("binary")).alias("c"), docs["text"])
+    counts = saved(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), "token-counts")
+    first = counts.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
+    marked = saved(counts.join(first, ["h", "c"]).withColumn("copy", F.col("doc_id") != F.col("first")), "token-copies")
+
+    def changes(rows, op, version, n, old="0"):
+        return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(op).alias("op"),
+                           F.col(n).alias("n_tokens"), F.expr(old).alias("old_tokens"))
+    rollup = Rollup(spark, scratch(spark, "rollup"))
+    rollup.commit("1-load", changes(marked, "insert", "words", "words"))
+    for _ in range(2):
+        rollup.commit("2-copies", changes(marked.filter("copy"), "delete", "words", "words"))
+    rollup.commit("3-signs", changes(marked.filter("not copy"), "revise", "words", "named", "words"))
+    rollup.commit("4-bpe", changes(marked.filter("not copy"), "insert", "byte_bpe_50k", "bpe"))
+    return rollup.totals()
