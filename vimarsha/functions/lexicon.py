@@ -1,8 +1,8 @@
-"""Dictionaries as data: parsed fixed values, map literals, and dictionary tables.
+"""Dictionaries as data: fixed values, map literals, and dictionary tables.
 
 A dictionary is small and bounded (hundreds of entries), so the default path inlines it as a
 literal map inside the expression: no join, no shuffle, one hash-set probe per token. A user
-dictionary beyond ``INLINE_LIMIT`` entries goes through a broadcast join instead (size checked).
+dictionary that is a table goes through joins instead.
 """
 
 from __future__ import annotations
@@ -12,20 +12,14 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as FV
 
-INLINE_LIMIT = 2000
-
-
-def _parse(text: str) -> list[tuple[str, str]]:
-    return [tuple(line.split("\t", 1)) for line in text.splitlines() if line]
-
 
 def roman_pairs() -> list[tuple[str, str]]:
-    """Literal lines in order (duplicates kept)."""
-    return _parse(FV.ROMAN_TO_NATIVE_TEXT)
+    """Pairs in order (duplicates kept)."""
+    return FV.ROMAN_TO_NATIVE
 
 
 def native_pairs() -> list[tuple[str, str]]:
-    return _parse(FV.NATIVE_TO_ENGLISH_TEXT)
+    return FV.NATIVE_TO_ENGLISH
 
 
 def as_lookup(pairs, lower_keys: bool) -> dict[str, str]:

@@ -1,7 +1,8 @@
 """Native column expressions for text.
 
-Everything here returns a ``Column`` built from built-in functions, so it stays inside
-whole-stage codegen and runs row-local (no shuffle). Regexes are written so that the same
+Everything here returns a ``Column`` built from built-in functions, so it stays in the JVM and runs
+row-local (no shuffle). Plain functions are compiled by whole-stage codegen; higher-order functions
+(transform, filter, aggregate) evaluate their lambdas by interpretation inside the same stage. Regexes are written so that the same
 pattern text is valid for Java regex and for RE2; the notes say where the two differ.
 """
 
@@ -247,8 +248,9 @@ def word_count(c) -> Column:
 
 
 def truncate_text(c, n: int = 35) -> Column:
+    """At most ``n`` characters, the last three of a shortened text being dots."""
     c = col_(c)
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, max(n - 3, 0)), F.lit("..."))).otherwise(c)
 
 
 # ---------------------------------------------------------------------------

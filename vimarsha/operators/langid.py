@@ -1,16 +1,16 @@
 """A language-ID signal learned from a labelled table (character n-gram naive Bayes).
 
 Fit: n-grams of every text (``char_wb``, 1-3 by default) counted per language -- one
-aggregation. Score: each row's n-grams are pre-aggregated per (row, n-gram), joined to the
-profile, and summed per (row, language):
+aggregation; the profile holds one row per n-gram with its weights of all languages in an array.
+Score: each row's n-grams are pre-aggregated per (row, n-gram), joined to the profile once, and
+summed per row for all languages at a time:
 
     score(row, lang) = log prior(lang) + sum_g count(g) * log(c_lang(g) + 1) - N_row * log(T_lang + V)
 
-which is the Laplace-smoothed log likelihood with unseen n-grams folded into the last term, so
-only matching n-grams travel through the join. The profile is broadcast when its row count is
-within a checked bound, otherwise joined by shuffle (AQE splits hot n-grams). The per-row
-softmax runs over at most |languages| values. The output plugs into ``detect_language``
-through ``langid=(lang_col, prob_col)``.
+which is the Laplace-smoothed log likelihood with unseen n-grams folded into the last term.
+Catalyst chooses the join by size; AQE splits frequent n-grams. The per-row softmax runs over at
+most |languages| values. The output plugs into ``detect_language`` through
+``langid=(lang_col, prob_col)``.
 """
 
 from __future__ import annotations
@@ -22,17 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-MAX_BROADCAST_PROFILE_ROWS = 2_000_000
+from ..session import cut_lineage
 
 
 @dataclass
 class LangIdModel:
-    profile: DataFrame            # (gram, lang, log_c1)
+    profile: DataFrame            # (gram, weights: array of log(count + 1) in the order of languages)
     languages: list[tuple[str, float, float]]  # (lang, log_prior, log_denominator) -- |languages| rows
     n_min: int
     n_max: int
-    profile_rows: int
 
 
 def ngram_counts(df: DataFrame, text: str, lang: str, n_min: int = 1, n_max: int = 3) -> DataFrame:
@@ -42,40 +40,32 @@ def ngram_counts(df: DataFrame, text: str, lang: str, n_min: int = 1, n_max: int
 
 
 def fit_langid(df: DataFrame, text: str = "text", lang: str = "lang", n_min: int = 1, n_max: int = 3) -> LangIdModel:
-    counts = ngram_counts(df.filter(F.col(lang).isNotNull()), text, lang, n_min, n_max).cache()
+    known = df.filter(F.col(lang).isNotNull())
+    counts = cut_lineage(ngram_counts(known, text, lang, n_min, n_max))
     vocab = counts.select("gram").distinct().count()
     per_lang = counts.groupBy(lang).agg(F.sum("n").alias("t"))
-    docs = df.filter(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("d"))
+    docs = known.groupBy(lang).agg(F.count("*").alias("d"))
     # one row per language: a model parameter, not row data
     stats = per_lang.join(docs, lang).collect()
     n_docs = sum(r["d"] for r in stats)
-    languages = [(r[lang], math.log(r["d"] / n_docs), math.log(r["t"] + vocab)) for r in stats]
-    profile = counts.select("gram", F.col(lang).alias("lang"), F.log(F.col("n") + 1.0).alias("log_c1"))
-    return LangIdModel(profile, sorted(languages), n_min, n_max, counts.count())
+    languages = sorted((r[lang], math.log(r["d"] / n_docs), math.log(r["t"] + vocab)) for r in stats)
+    weight = lambda l: F.log(F.sum(F.when(F.col(lang) == l, F.col("n")).otherwise(0)) + 1.0)
+    profile = counts.groupBy("gram").agg(F.array(*[weight(l) for l, _, _ in languages]).alias("weights"))
+    return LangIdModel(profile, languages, n_min, n_max)
 
 
 def langid_scores(df: DataFrame, key: str, model: LangIdModel, text: str = "text",
                   out_lang: str = "langid_lang", out_prob: str = "langid_prob") -> DataFrame:
-    """Adds the top language and its probability to every row (rows with no text get NULL)."""
-    grams = df.select(key, X.char_wb_ngrams(text, model.n_min, model.n_max).alias("_g"))
-    sizes = grams.select(key, F.size("_g").alias("_N"))
-    per_gram = X.explode_rows(grams, F.col("_g"), "gram", key).groupBy(key, "gram").agg(F.count("*").alias("_c"))
-    prof = model.profile
-    if model.profile_rows <= MAX_BROADCAST_PROFILE_ROWS:
-        prof = F.broadcast(prof)
-    matched = (per_gram.join(prof, "gram").groupBy(key, "lang")
-               .agg(F.sum(F.col("_c") * F.col("log_c1")).alias("_m")))
-    langs = F.array(*[F.struct(F.lit(l).alias("lang"), F.lit(p).alias("prior"), F.lit(d).alias("den"))
-                      for l, p, d in model.languages])
-    base = sizes.select(key, "_N", F.explode(langs).alias("_l")).select(
-        key, "_N", F.col("_l.lang").alias("lang"), F.col("_l.prior").alias("_prior"), F.col("_l.den").alias("_den"))
-    scored = (base.join(matched, [key, "lang"], "left")
-              .select(key, "lang", "_N", (F.col("_prior") + F.coalesce("_m", F.lit(0.0))
-                                          - F.col("_N") * F.col("_den")).alias("_s")))
-    per_row = scored.groupBy(key).agg(F.max("_N").alias("_N"), F.max("_s").alias("_mx"),
-                                      F.max_by("lang", "_s").alias(out_lang),
-                                      F.collect_list(F.struct("lang", "_s")).alias("_all"))  # <= |languages|
-    total = F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x["_s"] - F.col("_mx")))
-    res = per_row.select(key, F.when(F.col("_N") > 0, F.col(out_lang)).alias(out_lang),
-                         F.when(F.col("_N") > 0, F.lit(1.0) / total).alias(out_prob))
+    """Adds the top language (ties: the first by name) and its probability to every row; a row without text gets NULL."""
+    grams = X.explode_rows(df.select(key, X.char_wb_ngrams(text, model.n_min, model.n_max).alias("_g")), F.col("_g"), "gram", key)
+    per_gram = grams.groupBy(key, "gram").agg(F.count("*").alias("_c"))
+    matched = per_gram.join(model.profile, "gram", "left").groupBy(key).agg(
+        F.sum("_c").alias("_N"), *[F.sum(F.col("_c") * F.coalesce(F.col("weights")[i], F.lit(0.0))).alias(f"_m{i}")
+                                   for i in range(len(model.languages))])
+    scores = F.array(*[F.lit(prior) + F.col(f"_m{i}") - F.col("_N") * F.lit(den) for i, (_, prior, den) in enumerate(model.languages)])
+    names = F.array(*[F.lit(l) for l, _, _ in model.languages])
+    scored = matched.select(key, scores.alias("_s"))
+    top = F.array_max("_s")
+    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    res = scored.select(key, F.element_at(names, F.array_position("_s", top).cast("int")).alias(out_lang), (1.0 / total).alias(out_prob))
     return df.join(res, key, "left")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as FV
+from ..session import cut_lineage
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -30,10 +31,14 @@ def with_correct(df: DataFrame, truth: str = "ground_truth", pred: str = "predic
 
 def confusion_counts(df: DataFrame, truth: str = "ground_truth", pred: str = "predicted_label",
                      by: list[str] | None = None) -> DataFrame:
-    """(by..., truth, pred, n): the only pass over the big table."""
+    """(by..., truth, pred, n): the only pass over the big table.
+
+    The few rows are kept (a reliable checkpoint in the shared folder), as several metrics read them: the plans
+    above start from them and hold no scan of the big table.
+    """
     by = list(by or [])
-    return (df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred"))
-            .agg(F.count("*").alias("n")))
+    return cut_lineage(df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred"))
+                       .agg(F.count("*").alias("n")))
 
 
 def label_stats(counts: DataFrame, by: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
@@ -124,16 +129,15 @@ def classification_report(df: DataFrame, truth: str = "ground_truth", pred: str
     summ = summary_from_stats(st, counts)
     cls = st.select(F.col("label").alias("row"), "precision", "recall", F.col("f1").alias("f1_score"),
                     F.col("support").cast("long").alias("support"))
-    acc = summ.select(F.lit("accuracy").alias("row"), F.col("accuracy").alias("precision"),
-                      F.col("accuracy").alias("recall"), F.col("accuracy").alias("f1_score"),
-                      F.col("n").cast("long").alias("support"))
-    mac = summ.select(F.lit("macro avg").alias("row"), F.col("macro_precision").alias("precision"),
-                      F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1_score"),
-                      F.col("n").cast("long").alias("support"))
-    wei = summ.select(F.lit("weighted avg").alias("row"), F.col("weighted_precision").alias("precision"),
-                      F.col("weighted_recall").alias("recall"), F.col("weighted_f1").alias("f1_score"),
-                      F.col("n").cast("long").alias("support"))
-    return cls.unionByName(acc).unionByName(mac).unionByName(wei)
+
+    def line(name, precision, recall, f1):
+        return F.struct(F.lit(name).alias("row"), F.col(precision).alias("precision"), F.col(recall).alias("recall"),
+                        F.col(f1).alias("f1_score"), F.col("n").cast("long").alias("support"))
+    # one summary row unfolds into its three lines
+    lines = summ.select(F.explode(F.array(
+        line("accuracy", "accuracy", "accuracy", "accuracy"), line("macro avg", "macro_precision", "macro_recall", "macro_f1"),
+        line("weighted avg", "weighted_precision", "weighted_recall", "weighted_f1"))).alias("x")).select("x.*")
+    return cls.unionByName(lines)
 
 
 def confusion_matrix(df: DataFrame, truth: str = "ground_truth", pred: str = "predicted_label",
@@ -154,12 +158,11 @@ def confusion_matrix(df: DataFrame, truth: str = "ground_truth", pred: str = "pr
 
 def evaluation_report(df: DataFrame, truth: str = "ground_truth", pred: str = "predicted_label",
                       key: str = "script_type") -> DataFrame:
-    """Overall and per-group summary from one cached count table, in long form.
+    """Overall and per-group summary from one count table, in long form.
 
-    ``scope`` is 'overall' or the group value. Counts are cached: they are tiny and feed
-    several metrics.
+    ``scope`` is 'overall' or the group value.
     """
-    counts = confusion_counts(df, truth, pred, [key]).cache()
+    counts = confusion_counts(df, truth, pred, [key])
     overall_counts = counts.groupBy("truth", "pred").agg(F.sum("n").alias("n"))
     overall = summary_from_stats(label_stats(overall_counts, None, None), overall_counts)
     per = summary_from_stats(label_stats(counts, [key], None), counts, [key])

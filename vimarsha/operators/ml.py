@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import cut_lineage
 from . import metrics as M
 
-HASH_SPACE = 1 << 32
 BUCKET_BITS = 16
 CLASSIFIERS = ["naive_bayes", "logistic_regression", "linear_svm"]
 
@@ -32,9 +32,10 @@ CLASSIFIERS = ["naive_bayes", "logistic_regression", "linear_svm"]
 # hashing and splits
 # ---------------------------------------------------------------------------
 def key_hash(key, seed: int = 42) -> Column:
-    """Deterministic 32-bit hash of an integral key; same arithmetic in any SQL engine."""
-    k = F.pmod(X.col_(key).cast("long"), F.lit(1000003))
-    return F.pmod(k * F.lit(2654435761) + F.lit(seed * 97 + 12345), F.lit(HASH_SPACE))
+    """Deterministic 32-bit hash of a key of any type: the head of the MD5 of its text and the seed, which any SQL
+    engine can compute."""
+    text = F.concat(X.col_(key).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def holdout_split(df: DataFrame, key: str, frac: float = 0.1, seed: int = 42,
@@ -73,8 +74,8 @@ def stratified_split(df: DataFrame, key: str, label: str, test_frac: float = 0.2
 
     w_in = Window.partitionBy(label, "_vm_b").orderBy("_vm_h", key)
     ranked = base.withColumn("_vm_rn", F.row_number().over(w_in))
-    # offsets: <= |labels| x 65536 rows; quota: |labels| rows -- both bounded, broadcast
-    ranked = ranked.join(F.broadcast(offsets), [label, "_vm_b"]).join(F.broadcast(quota), label)
+    # offsets have at most |labels| x 65536 rows, quota |labels|; labels may be any column, so the planner decides
+    ranked = ranked.join(offsets, [label, "_vm_b"]).join(quota, label)
     is_test = F.col("_vm_off") + F.col("_vm_rn") <= F.col("_vm_quota")
     return ranked.withColumn(out, F.when(is_test, "test").otherwise("train")).drop(
         "_vm_h", "_vm_b", "_vm_off", "_vm_rn", "_vm_quota")
@@ -96,14 +97,14 @@ def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 2.0, max_fea
     ln((1+n)/(1+df)) + 1 -> L2 normalisation.
 
     Two passes over the training text: the vocabulary fit, then one transform whose term counts
-    are persisted; IDF and the training features are derived from those cached counts. Spark's
+    are written once; IDF and the training features are derived from those cached counts. Spark's
     IDF omits the +1, so the fitted IDF vector is shifted by one and applied with an
     ElementwiseProduct stage. Returns (model, training features with ``keep`` columns).
     """
     keep = list(keep or [])
     grams = train.select(*keep, X.char_wb_ngrams(text).alias("_vm_grams"))
     cv_model = CountVectorizer(inputCol="_vm_grams", outputCol="_vm_tf", minDF=min_df, vocabSize=max_features).fit(grams)
-    tf = cv_model.transform(grams).select(*keep, "_vm_tf").persist()
+    tf = cut_lineage(cv_model.transform(grams).select(*keep, "_vm_tf"))
     idf_model = IDF(inputCol="_vm_tf", outputCol="_vm_unused").fit(tf)
     shifted = Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()])
     scale = ElementwiseProduct(scalingVec=shifted, inputCol="_vm_tf", outputCol="_vm_tfidf")
@@ -123,14 +124,6 @@ def tfidf_features(df: DataFrame, model: PipelineModel, text: str = "text") -> D
         "_vm_grams", "_vm_tf", "_vm_tfidf")
 
 
-def compact_for_iterations(df: DataFrame, n_rows: int, rows_per_partition: int = 50_000) -> DataFrame:
-    """Iterative learners run one job per iteration; with few rows, job overhead dominates, so
-    cached training data is coalesced to about ``rows_per_partition`` rows per partition (no
-    shuffle). Large inputs keep their partitioning."""
-    want = max(1, -(-n_rows // rows_per_partition))
-    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
-
-
 # ---------------------------------------------------------------------------
 # classifiers
 # ---------------------------------------------------------------------------
@@ -173,9 +166,10 @@ def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
     test = indexer.transform(split.filter(F.col("split") == "test"))
     feats, train_f = fit_tfidf(train, text, keep=[key, "label", "label_idx"])
     n_train = train_f.count()
-    train_f = compact_for_iterations(train_f, n_train).cache()
+    train_f = train_f.cache()
     test_f = tfidf_features(test, feats, text).select(key, "label", "label_idx", "features").cache()
     out = None
+    known = ["Positive", "Negative", "Neutral"]
     for pos, name in enumerate(classifiers):
         model = build_classifier(name, n_train, len(labels)).fit(train_f)
         pred = model.transform(test_f).withColumn(
@@ -183,21 +177,24 @@ def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
         counts = M.confusion_counts(pred, "label", "pred_label")
         stats = M.label_stats(counts, None, labels)
         summ = M.summary_from_stats(M.label_stats(counts, None, None), counts)
-        f1s = stats.groupBy().pivot("label", ["Positive", "Negative", "Neutral"]).agg(F.first("f1"))
-        row = summ.select(F.lit(name).alias("name"), F.lit(pos).alias("position"), "accuracy",
-                          "macro_f1", "weighted_f1",
-                          *[f1s.select(c).scalar().alias(c) for c in ("Positive", "Negative", "Neutral")])
+        f1s = stats.agg(*[F.max(F.when(F.col("label") == c, F.col("f1"))).alias(c) for c in known])
+        row = summ.select(F.lit(name).alias("name"), F.lit(pos).alias("position"), "accuracy", "macro_f1", "weighted_f1",
+                          *[f1s.select(c).scalar().alias(c) for c in known])
         out = row if out is None else out.unionByName(row)
     w = Window.orderBy(F.desc("macro_f1"), F.asc("position"))  # over |classifiers| rows
     ranked = out.withColumn("rank", F.row_number().over(w))
     nb = "naive_bayes" if "naive_bayes" in classifiers else None
     last = F.max("rank").over(Window.partitionBy(F.lit(1)))
     baseline = (F.col("name") == nb) if nb else (F.col("rank") == last)
-    return ranked.select("name", "accuracy", "macro_f1", "weighted_f1",
-                         F.coalesce(F.col("Positive"), F.lit(0.0)).alias("positive_f1"),
-                         F.coalesce(F.col("Negative"), F.lit(0.0)).alias("negative_f1"),
-                         F.coalesce(F.col("Neutral"), F.lit(0.0)).alias("neutral_f1"),
-                         "rank", (F.col("rank") == 1).alias("best"), baseline.alias("baseline"))
+    result = cut_lineage(ranked.select(
+        "name", "accuracy", "macro_f1", "weighted_f1",
+        F.coalesce(F.col("Positive"), F.lit(0.0)).alias("positive_f1"),
+        F.coalesce(F.col("Negative"), F.lit(0.0)).alias("negative_f1"),
+        F.coalesce(F.col("Neutral"), F.lit(0.0)).alias("neutral_f1"),
+        "rank", (F.col("rank") == 1).alias("best"), baseline.alias("baseline")))
+    for kept in (clean, split, train_f, test_f):    # the result stands by itself
+        kept.unpersist()
+    return result
 
 
 def benchmark_suite(datasets: dict[str, tuple[DataFrame, str, str, str]],
@@ -224,7 +221,7 @@ def train_sentiment(df: DataFrame, key: str, text: str, label: str, path: str |
     train = indexer.transform(split.filter(F.col("split") == "train"))
     feats, train_f = fit_tfidf(train, "text", keep=["label", "label_idx"])
     n_train = train_f.count()
-    train_f = compact_for_iterations(train_f, n_train).cache()
+    train_f = train_f.cache()
     clf = build_classifier(classifier, n_train, len(labels)).fit(train_f)
     model = PipelineModel(stages=list(feats.stages) + [clf])
     val = split.filter(F.col("split") == "validation")
@@ -246,12 +243,19 @@ class TextModelScorer:
     def __init__(self, model: PipelineModel, labels: list[str]):
         self.model, self.labels = model, labels
 
+    def _probabilities(self, scored: DataFrame) -> Column:
+        """Probabilities per label; a model without them (linear SVM, one-vs-rest) has its margins put through softmax."""
+        from .score import softmax
+        if "probability" in scored.columns:
+            return vector_to_array(F.col("probability"))
+        return softmax(vector_to_array(F.col("rawPrediction")))
+
     def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
         from .score import argmax_index, label_of, label_probabilities
         cols = df.columns
         tmp = df.withColumn("_vm_grams", X.char_wb_ngrams(F.coalesce(F.col(text_col), F.lit(""))))
         scored = self.model.transform(tmp)
-        probs = vector_to_array(F.col("probability"))
+        probs = self._probabilities(scored)
         res = F.struct(label_of(argmax_index(probs), self.labels).alias("label"),
                        F.array_max(probs).alias("confidence"),
                        label_probabilities(probs, self.labels).alias("probabilities"),

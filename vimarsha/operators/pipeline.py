@@ -148,3 +148,21 @@ def row_status(errors: Column, skipped: Column | None = None, failed: Column | N
 def flatten_result(df: DataFrame, steps: str = "pipeline_steps", errors: str = "errors") -> DataFrame:
     """P5: arrays to the flat text form (steps joined by ", ", errors by "; ")."""
     return df.withColumns({steps: F.array_join(F.col(steps), ", "), errors: F.array_join(F.col(errors), "; ")})
+
+
+RESULT_COLUMNS = ["original_text", "detected_language", "sentiment_label", "confidence_score", "status"]
+
+
+def processed(df: DataFrame, status: str = "status") -> DataFrame:
+    """P10: rows that went through, warnings included."""
+    return df.filter(F.col(status).isin("ok", "ok_with_warnings"))
+
+
+def errors_only(df: DataFrame, correct: str = "correct", errors: str = "errors") -> DataFrame:
+    """P10: wrong predictions that left a message."""
+    return df.filter(~F.col(correct) & (F.length(errors) > 0))
+
+
+def select_result_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The columns of a result table to show, in the given order; those that it lacks are left out."""
+    return df.select(*[c for c in (columns or RESULT_COLUMNS) if c in df.columns])

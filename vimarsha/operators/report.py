@@ -8,11 +8,14 @@ order is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as FV
 from ..functions import text as X
+from ..session import cut_lineage
 
 
 def _div(a, b) -> Column:
@@ -83,27 +86,76 @@ def accuracy_by(df: DataFrame, key: str, correct: str = "correct") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A12-A14, A19, A23
-def _five(c: Column, approx: bool):
-    med = F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
-    return [F.avg(c).alias("mean"), med.alias("median"), F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"), F.max(c).alias("max")]
+QUANTILE_BUCKETS = 4096
 
 
-def numeric_summary(df: DataFrame, cols: list[str], scale: float = 1.0, approx: bool = False) -> DataFrame:
-    """Mean / median / sample std / min / max per column (long form), values times ``scale``.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``value`` per group, one output column per entry of ``qs``.
 
-    The exact median keeps one entry per distinct value of a group; ``approx=True`` switches to a
-    bounded-memory sketch for high-cardinality columns.
+    Distinct values are counted first (partial sums before the shuffle) and fall into buckets that rise with the value
+    between the group's least and greatest. Prefix sums over at most ``QUANTILE_BUCKETS`` bucket totals of a
+    group find the buckets that hold the wanted ranks, and only their values are ranked one by one.
+    No group's values meet in one task's memory, whatever their number. NULLs are left out.
     """
+    named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("_g0")]
+    g = [f"_g{i}" for i in range(max(1, len(by)))]
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("v"))
+                         .groupBy(*g, "v").agg(F.count("*").alias("n")))
+    ends = counts.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in g])
+    pick = lambda a, *cols: [a[c] for c in (*g, *cols)]
+    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+    bucketed = counts.join(ends, same(counts, ends)).select(
+        *pick(counts, "v", "n"), "total", F.least(F.coalesce(F.floor(share * QUANTILE_BUCKETS), F.lit(0)).cast("int"),
+                                                  F.lit(QUANTILE_BUCKETS - 1)).alias("b"))
+    totals = bucketed.groupBy(*g, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
+    before = F.coalesce(F.sum("bn").over(Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("before", before)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.lit(side).alias("side"))
+                      for name, q in qs.items() for side in (0, 1)])
+    wanted = totals.withColumn("want", F.explode(ranks)).withColumn("place", F.col("want.q") * (F.col("total") - 1)).withColumn(
+        "rank", F.when(F.col("want.side") == 0, F.floor("place")).otherwise(F.ceil("place"))).filter(
+        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("bn")))
+    inside = bucketed.join(wanted.select(*g, "b", "before").distinct().alias("w"),
+                           reduce(lambda x, y: x & y, [bucketed[c].eqNullSafe(F.col(f"w.{c}")) for c in g]) & (bucketed["b"] == F.col("w.b"))
+                           ).select(*pick(bucketed, "v", "n", "b"), "before")
+    upto = F.sum("n").over(Window.partitionBy(*g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.withColumn("last", F.col("before") + upto).withColumn("first", F.col("last") - F.col("n")).alias("i")
+    w = wanted.select(*g, "b", "want", "place", "rank").alias("w")
+    on = reduce(lambda x, y: x & y, [F.col(f"i.{c}").eqNullSafe(F.col(f"w.{c}")) for c in g]) & (F.col("i.b") == F.col("w.b"))
+    found = w.join(inside, on & (F.col("w.rank") >= F.col("i.first")) & (F.col("w.rank") < F.col("i.last"))).select(
+        *[F.col(f"w.{c}").alias(c) for c in g], F.col("w.want.name").alias("name"), F.col("w.want.side").alias("side"),
+        (F.col("w.place") - F.floor("w.place")).alias("part"), F.col("i.v").alias("v"))
+    end = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    out = found.groupBy(*g).agg(*[(end(n, 0) + (end(n, 1) - end(n, 0)) * part(n)).alias(n) for n in qs])
+    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], *qs)
+
+
+def _with_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], aggs: list[Column]) -> DataFrame:
+    """The aggregates and quantiles of each group, groups of NULLs included."""
+    a, q = df.groupBy(*by).agg(*aggs), exact_quantiles(df, by, value, qs)
+    on = reduce(lambda x, y: x & y, [a[c].eqNullSafe(q[c]) for c in by])
+    return a.join(q, on, "left").select(*[a[c] for c in a.columns], *[q[c] for c in qs])
+
+
+def _moments(c: Column) -> list[Column]:
+    return [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+
+
+def numeric_summary(df: DataFrame, cols: list[str], scale: float = 1.0) -> DataFrame:
+    """Mean / exact median / sample std / min / max per column (long form), values times ``scale``."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
-    v = F.col("value") * F.lit(scale)
-    return long.groupBy("column").agg(*_five(v, approx))
+        [], cols, "column", "value").withColumn("value", F.col("value") * F.lit(scale))
+    out = _with_quantiles(long, ["column"], "value", {"median": 0.5}, _moments(F.col("value")))
+    return out.select("column", "mean", "median", "std", "min", "max")
 
 
-def numeric_summary_by(df: DataFrame, key: str, col: str, scale: float = 1.0, approx: bool = False) -> DataFrame:
+def numeric_summary_by(df: DataFrame, key: str, col: str, scale: float = 1.0) -> DataFrame:
     """The same five statistics per group."""
-    return df.groupBy(key).agg(*_five(F.col(col).cast("double") * F.lit(scale), approx))
+    v = df.select(F.col(key), (F.col(col).cast("double") * F.lit(scale)).alias("_vm_v"))
+    out = _with_quantiles(v, [key], "_vm_v", {"median": 0.5}, _moments(F.col("_vm_v")))
+    return out.select(key, "mean", "median", "std", "min", "max")
 
 
 def step_means_long(df: DataFrame, key: str, cols: list[str], scale: float = 1.0) -> DataFrame:
@@ -114,18 +166,16 @@ def step_means_long(df: DataFrame, key: str, cols: list[str], scale: float = 1.0
 
 def confidence_by_outcome(df: DataFrame, correct: str = "correct", conf: str = "confidence_score") -> DataFrame:
     """Mean and median confidence for correct vs incorrect predictions."""
-    return df.groupBy(correct).agg(F.avg(conf).alias("mean"), F.median(conf).alias("median"),
-                                   F.count("*").alias("n"))
+    out = _with_quantiles(df.select(correct, conf), [correct], conf, {"median": 0.5}, [F.avg(conf).alias("mean"), F.count("*").alias("n")])
+    return out.select(correct, "mean", "median", "n")
 
 
 def box_summary(df: DataFrame, col: str, by: str) -> DataFrame:
     """Quartiles (linear interpolation), mean, std, min, max per group."""
-    c = F.col(col).cast("double")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(by).agg(q.alias("_q"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                           F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
-    return g.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "mean", "std", "min", "max")
+    v = df.select(F.col(by), F.col(col).cast("double").alias("_vm_v"))
+    out = _with_quantiles(v, [by], "_vm_v", {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                          [*_moments(F.col("_vm_v")), F.count("_vm_v").alias("n")])
+    return out.select(by, "n", "q1", "median", "q3", "mean", "std", "min", "max")
 
 
 # --------------------------------------------------------------------------- A15
@@ -262,6 +312,12 @@ def label_balance(df: DataFrame, truth: str = "ground_truth", pred: str = "predi
 
 
 # --------------------------------------------------------------------------- A25-A27
+def unchanged_words(pairs: DataFrame, inp: str = "input", got: str = "got") -> DataFrame:
+    """Candidates for the dictionary -- the words that came out as they went in, most frequent first."""
+    return pairs.filter(F.col(got) == F.col(inp)).groupBy(F.col(inp).alias("word")).agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), F.asc("word"))
+
+
 def translit_error_patterns(pairs: DataFrame, inp: str = "input", got: str = "got") -> DataFrame:
     """Classify failed words -- unchanged (output = input), wrong (has native chars), partial."""
     kind = (F.when(F.col(got) == F.col(inp), "unchanged").when(X.has_native(got), "wrong").otherwise("partial"))

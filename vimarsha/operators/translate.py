@@ -111,3 +111,17 @@ def translate_with(df: DataFrame, col: str, sources: list[tuple[str, DataFrame]]
     cur = cur.withColumn(out, F.when(X.is_blank(F.col(col)), F.col(col)).otherwise(translated))
     cur = cur.withColumn(used, backend)
     return cur.drop("_vm_key", *[t for _, t in names])
+
+
+def score_translations(df: DataFrame, key: str, text: str, category: str, native: str | None = None, width: int = 35) -> DataFrame:
+    """Translations scored against their texts: key, category, backend, score (0 to 5), success, display.
+
+    Without a ``native`` column the text is romanized: it goes through the dictionary into native script first.
+    """
+    from .translit import transliterate
+    src = "_vm_native"
+    t = df.withColumn(src, F.col(native)) if native else transliterate(df, text, "_vm_tl").withColumn(
+        src, F.col("_vm_tl.transliterated"))
+    t = X.with_similarity(t.withColumn("_vm_out", translated_text(src)), "_vm_out", text, "_vm_score")
+    return t.select(key, F.col(category).alias("category"), F.lit("fallback").alias("backend"), F.col("_vm_score").alias("score"),
+                    F.lit(True).alias("success"), X.truncate_text(text, width).alias("display"))

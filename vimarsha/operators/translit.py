@@ -99,8 +99,7 @@ def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration"
                   dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None,
                   scheme: bool = False) -> DataFrame:
     """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries (T6): a dict is
-    inlined; a DataFrame (src, dst) -- or a dict beyond ``INLINE_LIMIT`` entries -- is merged over
-    the defaults and applied through joins (``key`` names a unique row key for that path).
+    inlined; a DataFrame (src, dst) is merged over the defaults and applied through joins (``key`` names a unique row key for that path).
     ``scheme=True`` spells words missing from the dictionary with the ITRANS rules (T7), once per
     distinct word, through the same join path.
     """
@@ -110,8 +109,6 @@ def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration"
     elif dictionary is not None or scheme:
         table = dictionary if dictionary is not None else df.sparkSession.createDataFrame([], "src string, dst string")
         return _transliterate_by_join(df, col, out, table, key, scheme)
-    if len(lookup) > LX.INLINE_LIMIT:
-        return _transliterate_by_join(df, col, out, LX.dictionary_table(df.sparkSession, lookup), key)
     tmp = df.withColumn("_vm_toks", X.tokens_ws(col))
     tmp = tmp.withColumn("_vm_hits", token_hits(F.col("_vm_toks"), lookup))
     return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.col("_vm_hits"))).drop("_vm_toks", "_vm_hits")
@@ -125,16 +122,19 @@ def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFr
     return dictionary_rewrite(df, col, out, merged, key, scheme)
 
 
-def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native",
-                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native") -> DataFrame:
     """Left join each token to a dictionary table (src, dst); a miss keeps the token.
 
-    The dictionary is broadcast only when its row count is within ``max_broadcast_rows``
-    (checked with one count on the dictionary, never on the big side); otherwise Catalyst
-    plans a shuffle join on the token.
+    Catalyst and AQE choose the join by the dictionary's size in bytes.
     """
     d = dictionary.select(F.col("src").alias("_vm_src"), F.col("dst").alias("_vm_dst"))
-    if d.count() <= max_broadcast_rows:
-        d = F.broadcast(d)
     j = df.join(d, df[col] == d["_vm_src"], "left")
     return j.withColumn(out, F.coalesce(F.col("_vm_dst"), F.col(col))).drop("_vm_src", "_vm_dst")
+
+
+def translit_table(df: DataFrame, key: str, text: str = "text", dictionary: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """One row for each text: key, input, output, method and whether the output differs from the input."""
+    t = transliterate(df, text, "_vm_t", dictionary, key)
+    out = F.col("_vm_t.transliterated")
+    return t.select(key, F.col(text).alias("input"), out.alias("output"), F.col("_vm_t.method").alias("method"),
+                    (~out.eqNullSafe(F.col(text))).alias("changed"))

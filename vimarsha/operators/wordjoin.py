@@ -1,9 +1,9 @@
 """Dictionary rewrite through joins, for user dictionaries too large to inline.
 
 Tokens are exploded with their position, each *distinct* lower-cased word (and its stem without
-trailing punctuation) is looked up once, and every row is rebuilt from its own tokens. The
-dictionary is broadcast only when its row count is within a checked bound; otherwise Catalyst
-plans a shuffle join on the word (AQE splits hot words). A row's tokens are regrouped by the
+trailing punctuation) is looked up once, and every row is rebuilt from its own tokens. Catalyst
+chooses between a broadcast and a shuffle join by size in bytes, and AQE splits hot words; blank
+runs, half of all tokens, never take part in the lookup join. A row's tokens are regrouped by the
 row key, so a group holds exactly one text's tokens.
 """
 
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import cut_lineage
 
-MAX_BROADCAST_ROWS = 1_000_000
-
 
 def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None = None,
                        scheme: bool = False) -> DataFrame:
@@ -26,8 +24,6 @@ def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame,
         df = cut_lineage(df.withColumn("_vm_row", F.monotonically_increasing_id()))
         key = "_vm_row"
     d = dictionary.select(F.col("src").alias("_k"), F.col("dst").alias("_v"))
-    if d.count() <= MAX_BROADCAST_ROWS:
-        d = F.broadcast(d)
     toks = df.select(key, F.posexplode(X.tokens_ws(col)).alias("pos", "tok"))
     toks = toks.withColumns({"_ws": X.is_ws_token(F.col("tok")), "_low": F.lower("tok")})
     toks = toks.withColumn("_stem", X.rstrip_punct("_low"))
@@ -45,11 +41,13 @@ def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame,
     else:
         looked = looked.withColumn("_sch", F.lit(None).cast("string"))
     looked = looked.select("tok", "_dict", "_sch")
-    t = toks.join(looked, "tok", "left")
-    hit = F.when(~F.col("_ws"), F.coalesce(F.col("_dict"), F.col("_sch")))
-    kind = (F.when(F.col("_ws"), F.lit(None).cast("string")).when(F.col("_dict").isNotNull(), "fallback")
-            .when(F.col("_sch").isNotNull(), "scheme"))
-    t = t.select(key, "pos", "tok", hit.alias("hit"), kind.alias("kind"))
+    # words are joined with the entries that change them; blank runs only meet them again at the regrouping
+    none = F.lit(None).cast("string")
+    hits = looked.filter(F.col("_dict").isNotNull() | F.col("_sch").isNotNull())
+    words = toks.filter(~F.col("_ws")).join(hits, "tok", "left")
+    kind = F.when(F.col("_dict").isNotNull(), "fallback").when(F.col("_sch").isNotNull(), "scheme")
+    words = words.select(key, "pos", "tok", F.coalesce("_dict", "_sch").alias("hit"), kind.alias("kind"))
+    t = words.unionByName(toks.filter("_ws").select(key, "pos", "tok", none.alias("hit"), none.alias("kind")))
     rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "hit", "kind"))).alias("_ms"))
     rebuilt = rebuilt.select(key, F.transform("_ms", lambda x: x["tok"]).alias("_vm_toks"),
                              F.transform("_ms", lambda x: x["hit"]).alias("_vm_hits"),

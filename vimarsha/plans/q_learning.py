@@ -8,7 +8,7 @@ from ..operators import ml as ML
 from .catalog import register, table
 from .views import docs
 
-_H = "((doc_id % 1000003) * 2654435761 + 16419) % 4294967296"
+_H = "('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 8))::BIGINT"
 _POLARITY = "CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END"
 
 
@@ -91,7 +91,7 @@ def q_benchmark_suite(spark, sf):
     return ML.benchmark_suite({
         "documents_quality": (labelled(spark, sf), "doc_id", "text", "label"),
         "documents_toxicity": (labelled(spark, sf, tox), "doc_id", "text", "label"),
-    }, ["naive_bayes", "logistic_regression"])
+    })
 
 
 # --------------------------------------------------------------------------- L9 / T11
@@ -101,6 +101,15 @@ def q_train_sentiment(spark, sf):
     return metrics
 
 
+@register("score_svm")
+def q_score_svm(spark, sf):
+    """T11 with a model that has margins instead of probabilities."""
+    model, labels, _ = ML.train_sentiment(labelled(spark, sf), "doc_id", "text", "label", classifier="linear_svm")
+    s = ML.TextModelScorer(model, labels).score(docs(spark, sf), "text")
+    return s.select("doc_id", F.col("sentiment.label").alias("label"),
+                    F.round("sentiment.confidence", 6).alias("confidence"))
+
+
 @register("score_sentiment")
 def q_score_sentiment(spark, sf):
     model, labels, _ = ML.train_sentiment(labelled(spark, sf), "doc_id", "text", "label")
@@ -159,5 +168,5 @@ def q_merge_splits(spark, sf):
     d = ML.holdout_split(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id", 0.1, 42)
     for split in ("train", "validation"):
         write_report(d.filter(F.col("split") == split).drop("split"), f"{root}/{split}")
-    m = merge_splits(spark, {s: f"{root}/{s}" for s in ("train", "validation")})
+    m = merge_splits(spark, {s: f"{root}/{s}" for s in ("train", "validation")}, "doc_id long, source string, text string")
     return m.select("doc_id", "source", "text", "_split")

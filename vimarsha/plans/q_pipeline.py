@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..operators.pipeline import analyze, validate_text
 from . import sqlfrag as S
 from .catalog import register, table
-from .views import docs
+from .views import TEXTS_SQL, in_every_script, texts
 
-ANALYZE_SQL = S.analyze_sql("documents", "doc_id", "text")
+ANALYZE_SQL = S.analyze_sql(TEXTS_SQL, "doc_id", "text")
 
 
 def analyzed(spark, sf):
-    return analyze(docs(spark, sf), "text", keep=["doc_id"])
+    return analyze(texts(spark, sf), "text", keep=["doc_id"])
 
 
 @register("analyze", ANALYZE_SQL)
@@ -39,13 +39,11 @@ def q_pipeline_steps(spark, sf):
 
 @register("batch_counts", f"""
 WITH a AS ({ANALYZE_SQL})
-SELECT count(*) AS total, count(*) FILTER (WHERE status IN ('ok', 'ok_with_warnings')) AS ok,
+SELECT count(*) FILTER (WHERE status IN ('ok', 'ok_with_warnings')) AS ok,
        count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM a""")
 def q_batch_counts(spark, sf):
-    a = analyzed(spark, sf)
-    return a.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("ok", "ok_with_warnings")).alias("ok"),
-                 F.count_if(F.col("status") == "error").alias("error"),
-                 F.count_if(F.col("status") == "skipped").alias("skipped"))
+    from ..operators.report import batch_counts
+    return batch_counts(analyzed(spark, sf))
 
 
 @register("validate_text", f"""
@@ -65,7 +63,7 @@ def q_validate_text(spark, sf):
 @register("analyze_stream", ANALYZE_SQL)
 def q_analyze_stream(spark, sf):
     from ..streaming.stream import analyze_stream, read_stream, run_to_table
-    sdf = read_stream(spark, f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    sdf = in_every_script(read_stream(spark, f"{sf.rstrip('/')}/documents.parquet"))
     return run_to_table(analyze_stream(sdf, "text", keep=["doc_id"]), mode="append")
 
 
@@ -73,5 +71,5 @@ def q_analyze_stream(spark, sf):
 WITH a AS ({ANALYZE_SQL}) SELECT status, count(*) AS n FROM a GROUP BY 1""")
 def q_running_counts(spark, sf):
     from ..streaming.stream import read_stream, run_to_table, running_counts
-    sdf = read_stream(spark, f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
+    sdf = in_every_script(read_stream(spark, f"{sf.rstrip('/')}/documents.parquet"))
     return run_to_table(running_counts(sdf), mode="complete")

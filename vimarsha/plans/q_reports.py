@@ -11,8 +11,9 @@ from ..functions.labels import normalize_label, recode
 from ..operators import report as R
 from ..operators.detect import detect_language
 from ..operators.pipeline import row_status
-from ..operators.translate import translated_text
-from ..operators.translit import transliterate
+from ..operators.pipeline import errors_only, processed, select_result_columns
+from ..operators.translate import score_translations, translated_text
+from ..operators.translit import translit_table, transliterate
 from . import sqlfrag as S
 from .catalog import register, table
 from .q_pipeline import ANALYZE_SQL, analyzed
@@ -138,19 +139,25 @@ _DICT_SQL = "dict AS (SELECT * FROM (VALUES " + ", ".join(
 
 
 @register("word_accuracy", f"""
-WITH {_WORDS_SQL}, {_DICT_SQL},
+WITH {_WORDS_SQL}, {_DICT_SQL}, added AS (SELECT DISTINCT lower(tok) AS src, '[' || lower(tok) || ']' AS dst FROM (
+    SELECT unnest({S.split_ws(S.strip('text'))}) AS tok FROM benchmark WHERE NOT {S.is_blank('text')})),
+ref AS (SELECT src AS word, CASE WHEN length(src) % 2 = 0 THEN src ELSE dst END AS expected FROM added
+        UNION ALL SELECT word, expected FROM dict WHERE word NOT IN (SELECT src FROM added)),
 o AS (SELECT DISTINCT lower(token) AS word FROM w),
 g AS (SELECT word, {S.translit_token('word', LX.roman_lookup())} AS got FROM o),
-j AS (SELECT g.word, got, expected FROM dict JOIN g ON dict.word = g.word)
+j AS (SELECT g.word, got, expected FROM ref JOIN g ON ref.word = g.word)
 SELECT count(*) AS total, count(*) FILTER (WHERE got = expected) AS correct,
        count(*) FILTER (WHERE got <> expected) AS incorrect,
        round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE got = expected)::DOUBLE / count(*) ELSE 0.0 END, 6)
          AS accuracy FROM j""")
 def q_word_accuracy(spark, sf):
+    """Outputs of the default dictionary against a reference table that agrees with it in part only."""
     words = _doc_words(spark, sf).select(F.lower("token").alias("word")).distinct()
     outs = transliterate(words, "word", "t").select("word", F.col("t.transliterated").alias("got"))
-    ref = LX.dictionary_table(spark, LX.roman_lookup()).select(F.col("src").alias("word"), F.col("dst").alias("expected"))
-    return r(R.word_accuracy(outs, F.broadcast(ref)), ["accuracy"])
+    own = _added(spark, sf).select("src", F.when(F.length("src") % 2 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+    ref = LX.merge_dictionary(LX.dictionary_table(spark, LX.roman_lookup()), own).select(
+        F.col("src").alias("word"), F.col("dst").alias("expected"))
+    return r(R.word_accuracy(outs, ref), ["accuracy"])
 
 
 # --------------------------------------------------------------------------- A16
@@ -300,12 +307,25 @@ oov AS (SELECT t AS input, {S.translit_token('t', LX.roman_lookup())} AS got FRO
 f AS (SELECT * FROM oov WHERE input = got AND regexp_matches(input, '\\pL') AND NOT regexp_matches(input, '{S.KANNADA}'))"""
 
 
+_ALL_PAIRS_SQL = f"""p AS (SELECT input, got FROM oov WHERE regexp_matches(input, '\\pL')
+      UNION ALL SELECT got || input, got FROM oov WHERE regexp_matches(input, '\\pL') AND got <> input
+      UNION ALL SELECT input, upper(input) FROM oov WHERE regexp_matches(input, '^[a-z]+$'))"""
+
+
 @register("translit_error_patterns", f"""
-WITH {_OOV_SQL}
+WITH {_OOV_SQL}, {_ALL_PAIRS_SQL}
 SELECT CASE WHEN got = input THEN 'unchanged' WHEN regexp_matches(got, '{S.KANNADA}') THEN 'wrong' ELSE 'partial' END
-       AS pattern, count(*) AS n FROM f GROUP BY 1""")
+       AS pattern, count(*) AS n FROM p GROUP BY 1""")
 def q_translit_error_patterns(spark, sf):
-    return R.translit_error_patterns(_oov_pairs(spark, sf)).groupBy("pattern").agg(F.count("*").alias("n"))
+    """Every word with its output; words that changed once more, against an input that they cannot equal; and lower-case
+    words with an output that only changes their case: all three patterns occur."""
+    t = transliterate(docs(spark, sf))
+    m = X.explode_rows(t, F.col("transliteration.word_mappings"), "m")
+    m = m.select(F.col("m.src").alias("input"), F.col("m.dst").alias("got")).filter(F.col("input").rlike(r"\p{L}"))
+    again = m.filter("got <> input").select(F.concat("got", "input").alias("input"), "got")
+    cased = m.filter(F.col("input").rlike("^[a-z]+$")).select("input", F.upper("input").alias("got"))
+    pairs = m.unionByName(again).unionByName(cased)
+    return R.translit_error_patterns(pairs).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 @register("ending_frequency", f"""
@@ -326,12 +346,7 @@ def q_char_frequency(spark, sf):
 # --------------------------------------------------------------------------- T15, A28, A29: round-trip quality
 def scored_translations(spark, sf):
     """Romanized text -> native (dictionary) -> English (dictionary), scored against the text."""
-    d = docs(spark, sf, ("doc_id", "text", "source"))
-    t = transliterate(d).withColumn("_tl", F.col("transliteration.transliterated"))
-    t = X.with_similarity(t.withColumn("translated", translated_text("_tl")), "translated", "text", "_score")
-    return t.select("doc_id", F.col("source").alias("category"), F.lit("fallback").alias("backend"),
-                    F.round("_score", 6).alias("score"),
-                    F.lit(True).alias("success"), X.truncate_text("text", 35).alias("display"))
+    return r(score_translations(docs(spark, sf, ("doc_id", "text", "source")), "doc_id", "text", "source"), ["score"])
 
 
 _SCORED_SQL = f"""t AS (SELECT doc_id, source, text, {S.transliterated('text')} AS tl FROM documents),
@@ -340,7 +355,7 @@ v AS (SELECT *, {S.lower_word_set('translated')} AS a, {S.lower_word_set('text')
 sc AS (SELECT doc_id, source AS category, 'fallback' AS backend,
   round(CASE WHEN len(e) = 0 THEN 0.0 ELSE least(greatest(len(list_intersect(a, e))::DOUBLE / len(e) * 5.0::DOUBLE,
         1.0::DOUBLE), 5.0::DOUBLE) END, 6) AS score, true AS success,
-  CASE WHEN length(text) > 35 THEN substr(text, 1, 35) || '...' ELSE text END AS display FROM v)"""
+  CASE WHEN length(text) > 35 THEN substr(text, 1, 32) || '...' ELSE text END AS display FROM v)"""
 
 
 @register("score_translations", f"WITH {_SCORED_SQL} SELECT * FROM sc")
@@ -474,7 +489,7 @@ WITH {REVIEW_SQL}
 SELECT review_id, script_type, errors FROM rv WHERE NOT correct AND length(errors) > 0""")
 def q_errors_only(spark, sf):
     v = rv(spark, sf)
-    return v.filter(~F.col("correct") & (F.length("errors") > 0)).select("review_id", "script_type", "errors")
+    return errors_only(v).select("review_id", "script_type", "errors")
 
 
 @register("processed", f"""
@@ -482,7 +497,7 @@ WITH {REVIEW_SQL}
 SELECT status, count(*) AS n FROM rv WHERE status IN ('ok', 'ok_with_warnings') GROUP BY 1""")
 def q_processed(spark, sf):
     v = rv(spark, sf)
-    return v.filter(F.col("status").isin("ok", "ok_with_warnings")).groupBy("status").agg(F.count("*").alias("n"))
+    return processed(v).groupBy("status").agg(F.count("*").alias("n"))
 
 
 # --------------------------------------------------------------------------- J1
@@ -499,9 +514,15 @@ def q_dictionary_join(spark, sf):
 
 
 # --------------------------------------------------------------------------- T6
-_ADDED_SQL = f"""added AS (SELECT DISTINCT lower(tok) AS src, upper(tok) AS dst FROM (
-    SELECT unnest({S.split_ws(S.strip('text'))}) AS tok FROM benchmark WHERE NOT {S.is_blank('text')})
-    WHERE length(tok) >= 12 AND NOT regexp_matches(tok, '[^A-Za-z]'))"""
+_ADDED_SQL = f"""added AS (SELECT DISTINCT lower(tok) AS src, '[' || lower(tok) || ']' AS dst FROM (
+    SELECT unnest({S.split_ws(S.strip('text'))}) AS tok FROM benchmark WHERE NOT {S.is_blank('text')}))"""
+
+
+def _added(spark, sf):
+    """A user dictionary of every word of the benchmark texts: each word spelled in brackets."""
+    b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
+    toks = X.explode_rows(b, X.split_ws(X.py_strip("text")), "tok").select(F.lower("tok").alias("src")).distinct()
+    return toks.withColumn("dst", F.concat(F.lit("["), F.col("src"), F.lit("]")))
 
 
 @register("dictionary_merge", f"""
@@ -509,12 +530,7 @@ WITH {_DICT_SQL}, {_ADDED_SQL}
 SELECT src, dst FROM added
 UNION ALL SELECT word, expected FROM dict WHERE word NOT IN (SELECT src FROM added)""")
 def q_dictionary_merge(spark, sf):
-    b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
-    toks = X.explode_rows(b, X.split_ws(X.py_strip("text")), "tok")
-    added = (toks.filter((F.length("tok") >= 12) & ~F.col("tok").rlike("[^A-Za-z]"))
-             .select(F.lower("tok").alias("src"), F.upper("tok").alias("dst")).distinct())
-    return LX.merge_dictionary(LX.dictionary_table(spark, LX.roman_lookup()), added)
-
+    return LX.merge_dictionary(LX.dictionary_table(spark, LX.roman_lookup()), _added(spark, sf))
 
 
 # --------------------------------------------------------------------------- T6 + J1 at scale: dictionary as a table
@@ -534,11 +550,7 @@ w AS (SELECT doc_id, pos,
 SELECT doc_id, string_agg(dst, '' ORDER BY pos) AS transliterated,
        CASE WHEN bool_or(hit) THEN 'fallback' ELSE 'unchanged' END AS method FROM w GROUP BY doc_id""")
 def q_transliterate_by_join(spark, sf):
-    b = table(spark, sf, "benchmark").filter(~X.is_blank("text"))
-    toks = X.explode_rows(b, X.split_ws(X.py_strip("text")), "tok")
-    added = (toks.filter((F.length("tok") >= 12) & ~F.col("tok").rlike("[^A-Za-z]"))
-             .select(F.lower("tok").alias("src"), F.upper("tok").alias("dst")).distinct())
-    t = transliterate(docs(spark, sf), dictionary=added, key="doc_id")
+    t = transliterate(docs(spark, sf), dictionary=_added(spark, sf), key="doc_id")
     return t.select("doc_id", "transliteration.transliterated", "transliteration.method")
 
 
@@ -589,3 +601,25 @@ WITH {_OOV_SQL}, c AS (SELECT unnest(regexp_extract_all(input, '(?s)(.)', 1)) AS
 SELECT char, count(*) AS count FROM c GROUP BY 1 ORDER BY count DESC, char LIMIT 10""")
 def q_problem_chars(spark, sf):
     return R.char_frequency(_oov_pairs(spark, sf), "input", 10, letters_only=False, lower=False)
+
+
+# --------------------------------------------------------------------------- P11, T18, A25 (list)
+@register("select_result_columns", f"""
+WITH a AS ({ANALYZE_SQL})
+SELECT original_text, detected_language, sentiment_label, confidence_score, status FROM a""")
+def q_select_result_columns(spark, sf):
+    return select_result_columns(analyzed(spark, sf))
+
+
+@register("translit_table", f"""
+WITH t AS (SELECT doc_id, text AS input, {S.transliterated('text')} AS output, {S.translit_method('text')} AS method FROM documents)
+SELECT *, output IS DISTINCT FROM input AS changed FROM t""")
+def q_translit_table(spark, sf):
+    return translit_table(docs(spark, sf), "doc_id")
+
+
+@register("unchanged_words", f"""
+WITH {_OOV_SQL}
+SELECT input AS word, count(*) AS n FROM f GROUP BY 1""")
+def q_unchanged_words(spark, sf):
+    return R.unchanged_words(_oov_pairs(spark, sf))

@@ -12,7 +12,7 @@ from ..operators.translate import translate_segments, translated_text
 from ..operators.translit import transliterate
 from . import sqlfrag as S
 from .catalog import register, table
-from .views import docs  # noqa: F401  (spread scans)
+from .views import TEXTS_SQL, docs, texts
 
 
 # --------------------------------------------------------------------------- X1
@@ -44,20 +44,20 @@ def q_lexicon_hits(spark, sf):
 
 # --------------------------------------------------------------------------- T1
 @register("detect_language", f"""
-WITH {S.detection_ctes('documents', 'doc_id', 'text')}
+WITH {S.detection_ctes(TEXTS_SQL, 'doc_id', 'text')}
 SELECT doc_id, _lang AS language, _conf AS confidence, kannada, english, numeric, other FROM _d3""")
 def q_detect_language(spark, sf):
-    d = detect_language(docs(spark, sf))
+    d = detect_language(texts(spark, sf))
     return d.select("doc_id", "detection.language", "detection.confidence", "detection.script_proportions.*")
 
 
 # --------------------------------------------------------------------------- T2
 @register("is_kannada", f"""
-WITH {S.detection_ctes('documents', 'doc_id', 'text')}
+WITH {S.detection_ctes(TEXTS_SQL, 'doc_id', 'text')}
 SELECT _lang AS language, _lang IN ('kannada_script', 'romanized_kannada') AS is_kannada, count(*) AS n
 FROM _d3 GROUP BY ALL""")
 def q_is_kannada(spark, sf):
-    d = detect_language(docs(spark, sf)).select(F.col("detection.language").alias("language"))
+    d = detect_language(texts(spark, sf)).select(F.col("detection.language").alias("language"))
     return d.groupBy("language", is_kannada(F.col("language")).alias("is_kannada")).agg(F.count("*").alias("n"))
 
 
@@ -95,7 +95,7 @@ def q_text_lengths(spark, sf):
 
 # --------------------------------------------------------------------------- P13
 @register("truncate_text", """
-SELECT doc_id, CASE WHEN length(text) > 35 THEN substr(text, 1, 35) || '...' ELSE text END AS short_text FROM documents""")
+SELECT doc_id, CASE WHEN length(text) > 35 THEN substr(text, 1, 32) || '...' ELSE text END AS short_text FROM documents""")
 def q_truncate_text(spark, sf):
     return docs(spark, sf).select("doc_id", X.truncate_text("text", 35).alias("short_text"))
 
@@ -222,13 +222,10 @@ def _segments_sql(s: str, m: int = FV.MAX_SEGMENT_LEN) -> str:
 @register("segment_text", f"""
 WITH t AS (SELECT doc_id, {S.strip('text')} AS s FROM documents WHERE NOT {S.is_blank('text')}),
 g AS (SELECT doc_id, {_segments_sql('s')} AS segs FROM t)
-SELECT doc_id, len(segs) AS n_segments, list_max(list_transform(segs, lambda q: length(q))) AS max_len,
-       list_sum(list_transform(segs, lambda q: len({S.split_ws('q')}))) AS n_words FROM g""")
+SELECT doc_id, len(segs) AS n_segments, array_to_string(segs, chr(31)) AS segments FROM g""")
 def q_segment_text(spark, sf):
     d = docs(spark, sf).filter(~X.is_blank("text")).withColumn("segs", X.segment_text(X.py_strip("text")))
-    return d.select("doc_id", F.size("segs").alias("n_segments"),
-                    F.aggregate("segs", F.lit(0), lambda a, s: F.greatest(a, F.length(s))).alias("max_len"),
-                    F.aggregate("segs", F.lit(0), lambda a, s: a + F.size(X.split_ws(s))).alias("n_words"))
+    return d.select("doc_id", F.size("segs").alias("n_segments"), F.array_join("segs", "\x1f").alias("segments"))
 
 
 @register("translate_segments", f"""
@@ -244,17 +241,23 @@ def q_translate_segments(spark, sf):
 
 
 # --------------------------------------------------------------------------- X8-X10 on embedding logits
+_DIM = 64
+
+
 def _logits(spark, sf, k):
+    """k logits of a whole vector: element i (from 0) adds to logit i mod k."""
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.slice("embedding", 1, k).cast("array<double>").alias("logits"))
+    v = F.col("embedding").cast("array<double>")
+    logit = lambda j: F.aggregate(F.filter(v, lambda _, i: i % k == j), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.array(*[logit(j) for j in range(k)]).alias("logits"))
 
 
 def _softmax_sql(k: int) -> str:
-    idx = range(1, k + 1)
-    m = "greatest(" + ", ".join(f"embedding[{i}]::DOUBLE" for i in idx) + ")"
-    exps = [f"exp(embedding[{i}]::DOUBLE - {m})" for i in idx]
+    logits = ["(0.0::DOUBLE + " + " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(j, _DIM, k)) + ")" for j in range(k)]
+    m = "greatest(" + ", ".join(logits) + ")"
+    exps = [f"exp({x} - {m})" for x in logits]
     total = "(0.0::DOUBLE + " + " + ".join(exps) + ")"
-    return ", ".join(f"{e} / {total} AS p{i - 1}" for i, e in zip(idx, exps))
+    return ", ".join(f"{e} / {total} AS p{i}" for i, e in enumerate(exps))
 
 
 def _argmax_sql(k: int) -> str:

@@ -52,3 +52,46 @@ def review_view(spark, sf, with_text: bool = True):
 
 def docs(spark, sf, cols=("doc_id", "text")):
     return spread(table(spark, sf, "documents").select(*cols))
+
+
+# --------------------------------------------------------------------------- texts in every script
+# The given documents hold Latin prose only. Each document, whole, becomes a text that takes one of the routes, by its
+# id: as it is; in Kannada script and in romanized Kannada, word by word through the dictionaries' entries; half and
+# half; without letters.
+def _entries() -> tuple[list[str], list[str]]:
+    from ..functions import lexicon as LX
+    return list(LX.native_lookup()), list(LX.roman_lookup())
+
+
+def _texts_sql() -> str:
+    from . import sqlfrag as S
+    native, roman = _entries()
+    words = S.split_ws(S.strip("text"))
+
+    def through(entries):
+        items = ", ".join("'" + e.replace("'", "''") + "'" for e in entries)
+        return f"array_to_string(list_transform({words}, lambda w: [{items}][1 + length(w) % {len(entries)}]), ' ')"
+    return f"""(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN {through(native)} WHEN 2 THEN {through(roman)}
+      WHEN 3 THEN text || ' ' || {through(native)} ELSE regexp_replace(text, '\\pL+', '', 'g') END AS text FROM documents) AS texts"""
+
+
+TEXTS_SQL = _texts_sql()
+
+
+def in_every_script(df):
+    """(doc_id, text) of documents or a stream of them, each text in the script of its route."""
+    from ..functions import text as X
+    native, roman = _entries()
+    words = X.split_ws(X.py_strip("text"))
+
+    def through(entries):
+        items = F.array(*[F.lit(e) for e in entries])
+        return F.array_join(F.transform(words, lambda w: F.get(items, F.length(w) % len(entries))), " ")
+    v = F.col("doc_id") % 5
+    text = (F.when(v == 0, F.col("text")).when(v == 1, through(native)).when(v == 2, through(roman))
+            .when(v == 3, F.concat("text", F.lit(" "), through(native))).otherwise(F.regexp_replace("text", r"\p{L}+", "")))
+    return df.select("doc_id", text.alias("text"))
+
+
+def texts(spark, sf):
+    return in_every_script(docs(spark, sf))

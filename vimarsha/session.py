@@ -29,6 +29,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SCAN_PARTITIONS, cpus)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -37,9 +38,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local session (tests, bench) gets a scratch folder of
+    its own when that is unset; on a cluster executors could not read one another's files, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vimarsha-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -56,15 +60,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Size-checked parallelism for CPU-heavy row-local work.
+#: Optional setting: so many partitions for scans of files too small to be split (bench on one machine).
+SCAN_PARTITIONS = "spark.vimarsha.scan.partitions"
 
-    Repartitions (round-robin) only when the scan yields fewer partitions than the cluster
-    runs at once -- e.g. a small single-row-group file. A large input already arrives in many
-    splits, so at scale this adds no shuffle.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deals rows over ``partitions`` tasks, as the caller or the session's setting asks; else leaves the scan as it is."""
+    n = partitions or int(df.sparkSession.conf.get(SCAN_PARTITIONS, "0"))
+    return df.repartition(n) if n else df

@@ -17,10 +17,9 @@ def resolve_text_column(df: DataFrame, name: str) -> str:
 def guess_text_column(df: DataFrame) -> str:
     """Exact (case-insensitive) known name, else first column containing one, else first column."""
     cols = list(df.columns)
-    lowered = [c.lower() for c in cols]
-    for cand in FV.TEXT_COLUMN_CANDIDATES:
-        if cand in lowered:
-            return cols[lowered.index(cand)]
+    for c in cols:                      # the table's column order decides, not that of the names
+        if c.lower() in FV.TEXT_COLUMN_CANDIDATES:
+            return c
     for c in cols:
         if any(cand in c.lower() for cand in FV.TEXT_COLUMN_CANDIDATES):
             return c

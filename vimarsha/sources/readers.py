@@ -6,7 +6,7 @@ reader or writer; nothing is read into the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +40,18 @@ def read_reviews_json(spark: SparkSession, path: str, schema: T.StructType = REV
 def read_labelled_jsonl(spark: SparkSession, path: str, source: str = "IndicSentiment") -> DataFrame:
     """S3: JSON lines; blank lines and records with an empty LABEL are skipped.
 
-    The id is ``indic_<physical line number>`` (1-based, blank lines counted), which needs the
-    line position: the one RDD step is ``zipWithIndex`` over the text lines (it runs one extra
-    job to count lines per partition, then stays distributed).
+    The id is ``indic_<physical line number>`` (1-based, blank lines counted). Lines are numbered in the JVM: a
+    file's splits are counted, their prefix sums are a table of one row per split, and a line's number is its
+    split's offset plus its place in the split, which its generated id holds.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex().toDF(["line", "idx"])
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(splits.withColumn("before", before), ["file", "block"]).select(
+        "line", (F.col("before") + F.col("id") - F.col("first")).alias("idx"))
     parsed = lines.filter(F.regexp_replace("line", r"^\s+|\s+$", "") != "").select(
         (F.col("idx") + 1).alias("line_no"), F.from_json("line", LABELLED_SCHEMA).alias("r"))
     parsed = parsed.filter(F.col("r.LABEL").isNotNull() & (F.col("r.LABEL") != ""))
@@ -61,11 +68,11 @@ def read_labelled_jsonl(spark: SparkSession, path: str, source: str = "IndicSent
     return out
 
 
-def merge_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Read per-split JSON lines files and tag each row with ``_split``."""
+def merge_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType | str) -> DataFrame:
+    """Read per-split JSON lines files of a given schema and tag each row with ``_split``."""
     out = None
     for split, path in paths.items():
-        df = spark.read.json(path).withColumn("_split", F.lit(split))
+        df = spark.read.schema(schema).json(path).withColumn("_split", F.lit(split))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -87,8 +94,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_report(df: DataFrame, path: str, alias: str | None = None) -> None:
     """Nested report as JSON; optional second copy under a "latest" alias."""
     df.write.mode("overwrite").json(path)
-    if alias:
-        df.write.mode("overwrite").json(alias)
+    if alias:       # the copy is read back, so that the report is computed once
+        df.sparkSession.read.schema(df.schema).json(path).write.mode("overwrite").json(alias)
 
 
 def load_training(spark: SparkSession, train: str, val: str | None = None, text_column: str = "text",

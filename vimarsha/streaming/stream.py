@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pipeline import analyze
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -27,11 +27,11 @@ DOCUMENT_SCHEMA = T.StructType([
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_SCHEMA,
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, partitions: int | None = None) -> DataFrame:
     """Parquet files arriving under ``path`` as a stream (explicit schema, as streams require).
 
     ``path`` may be a directory or a glob; a single file is read through a glob on its name so
-    the directory holding it is the base path.
+    the directory holding it is the base path. ``partitions`` deals each micro-batch over so many tasks.
     """
     import os
     r = spark.readStream.schema(schema)
@@ -40,10 +40,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT_
         path = f"{head}/{tail[:-1]}[{tail[-1]}]"
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    sdf = r.parquet(path)
-    if "[" in path:  # one known file arrives as one split: spread each micro-batch over the cores
-        sdf = sdf.repartition(spark.sparkContext.defaultParallelism)
-    return sdf
+    return spread(r.parquet(path), partitions)
 
 
 def analyze_stream(sdf: DataFrame, text_col: str = "text", keep: list[str] | None = None, **kw) -> DataFrame:
@@ -58,14 +55,19 @@ def running_counts(sdf: DataFrame, text_col: str = "text") -> DataFrame:
 
 def run_to_table(sdf: DataFrame, name: str | None = None, mode: str = "append",
                  checkpoint: str | None = None) -> DataFrame:
-    """Drain everything available (``availableNow``) into an in-memory table and return it.
+    """Drain everything available (``availableNow``) into a Parquet table in the shared folder and read it back.
 
-    Used by tests and checks; production jobs point ``writeStream`` at a durable sink instead.
+    Append mode uses the file sink, whose log makes each micro-batch appear once; a complete-mode result
+    replaces the table with every micro-batch. Nothing passes through the driver.
     """
     spark = sdf.sparkSession
     name = name or f"vm_stream_{uuid.uuid4().hex[:8]}"
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    ckpt, table = checkpoint or f"{root}/streams/{name}", f"{root}/stream-tables/{name}"
+    writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", table).start()
+    else:
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(sdf.schema).parquet(table)
