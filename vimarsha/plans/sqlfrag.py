@@ -216,6 +216,6 @@ SELECT {key},
   CASE WHEN _t IS NULL THEN 'Expected str, got NoneType' WHEN _blank THEN 'Empty or whitespace-only string'
        ELSE array_to_string(list_filter([_rerr, CASE WHEN NOT _has THEN 'No text available for sentiment classification.' END],
                                         lambda e: e IS NOT NULL), '; ') END AS errors,
-  CASE WHEN _blank THEN 0.0 END AS processing_time_s,
+  CASE WHEN _blank THEN 0.0::DOUBLE END AS processing_time_s,
   CASE WHEN _blank THEN 'skipped' WHEN _rerr IS NOT NULL OR NOT _has THEN 'ok_with_warnings' ELSE 'ok' END AS status
 FROM _sm"""
