@@ -8,8 +8,6 @@ order is deterministic.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,54 +87,48 @@ def accuracy_by(df: DataFrame, key: str, correct: str = "correct") -> DataFrame:
 QUANTILE_BUCKETS = 4096
 
 
+def _group(by: list[str]) -> Column:
+    """A group's values as one text that is never NULL."""
+    return F.to_json(F.struct(*by)).alias("_vm_g")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact quantiles (linear interpolation) of ``value`` per group, one output column per entry of ``qs``.
+    """Exact quantiles (linear interpolation) of ``value`` per group as (``_vm_g``, one column per entry of ``qs``).
 
     Distinct values are counted first (partial sums before the shuffle) and fall into buckets that rise with the value
     between the group's least and greatest. Prefix sums over at most ``QUANTILE_BUCKETS`` bucket totals of a
     group find the buckets that hold the wanted ranks, and only their values are ranked one by one.
     No group's values meet in one task's memory, whatever their number. NULLs are left out.
     """
-    named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("_g0")]
-    g = [f"_g{i}" for i in range(max(1, len(by)))]
-    counts = cut_lineage(df.filter(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("v"))
-                         .groupBy(*g, "v").agg(F.count("*").alias("n")))
-    ends = counts.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in g])
-    pick = lambda a, *cols: [a[c] for c in (*g, *cols)]
+    g = "_vm_g"
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).select(_group(by), F.col(value).cast("double").alias("v"))
+                         .groupBy(g, "v").agg(F.count("*").alias("n")))
+    ends = counts.groupBy(g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    bucketed = counts.join(ends, same(counts, ends)).select(
-        *pick(counts, "v", "n"), "total", F.least(F.coalesce(F.floor(share * QUANTILE_BUCKETS), F.lit(0)).cast("int"),
-                                                  F.lit(QUANTILE_BUCKETS - 1)).alias("b"))
-    totals = bucketed.groupBy(*g, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
-    before = F.coalesce(F.sum("bn").over(Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("before", before)
+    bucket = F.least(F.coalesce(F.floor(share * QUANTILE_BUCKETS), F.lit(0)).cast("int"), F.lit(QUANTILE_BUCKETS - 1))
+    bucketed = counts.join(ends, g).select(g, "v", "n", "total", bucket.alias("b"))
+    totals = bucketed.groupBy(g, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
+    before = F.coalesce(F.sum("bn").over(Window.partitionBy(g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.lit(side).alias("side"))
                       for name, q in qs.items() for side in (0, 1)])
-    wanted = totals.withColumn("want", F.explode(ranks)).withColumn("place", F.col("want.q") * (F.col("total") - 1)).withColumn(
-        "rank", F.when(F.col("want.side") == 0, F.floor("place")).otherwise(F.ceil("place"))).filter(
+    place = F.col("want.q") * (F.col("total") - 1)
+    wanted = totals.withColumn("before", before).withColumn("want", F.explode(ranks)).select(
+        g, "b", "bn", "before", F.col("want.name").alias("name"), F.col("want.side").alias("side"), place.alias("place"),
+        F.when(F.col("want.side") == 0, F.floor(place)).otherwise(F.ceil(place)).alias("rank")).filter(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("bn")))
-    inside = bucketed.join(wanted.select(*g, "b", "before").distinct().alias("w"),
-                           reduce(lambda x, y: x & y, [bucketed[c].eqNullSafe(F.col(f"w.{c}")) for c in g]) & (bucketed["b"] == F.col("w.b"))
-                           ).select(*pick(bucketed, "v", "n", "b"), "before")
-    upto = F.sum("n").over(Window.partitionBy(*g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.withColumn("last", F.col("before") + upto).withColumn("first", F.col("last") - F.col("n")).alias("i")
-    w = wanted.select(*g, "b", "want", "place", "rank").alias("w")
-    on = reduce(lambda x, y: x & y, [F.col(f"i.{c}").eqNullSafe(F.col(f"w.{c}")) for c in g]) & (F.col("i.b") == F.col("w.b"))
-    found = w.join(inside, on & (F.col("w.rank") >= F.col("i.first")) & (F.col("w.rank") < F.col("i.last"))).select(
-        *[F.col(f"w.{c}").alias(c) for c in g], F.col("w.want.name").alias("name"), F.col("w.want.side").alias("side"),
-        (F.col("w.place") - F.floor("w.place")).alias("part"), F.col("i.v").alias("v"))
+    upto = F.sum("n").over(Window.partitionBy(g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = bucketed.select(g, "b", "v", "n").join(wanted.select(g, "b", "before").distinct(), [g, "b"]).withColumn(
+        "last", F.col("before") + upto).withColumn("first", F.col("last") - F.col("n")).drop("before")
+    found = wanted.join(inside, [g, "b"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     end = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
-    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
-    out = found.groupBy(*g).agg(*[(end(n, 0) + (end(n, 1) - end(n, 0)) * part(n)).alias(n) for n in qs])
-    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], *qs)
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("place") - F.floor("place")))
+    return found.groupBy(g).agg(*[(end(n, 0) + (end(n, 1) - end(n, 0)) * part(n)).alias(n) for n in qs])
 
 
 def _with_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], aggs: list[Column]) -> DataFrame:
     """The aggregates and quantiles of each group, groups of NULLs included."""
-    a, q = df.groupBy(*by).agg(*aggs), exact_quantiles(df, by, value, qs)
-    on = reduce(lambda x, y: x & y, [a[c].eqNullSafe(q[c]) for c in by])
-    return a.join(q, on, "left").select(*[a[c] for c in a.columns], *[q[c] for c in qs])
+    a = df.groupBy(_group(by), *by).agg(*aggs)
+    return a.join(exact_quantiles(df, by, value, qs), "_vm_g", "left").drop("_vm_g")
 
 
 def _moments(c: Column) -> list[Column]:
