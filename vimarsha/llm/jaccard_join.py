@@ -7,15 +7,16 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two docum
    that covers the whole corpus. The table orders all tokens, rare ones first. Any order is right; this one
    keeps a passage that many documents share out of the short prefixes.
 2. A set's prefix is so long that the prefixes of two linked sets share ``reach(n)`` tokens (a twentieth of the
-   smaller set). Tokens that a single set has are dropped; the first set of a token and size class leads, and
-   the others that share enough tokens with it are verified: at most as many candidates as rows, whatever the
-   size of the class. The links found make the groups.
+   smaller set). Tokens that a single set has are dropped; a few sets of a token and size class lead, and the
+   others that share enough tokens with them are verified: a fixed number of candidates for each row, whatever
+   the size of the class. Sets linked so are a part; the parts around common leaders make a group.
 3. The matrix stores each group's union of prefix tokens with the sizes of its sets. A set probes the
-   groups that it is not part of; the bound of its overlap with a group's union, by shared prefix tokens, sizes
-   and places in the order, and for groups of several sets by the whole union, decides which groups open.
-4. Members of opened groups are verified exactly, and components of all links are the classes.
+   groups that it is not in; the bound of its overlap with a group's union, by shared prefix tokens, sizes
+   and places in the order, decides which groups open.
+4. In groups that open, and in its own, a set meets the other parts; the overlap with a part's union bounds
+   those of several sets. What is left is verified exactly, and components of all links are the classes.
 
-A pair inside a group needs no link of its own, so copies are never expanded into pairs; between groups
+A pair inside a part needs no link of its own, so copies are never expanded into pairs; between parts
 every pair that the bounds leave is verified, so no component is split and no cap is needed.
 
 Defined cases: a text of one to four words is one shingle; a NULL text or one without words has an empty
@@ -42,6 +43,8 @@ WORDS = 5
 #: The counters' table has 2 ** COUNTER_BITS places, 2 MB as ranks, at every size of the input.
 COUNTER_BITS = 21
 _BLOCK = 1 << 14
+#: Leaders of a token and size class.
+LEADERS = 6
 #: So many partial tables are added up by one task at a time.
 FAN_IN = 64
 
@@ -181,45 +184,69 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         ids = saved(sets_of.join(fps.distinct(), "fp").groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct(), "set-ids")
         return saved(docs.join(small(ids), "id").select("text").mapInArrow(_whole_sets(k), "fp long, tokens array<long>"), "sets")
 
-    # groups: sets linked with the leader of their tokens, sizes within a quarter
+    # groups: sets linked with leaders of their tokens, sizes within a quarter; a token has the first set by each of
+    # LEADERS orders as a leader, so that members far from one leader are near another
     leaders = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
-    lead = leaders.groupBy("token", "size").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a <> z").drop("z")
-    by_leader = saved(leaders.join(lead, ["token", "size"]).filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(
-        F.count("*").alias("hits"), F.min("n").alias("n")).filter(F.col("hits") >= F.floor(_reach(F.col("n")) * 0.8)).select("a", "b"), "leader-pairs")
+    lead = leaders.groupBy("token", "size").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("order"), "fp"))["fp"] for i in range(LEADERS)])).alias("leaders"))
+    led = leaders.join(lead.filter("lo <> hi").select("token", "size", "leaders"), ["token", "size"])
+    pairs = led.select("fp", "n", F.explode("leaders").alias("a")).filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(
+        F.count("*").alias("hits"), F.min("n").alias("n")).filter(F.col("hits") >= F.least(_reach(F.col("n")) * 0.8, F.lit(4)))
+    by_leader = saved(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.max(F.col("hits") >= _reach(F.col("n"))).alias("close")), "leader-pairs")
     sets = sets_for(by_leader.select(F.explode(F.array("a", "b")).alias("fp")))
-    links = saved(_verified(by_leader, sets, percent), "leader-links")
-    group_of = saved(components(links), "groups")
+    links = saved(_verified(by_leader.select("a", "b"), sets, percent), "leader-links")
+    # parts are linked already; a group gathers the parts around its leaders, linked or not
+    parts = components(links).withColumnRenamed("component", "part")
+    groups = components(links.union(by_leader.filter("close").select("a", "b"))).withColumnRenamed("component", "group")
+    placed = shared.select("fp", "n").distinct().join(parts.withColumnRenamed("node", "fp"), "fp", "left").join(
+        groups.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = saved(placed.select("fp", "n", F.coalesce("part", "fp").alias("part"), F.coalesce("group", "fp").alias("group")), "placed")
+    part_of = placed.groupBy("group", "part").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
 
     # the token-group matrix, for tokens that several groups have
-    member = saved(shared.join(group_of.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "token", "fp", "n", "pos", F.coalesce("component", "fp").alias("group")), "members")
-    sets_in = member.select("group", "fp", "n").distinct()
-    sizes = sets_in.groupBy("group").agg(F.count("*").alias("sets"))
+    member = shared.join(placed.select("fp", "group"), "fp")
     apart = member.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
-    member = saved(member.join(apart, "token").join(sizes, "group"), "members-apart")
+    sizes = placed.groupBy("group").agg(F.count("*").alias("sets"))
+    member = saved(member.join(apart, "token").join(sizes, "group"), "members")
     matrix = member.groupBy("token", "group", "sets").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("place"))
+
+    def fits(n: Column, least: Column, most: Column) -> Column:
+        return (percent * least <= 100 * n) & (percent * n <= 100 * most)
     q, m = member.alias("q"), matrix.alias("m")
-    near = ((F.struct("q.sets", "q.group") < F.struct("m.sets", "m.group"))
-            & (percent * F.col("m.least") <= 100 * F.col("q.n")) & (percent * F.col("q.n") <= 100 * F.col("m.most")))
+    near = (F.struct("q.sets", "q.group") < F.struct("m.sets", "m.group")) & fits(F.col("q.n"), F.col("m.least"), F.col("m.most"))
     first = ((100 + percent) * F.least(F.col("q.n") - F.col("q.pos"), F.col("m.most") - F.col("m.place"))
              >= percent * (F.col("q.n") + F.col("m.least")))
-    # places rule out a row only if it is the first shared token, so they count pairs with one fitting row at least
-    probes = q.join(m, F.col("q.token") == F.col("m.token")).filter(near).groupBy("q.fp", "q.n", "m.group", "m.sets").agg(
+    # places rule out a row only if it is the first shared token, so a pair needs one fitting row at least
+    probes = q.join(m, F.col("q.token") == F.col("m.token")).filter(near).groupBy("q.fp", "q.n", "m.group").agg(
         F.count("*").alias("hits"), F.min("m.least").alias("least"), F.bool_or(first).alias("first"))
-    probes = saved(probes.filter(F.col("first") & (F.col("hits") >= F.least(_reach(F.col("n")), _reach(F.col("least"))))), "probes")
-    sets = sets_for(probes.select("fp").union(sets_in.join(probes.select("group").distinct(), "group").select("fp")))
-
-    # the whole union bounds the overlap with groups of several sets
+    probes = probes.filter(F.col("first") & (F.col("hits") >= F.least(_reach(F.col("n")), _reach(F.col("least"))))).select("fp", "n", "group")
+
+    # candidates (set, part): parts of other groups that opened, and the other parts of the set's own group
+    across = probes.join(part_of, "group").filter(fits(F.col("n"), F.col("least"), F.col("most"))).select("fp", "n", "part", "sets")
+    own, other = placed.join(part_of.select("part", F.col("sets").alias("own")), "part").alias("q"), part_of.alias("m")
+    within = own.join(other, F.col("q.group") == F.col("m.group")).filter(
+        (F.struct(F.col("q.own").alias("s"), F.col("q.part").alias("p")) < F.struct(F.col("m.sets").alias("s"), F.col("m.part").alias("p")))
+        & fits(F.col("q.n"), F.col("m.least"), F.col("m.most"))).select("q.fp", "q.n", F.col("m.part").alias("part"), "m.sets")
+    heads = saved(shared.join(within.select("fp").union(within.filter("sets = 1").select("part")).distinct(), "fp").groupBy("fp").agg(
+        F.collect_list("token").alias("head"), F.first("n").alias("m")), "heads")       # bounded by a set's own prefix
+    alone = within.filter("sets = 1").join(heads.select("fp", "head"), "fp").join(
+        heads.select(F.col("fp").alias("part"), F.col("head").alias("head2"), "m"), "part").filter(
+        F.size(F.array_intersect("head", "head2")) >= F.least(_reach(F.col("n")), _reach(F.col("m")))).select("fp", "n", "part", "sets")
+    probes = saved(across.union(alone).union(within.filter("sets > 1")).distinct(), "probes")
+    sets = sets_for(probes.select("fp").union(placed.join(probes.select("part").distinct(), "part").select("fp")))
+
+    # the whole union bounds the overlap with parts of several sets
     wide = probes.filter("sets > 1")
-    union = (sets_in.select("group", "fp").join(wide.select("group").distinct(), "group").join(sets, "fp")
-             .select("group", F.explode("tokens").alias("token")).distinct())
-    overlap = (wide.select("fp", "n", "group").join(sets, "fp").select("fp", "n", "group", F.explode("tokens").alias("token"))
-               .join(union, ["group", "token"]).groupBy("fp", "n", "group").agg(F.count("*").alias("hits")))
-    opened = probes.filter("sets = 1").select("fp", "n", "group").union(
-        overlap.filter(100 * F.col("hits") >= percent * F.col("n")).select("fp", "n", "group"))
-    inside = sets_in.select("group", F.col("fp").alias("other"), F.col("n").alias("m"))
-    pairs = opened.join(inside, "group").filter(
+    union = (placed.select("part", "fp").join(wide.select("part").distinct(), "part").join(sets, "fp")
+             .select("part", F.explode("tokens").alias("token")).distinct())
+    overlap = (wide.select("fp", "n", "part").join(sets, "fp").select("fp", "n", "part", F.explode("tokens").alias("token"))
+               .join(union, ["part", "token"]).groupBy("fp", "n", "part").agg(F.count("*").alias("hits")))
+    opened = probes.filter("sets = 1").select("fp", "n", "part").union(
+        overlap.filter(100 * F.col("hits") >= percent * F.col("n")).select("fp", "n", "part"))
+    inside = placed.select("part", F.col("fp").alias("other"), F.col("n").alias("m"))
+    pairs = opened.join(inside, "part").filter(
         (percent * F.col("m") <= 100 * F.col("n")) & (percent * F.col("n") <= 100 * F.col("m"))).select(
         F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     links = saved(links.union(_verified(pairs, sets, percent)).distinct(), "all-links")
