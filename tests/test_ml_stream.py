@@ -18,6 +18,40 @@ def test_stratified_split_exact_counts(spark):
     assert s.filter("split = 'test'").select("id").subtract(again.filter("split = 'test'").select("id")).count() == 0
 
 
+def test_keys_may_be_text(spark):
+    df = spark.createDataFrame([(f"indic_{i}", "A" if i % 2 else "B") for i in range(400)], "id string, label string")
+    s = ML.stratified_split(df, "id", "label", 0.25)
+    assert s.filter("split = 'test'").groupBy("label").count().collect()[0]["count"] == 50
+    assert 10 < ML.holdout_split(df, "id", 0.1).filter("split = 'validation'").count() < 80
+
+
+def test_margin_models_score_with_probabilities(spark):
+    rows = [(i, "good fine nice" if i % 2 else "bad awful poor", "Positive" if i % 2 else "Negative") for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string, l string")
+    model, labels, _ = ML.train_sentiment(df, "k", "t", "l", classifier="linear_svm")
+    out = ML.TextModelScorer(model, labels).score(df.limit(10), "t").collect()
+    assert all(r.sentiment.label == r.l and 0.5 <= r.sentiment.confidence <= 1 for r in out)
+
+
+def test_exact_quantiles(spark):
+    import statistics
+
+    from vimarsha.operators.report import box_summary, confidence_by_outcome, numeric_summary
+    import random
+    r = random.Random(1)
+    rows = [("a", r.choice([1.0, 2.5, 2.5, r.uniform(0, 9)])) for _ in range(301)] + [("b", 4.0)] * 7 + [(None, x) for x in (1.0, 2.0, 9.0, 10.0)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: x for x in box_summary(df, "v", "g").collect()}
+    for g in ("a", "b", None):
+        v = sorted(y for x, y in rows if x == g)
+        q = statistics.quantiles(v, n=4, method="inclusive")
+        assert all(abs(x - y) < 1e-9 for x, y in zip((got[g].q1, got[g].median, got[g].q3), q)), g
+    assert got["c"].median is None and got["c"].n == 0
+    assert numeric_summary(df.select("v"), ["v"]).first().median == statistics.median(y for _, y in rows if y is not None)
+    plan = confidence_by_outcome(df.withColumnRenamed("v", "confidence_score"), "g")._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "median(" not in plan
+
+
 def test_holdout_is_repeatable(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     a = ML.holdout_split(df, "k", 0.1).filter("split = 'validation'")

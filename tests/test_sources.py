@@ -35,13 +35,29 @@ def test_labelled_jsonl_line_numbers(spark):
     assert rows["indic_4"].product_category == "c" and rows["indic_4"].split == "unknown"
 
 
+def test_line_numbers_over_many_splits(spark):
+    d = tempfile.mkdtemp(prefix="vm-src-")
+    n = 4000
+    with open(f"{d}/kn.jsonl", "w", encoding="utf-8") as fh:
+        for i in range(1, n + 1):
+            fh.write("\n" if i % 7 == 0 else json.dumps({"INDIC REVIEW": f"r{i}", "LABEL": "Positive"}) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = RD.read_labelled_jsonl(spark, f"{d}/kn.jsonl")
+        rows = df.select("review_id", "review").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == n - n // 7 and all(r.review_id == "indic_" + r.review[1:] for r in rows)
+
+
 def test_merge_splits_and_report(spark):
     d = tempfile.mkdtemp(prefix="vm-src-")
     for split in ("train", "test"):
         os.makedirs(f"{d}/{split}")
         with open(f"{d}/{split}/part.jsonl", "w") as fh:
             fh.write(json.dumps({"INDIC REVIEW": split, "LABEL": "Positive"}) + "\n")
-    m = RD.merge_splits(spark, {"train": f"{d}/train", "test": f"{d}/test"})
+    m = RD.merge_splits(spark, {"train": f"{d}/train", "test": f"{d}/test"}, "`INDIC REVIEW` string, LABEL string")
     assert sorted(r._split for r in m.collect()) == ["test", "train"]
     RD.write_report(m, f"{d}/report", alias=f"{d}/latest")
     assert spark.read.json(f"{d}/latest").count() == 2
@@ -51,3 +67,5 @@ def test_guess_text_column(spark):
     assert guess_text_column(spark.createDataFrame([(1, "x")], "id int, Review string")) == "Review"
     assert guess_text_column(spark.createDataFrame([(1, "x")], "id int, my_text_col string")) == "my_text_col"
     assert guess_text_column(spark.createDataFrame([(1, "x")], "id int, body string")) == "id"
+    assert guess_text_column(spark.createDataFrame([(1, "x", "y")], "id int, text string, review string")) == "text"
+    assert guess_text_column(spark.createDataFrame([(1, "x", "y")], "id int, my_review string, text string")) == "text"
