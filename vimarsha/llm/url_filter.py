@@ -75,12 +75,10 @@ def fitting_rule(rules: list[Rule]) -> tuple[Column, Column]:
 
 def _entropy(text: Column) -> Column:
     """Bits per character of a string."""
-    chars = F.array_sort(F.split(text, ""))
-    n = F.size(chars).cast("double")
-    # places where a run of equal characters ends: the runs' lengths are differences of places
-    ends = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: ~F.coalesce(F.get(chars, i) == F.get(chars, i - 1), F.lit(False)))
-    counts = F.transform(ends, lambda x, i: (x - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("double"))
-    return F.when(F.length(text) > 0, F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))).otherwise(0.0)
+    n = F.char_length(text).cast("double")
+    share = lambda c: (F.char_length(text) - F.char_length(F.replace(text, c))) / n
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a - F.when(
+        (c != "") & (share(c) > 0), share(c) * F.log2(share(c))).otherwise(0.0))
 
 
 def lexical(df: DataFrame, url: str = "url") -> DataFrame:
