@@ -150,7 +150,11 @@ def flatten_result(df: DataFrame, steps: str = "pipeline_steps", errors: str = "
     return df.withColumns({steps: F.array_join(F.col(steps), ", "), errors: F.array_join(F.col(errors), "; ")})
 
 
-RESULT_COLUMNS = ["original_text", "detected_language", "sentiment_label", "confidence_score", "status"]
+# FIXED VALUES -- the columns of a result table that are shown, in this order
+DISPLAY_COLUMNS = [
+    "original_text", "sentiment_label", "confidence_score", "detected_language", "transliterated_text",
+    "translated_text", "errors", "status", "processing_time_s",
+]
 
 
 def processed(df: DataFrame, status: str = "status") -> DataFrame:
@@ -165,4 +169,4 @@ def errors_only(df: DataFrame, correct: str = "correct", errors: str = "errors")
 
 def select_result_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The columns of a result table to show, in the given order; those that it lacks are left out."""
-    return df.select(*[c for c in (columns or RESULT_COLUMNS) if c in df.columns])
+    return df.select(*[c for c in (columns or DISPLAY_COLUMNS) if c in df.columns])

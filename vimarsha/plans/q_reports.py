@@ -606,7 +606,8 @@ def q_problem_chars(spark, sf):
 # --------------------------------------------------------------------------- P11, T18, A25 (list)
 @register("select_result_columns", f"""
 WITH a AS ({ANALYZE_SQL})
-SELECT original_text, detected_language, sentiment_label, confidence_score, status FROM a""")
+SELECT original_text, sentiment_label, confidence_score, detected_language, transliterated_text, translated_text, errors,
+       status, processing_time_s FROM a""")
 def q_select_result_columns(spark, sf):
     return select_result_columns(analyzed(spark, sf))
 
