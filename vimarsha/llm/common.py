@@ -32,6 +32,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def rows_where(df: DataFrame, flag: Column) -> DataFrame:
+    """The rows whose computed flag is true, the flag computed once. A plain filter would be pushed below the projections
+    that make its inputs and repeat them, lambdas included; nothing is pushed below a generated column."""
+    return df.withColumn("_stay", F.explode_outer(F.when(flag, F.array(F.lit(True))))).filter("_stay").drop("_stay")
+
+
 def trimmed(text: Column | str) -> Column:
     return F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(BLANKS))
 

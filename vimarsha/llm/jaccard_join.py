@@ -188,7 +188,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # LEADERS orders as a leader, so that members far from one leader are near another
     leaders = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
     lead = leaders.groupBy("token", "size").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.array_distinct(F.array(*[
-        F.min(F.struct(F.xxhash64("fp", F.lit(i)).alias("order"), "fp"))["fp"] for i in range(LEADERS)])).alias("leaders"))
+        F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(LEADERS)])).alias("leaders"))
     led = leaders.join(lead.filter("lo <> hi").select("token", "size", "leaders"), ["token", "size"])
     pairs = led.select("fp", "n", F.explode("leaders").alias("a")).filter("fp <> a").groupBy("a", F.col("fp").alias("b")).agg(
         F.count("*").alias("hits"), F.min("n").alias("n")).filter(F.col("hits") >= F.least(_reach(F.col("n")) * 0.8, F.lit(4)))
