@@ -1,4 +1,4 @@
-from vimarsha.llm.html_extract import extract, main_text, parse, subtrees
+from vimarsha.llm.html_extract import article_boxes, extract, main_text, parse, subtrees
 
 
 def text(html, template=()):
@@ -58,3 +58,33 @@ def test_templates_by_host(spark):
 def test_subtrees_are_found_outside_articles_only():
     page = parse("<body><div><p>a</p></div><article><p>b</p></article></body>")
     assert len(subtrees(page)) == 2
+
+
+def test_templates_inside_articles(spark):
+    box = "<div><h3>About the author</h3><p>Ann writes.</p></div>"
+    pages, want = [], {}
+    for i in range(30):           # an unnamed author box on every page goes, recurring paragraphs and headings stay
+        pages.append((i, f"http://a.com/{i}", f"<article><div><h2>Summary</h2></div><p>Quoted law</p><p>Own and long text number {i}</p>{box}</article>"))
+        want[i] = f"Summary\n\nQuoted law\n\nOwn and long text number {i}"
+    for i in range(30, 60):       # versions of one article: their common boxes are its text
+        pages.append((i, f"http://b.com/{i}", f"<article><p>The longest block is the same</p>{box}<p>v{i}</p></article>"))
+        want[i] = f"The longest block is the same\n\nAbout the author\n\nAnn writes.\n\nv{i}"
+    for i in range(60, 79):       # too few pages
+        pages.append((i, f"http://c.com/{i}", f"<article><p>Own and long text number {i}</p>{box}</article>"))
+        want[i] = f"Own and long text number {i}\n\nAbout the author\n\nAnn writes."
+    many = "".join(f"<article><p>A teaser with its own text {j}</p><div><p>More</p></div></article>" for j in range(30))
+    pages.append((79, "http://d.com/", many))      # thirty articles of one page are one page
+    want[79] = "\n\n".join(f"A teaser with its own text {j}\n\nMore" for j in range(30))
+    for i in range(80, 110):      # the same box at different places: too few pages for each
+        w = "section" if i % 2 else "div"
+        pages.append((i, f"http://e.com/{i}", f"<article><p>Own and long text number {i}</p><{w}>{box}</{w}></article>"))
+        want[i] = f"Own and long text number {i}\n\nAbout the author\n\nAnn writes."
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in extract(df).collect()} == want
+
+
+def test_article_boxes_are_containers_with_words():
+    box, other = article_boxes(parse("<div><p>o</p></div><article><div><h2>h</h2></div><p>text</p><div><p>x</p></div></article>"))
+    assert len(other) == 1 and sum(h != 0 for h in box) == 1
+    assert article_boxes(parse("<main><div><p>o</p></div></main>"))[1] == {}
+    assert article_boxes(parse("<article><div><p>all there is</p></div></article>"))[1] == {}

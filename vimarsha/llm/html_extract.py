@@ -3,11 +3,14 @@
 Every element's subtree gets a hash of its tags and text. Spark counts, for each host, the distinct pages in
 which a subtree recurs; subtrees on many pages of a host are its template and are deleted. What tags, roles and
 class names declare to be menu, header, footer, sidebar, notice, advert, form or reader comment goes too. The
-text is read from ``article`` elements, else ``main``, else the whole body. Inside a declared article a paragraph
-that recurs on other pages stays text: templates are looked for outside.
+text is read from ``article`` elements, else ``main``, else the whole body.
 
-Pages are parsed in Arrow batches where they lie; only (host, subtree hash, page hash) triples move, summed by host and
-subtree before the shuffle, so that neither a hot host nor a page with thousands of copies (which count as one page)
+Inside a declared article the same count decides with stricter guards, so that the article's own text stays: only
+containers (boxes, sections, lists) with text beside headings count, at one place of the tree, on more pages, and only
+pages whose longest other block of article text differs; a paragraph or heading that recurs on other pages stays text.
+
+Pages are parsed in Arrow batches where they lie; only hashes of host, subtree, page and longest other block move, summed by
+host and subtree before the shuffle, so that neither a hot host nor a page with thousands of copies (which count as one page)
 gathers in a task. Nothing of a text is capped.
 
 Defined cases: a NULL or empty html gives an empty text; broken or cut markup is read as far as it goes; a NULL URL
@@ -31,6 +34,8 @@ from .common import saved, small
 #: A template subtree stands on at least so many distinct pages of its host, and on this share of them.
 MIN_PAGES = 4
 MIN_SHARE = 0.02
+#: Inside articles on at least so many pages with different text.
+ARTICLE_PAGES = 20
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -50,6 +55,9 @@ _CLASSES = {"ad", "ads", "advert", "advertisement", "advertising", "adsense", "s
             "subscribe", "subscription", "signup", "login", "sidebar", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb",
             "breadcrumbs", "pagination", "pager", "footer", "masthead", "topbar", "toolbar", "share", "sharing", "social", "related",
             "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "copyright", "disclaimer"}
+#: Elements that can be template inside an article; paragraphs, headings, list items and quotations are its text.
+_BOXES = {"div", "section", "ul", "ol", "dl", "table", "aside", "details", "header", "center"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a start tag closes if it is open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr"},
            "tfoot": {"tbody", "thead", "tr"}}
@@ -218,16 +226,42 @@ def subtrees(page: Page) -> set[int]:
     return found
 
 
+def article_boxes(page: Page) -> tuple[list[int], dict[int, int]]:
+    """Containers inside articles: for each element the hash of its subtree and its place below the article (0: none),
+    and for each hash that of the longest block of article text outside of such subtrees."""
+    nodes = page.nodes
+    articles = {r for r in page.roots() if nodes[r].root == 2}
+    if not articles:
+        return [0] * len(nodes), {}
+    path: list[bytes] = []
+    for i, n in enumerate(nodes):
+        up = path[n.parent] if n.parent >= 0 else b""
+        path.append(b"/" if i in articles else up + n.tag.encode() + b"/" if up else b"")
+    texts = [(i, text) for i, text, _ in page.blocks if path[i]]
+    worded = {a for i, _ in texts if nodes[i].tag not in _HEADINGS for a in (i, *page.above(i))}
+    box = [xxhash.xxh3_64_intdigest(path[i] + n.hash.to_bytes(8, "little"))
+           if n.hash and n.tag in _BOXES and path[i] and i not in articles and i in worded else 0 for i, n in enumerate(nodes)]
+    found: dict[int, int] = {}
+    texts.sort(key=lambda x: -len(x[1]))
+    around = [(text, {box[a] for a in (i, *page.above(i))}) for i, text in texts]
+    for h in set(box) - {0}:
+        other = next((text for text, over in around if h not in over), None)
+        if other is not None:
+            found[h] = xxhash.xxh3_64_intdigest(other)
+    return box, found
+
+
 def main_text(page: Page, template: set[int]) -> str:
     """Blocks of the main text in page order, joined by two line breaks."""
     nodes, roots, kept = page.nodes, page.roots(), _kept(page)
     articles = {r for r in roots if nodes[r].root == 2}
+    box = article_boxes(page)[0] if template and articles else [0] * len(nodes)
     inside, article, gone = [], [], []
     for i, n in enumerate(nodes):
         up = n.parent
         inside.append(not roots or i in roots or up >= 0 and inside[up])
         article.append(i in articles or up >= 0 and article[up])
-        gone.append(not article[i] and n.hash in template or up >= 0 and gone[up] and not article[i])
+        gone.append((box[i] if article[i] else n.hash) in template or up >= 0 and gone[up] and i not in articles)
     out = []
     for i, text, linked in page.blocks:
         menu = not article[i] and 2 * linked > len(text)          # outside articles: a block that is mostly links
@@ -240,7 +274,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            article_pages: int = ARTICLE_PAGES) -> DataFrame:
     """The table without ``html`` and with ``text`` and ``n_chars`` added."""
     clash = {"text", "n_chars", "_host", "_page", "_template", html.lower()}
     others = [c for c in pages.columns if c.lower() not in clash]
@@ -251,18 +286,25 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
 
     def found(batches):
         for b in batches:
-            hosts, keys, hashes = [], [], []
+            hosts, keys, hashes, rests, boxes = [], [], [], [], []
             for h, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for s in subtrees(parse(x.as_py())):
+                page = parse(x.as_py())
+                for s, o, box in [*((s, k, False) for s in subtrees(page)),
+                                  *((s, _signed(o), True) for s, o in article_boxes(page)[1].items())]:
                     hosts.append(h)
                     keys.append(k)
                     hashes.append(_signed(s))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())],
-                                             ["host", "page", "subtree"])
-    seen = saved(rows.select("_host", "_page", "_html").mapInArrow(found, "host string, page long, subtree long").distinct(), "subtrees")
+                    rests.append(o)
+                    boxes.append(box)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()),
+                                              pa.array(rests, pa.int64()), pa.array(boxes, pa.bool_())],
+                                             ["host", "page", "subtree", "other", "box"])
+    seen = saved(rows.select("_host", "_page", "_html").mapInArrow(
+        found, "host string, page long, subtree long, other long, box boolean").distinct(), "subtrees")
     # pages of a host: its distinct pages that have any such subtree
     sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    template = (seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    template = (seen.select("host", "subtree", "other", "box").distinct().groupBy("host", "subtree", "box").agg(F.count("*").alias("n"))
+                .filter(F.col("n") >= F.when(F.col("box"), article_pages).otherwise(min_pages))
                 .join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
     marks = saved(seen.join(template, ["host", "subtree"]).groupBy(F.col("page").alias("_page")).agg(
         F.collect_list("subtree").alias("_template")), "templates")
