@@ -263,9 +263,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents that are the least id of their class; rows without an id stay."""
-    stay = saved(jaccard_classes(docs, id_col, text, percent).filter(f"component_id <> {id_col}").select(id_col).distinct(), "copies")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                     also: DataFrame | None = None) -> DataFrame:
+    """The documents that are the least id of their class; rows without an id stay. ``also`` holds further
+    texts (id, text) of documents: one goes if any of its texts has a near copy with a lesser id."""
+    judged = docs.select(docs[f"`{id_col}`"], docs[f"`{text}`"])
+    if also is not None:
+        judged = judged.union(also.select(id_col, text))
+    stay = saved(jaccard_classes(judged, id_col, text, percent).filter(f"component_id <> {id_col}").select(id_col).distinct(), "copies")
     return docs.join(small(stay), id_col, "left_anti")
 
 
