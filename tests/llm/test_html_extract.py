@@ -88,3 +88,12 @@ def test_article_boxes_are_containers_with_words():
     assert len(other) == 1 and sum(h != 0 for h in box) == 1
     assert article_boxes(parse("<main><div><p>o</p></div></main>"))[1] == {}
     assert article_boxes(parse("<article><div><p>all there is</p></div></article>"))[1] == {}
+
+
+def test_template_on_many_pages_of_a_host_of_any_size(spark):
+    menu = "<div><p>A section menu</p></div>"
+    pages = [(i, f"http://a.com/{i}", f"<body>{menu if i < 120 else ''}<div><p>Own text {i}</p></div></body>") for i in range(7000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    assert {x.page_id: x.text for x in extract(df).collect()} == {i: f"Own text {i}" for i in range(7000)}
+    few = extract(df.filter("page_id < 50 or page_id >= 120")).filter("page_id < 50")       # 50 of 6930: a quotation
+    assert {x.text for x in few.collect()} == {f"A section menu\n\nOwn text {i}" for i in range(50)}

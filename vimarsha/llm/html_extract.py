@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import saved, small
 
-#: A template subtree stands on at least so many distinct pages of its host, and on this share of them.
+#: A template subtree stands on at least so many distinct pages of its host, and on this share of them ...
 MIN_PAGES = 4
 MIN_SHARE = 0.02
+#: ... unless it stands on so many: that is template on a host of any size.
+MANY_PAGES = 100
 #: Inside articles on at least so many pages with different text.
 ARTICLE_PAGES = 20
 
@@ -275,7 +277,7 @@ def _signed(x: int) -> int:
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-            article_pages: int = ARTICLE_PAGES) -> DataFrame:
+            article_pages: int = ARTICLE_PAGES, many_pages: int = MANY_PAGES) -> DataFrame:
     """The table without ``html`` and with ``text`` and ``n_chars`` added."""
     clash = {"text", "n_chars", "_host", "_page", "_template", html.lower()}
     others = [c for c in pages.columns if c.lower() not in clash]
@@ -305,7 +307,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
     sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     template = (seen.select("host", "subtree", "other", "box").distinct().groupBy("host", "subtree", "box").agg(F.count("*").alias("n"))
                 .filter(F.col("n") >= F.when(F.col("box"), article_pages).otherwise(min_pages))
-                .join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
+                .join(sizes, "host").filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(many_pages))).select("host", "subtree"))
     marks = saved(seen.join(template, ["host", "subtree"]).groupBy(F.col("page").alias("_page")).agg(
         F.collect_list("subtree").alias("_template")), "templates")
 
