@@ -97,3 +97,14 @@ def test_template_on_many_pages_of_a_host_of_any_size(spark):
     assert {x.page_id: x.text for x in extract(df).collect()} == {i: f"Own text {i}" for i in range(7000)}
     few = extract(df.filter("page_id < 50 or page_id >= 120")).filter("page_id < 50")       # 50 of 6930: a quotation
     assert {x.text for x in few.collect()} == {f"A section menu\n\nOwn text {i}" for i in range(50)}
+
+
+def test_slugs_links_and_formulas_of_an_article_stay():
+    page = """<article id="share-prices-fall"><h2 id="related-work">Related work</h2><h2 id='login'>Login</h2><p id="share-prices">Prices</p>
+    <section id="social-history"><p>History</p></section><section id="login"><p>How to</p></section><p class="notice">Note</p>
+    <p>See <a class="related" href="/">that</a> and more</p><div class="related-work"><p>Work</p></div>
+    <p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be</p>
+    <div class="x share-buttons"><p>Share</p></div><ul class="related_posts"><li>Other</li></ul><div id="comments"><p>First!</p></div>
+    <div class="newsletter-signup-2"><p>Mail?</p></div></article>"""
+    assert text(page) == ("Related work\n\nLogin\n\nPrices\n\nHistory\n\nHow to\n\nNote\n\nSee that and more\n\nWork\n\nLet x=2 be")
+    assert text("<main><h2 id='related-work'>A</h2><section id='social-history'><p>b</p></section><section id='comments'>c</section></main>") == "A\n\nb"

@@ -45,11 +45,15 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
 _NAME = re.compile(r"[a-z0-9]+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math", "object", "select"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "object", "select",
+        "annotation", "annotation-xml"}
 #: Elements without a box of their own: their text belongs to the block around them.
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
            "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "td", "th",
-           "time", "tt", "u", "var"}
+           "time", "tt", "u", "var",
+           "math", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts",
+           "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder",
+           "munderover", "semantics"}
 _DROP = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "audio", "video", "canvas", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _CLASSES = {"ad", "ads", "advert", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -60,6 +64,14 @@ _CLASSES = {"ad", "ads", "advert", "advertisement", "advertising", "adsense", "s
 #: Elements that can be template inside an article; paragraphs, headings, list items and quotations are its text.
 _BOXES = {"div", "section", "ul", "ol", "dl", "table", "aside", "details", "header", "center"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Text whose id is a link target, often a slug of its words.
+_TEXTS = _HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "section", "caption"}
+#: What class names inside an article may hold beside a word of _CLASSES, and ids that name a box there.
+_PARTS = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "cta", "floating", "footer",
+          "form", "group", "header", "icon", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "media", "panel",
+          "post", "posts", "prompt", "right", "row", "section", "slot", "sticky", "thread", "title", "toggle", "top", "unit", "wrap", "wrapper",
+          "article", "articles", "stories", "story", "tools", "us"}
+_BOX_IDS = {"ad", "ads", "advertisement", "comment", "comments", "disqus", "newsletter", "pagination", "reply", "replies", "respond", "sidebar"}
 #: What a start tag closes if it is open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr"},
            "tfoot": {"tbody", "thead", "tr"}}
@@ -97,11 +109,29 @@ class Page:
             i = self.nodes[i].parent
 
 
-def _boilerplate(attributes: str) -> bool:
+def _names(value: str, words: set[str]) -> bool:
+    """Whether a whole name of the value consists of such words and of parts of a page."""
+    for name in value.split():
+        found = {x for x in _NAME.findall(name) if not x.isdigit()}
+        if found & words and found <= words | _PARTS:
+            return True
+    return False
+
+
+def _boilerplate(attributes: str, tag: str, inside: bool) -> bool:
+    """Whether role, style, class or id declare boilerplate. Inside an article, and for the article itself, only whole
+    names of containers count; the id of a heading, paragraph or section counts nowhere as words."""
     names: set[str] = set()
     for k, v in _ATTRIBUTE.findall(attributes):
         k, v = k.lower(), v.strip("\"'").lower()
-        if k in ("class", "id"):
+        if inside and k in ("class", "id"):
+            if tag in _BOXES or tag == "article":
+                if _names(v, _CLASSES if k == "class" else _BOX_IDS):
+                    return True
+        elif k == "id" and tag in _TEXTS:
+            if tag == "section" and _names(v, _BOX_IDS):
+                return True
+        elif k in ("class", "id"):
             names.update(_NAME.findall(v))
         elif k == "role" and v in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
             return True
@@ -156,8 +186,6 @@ def parse(source: str) -> Page:
             continue
         if tag == "a":
             in_link = not ends
-            if not _boilerplate(attributes):
-                continue
         if tag in ("br", "td", "th", "hr", "img"):
             buffer.append(" ")
         if tag in _VOID:
@@ -193,7 +221,8 @@ def parse(source: str) -> Page:
         inside = any(nodes[i].root == 2 for i in (here, *page.above(here)))
         root = 2 if tag == "article" else 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes, re.I) else 0
         nodes.append(Node(tag, here, tag in _DROP or tag == "header" and not inside,
-                          bool(attributes) and tag not in ("html", "body") and _boilerplate(attributes), root))
+                          bool(attributes) and tag not in ("html", "body")
+                          and _boilerplate(attributes, tag, inside or tag == "article"), root))
         here = len(nodes) - 1
         if attributes.endswith("/") and tag not in ("p", "div", "li", "article", "main", "section"):
             here = close(here)
