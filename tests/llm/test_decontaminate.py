@@ -98,3 +98,37 @@ def test_empty_tables(spark):
     assert find_leaks(docs, items).count() == 0 and find_leaks(one, items).count() == 0 and drop_leaks(one, items).count() == 1
     bench = spark.createDataFrame([(5, "b c d e f")], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in find_leaks(one, bench).collect()] == [(None, 5)]
+
+
+def test_recall_by_similarity_alone():
+    r = random.Random(3)
+    vocabulary = ["%x" % r.getrandbits(r.choice([12, 20, 32])) for _ in range(3000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(some(r.randint(12, 60)))) for i in range(60)]
+    docs = []
+    for d in range(600):
+        ws = words(items[d % 60][1])
+        if d % 3 == 0:                                   # without context: some are shorter than the item
+            cut = r.randint(0, 3)
+            ws = ws[cut:len(ws) - r.randint(0, 2)]
+        else:
+            for _ in range(r.randint(1, 3)):
+                ws[r.choice([0, 1, len(ws) - 1, r.randrange(len(ws))])] = r.choice(vocabulary)
+            if d % 3 == 1:                               # the last words replaced
+                n = (len(ws) - 4) // 9
+                ws = words(items[d % 60][1])[:len(ws) - n] + some(n)
+            ws = some(r.randint(0, 20)) + ws + some(r.randint(0, 20))
+        docs.append((d, " ".join(ws)))
+    want = {}
+    for d, t in docs:
+        ws, it = words(t), words(items[d % 60][1])
+        n = min(len(it), len(ws))
+        sim = max(weighted(bag(ws[s:s + n]), bag(it)) for s in range(len(ws) - n + 1))
+        if sim >= .8:
+            want[d, d % 60] = n < len(it)
+    got = {(row, item): (n, bits) for row, item, _, n, bits, _ in Index(items).search(pa.array([t for _, t in docs]))}
+    assert got.keys() == want.keys() and len(want) > 200 and sum(want.values()) > 30
+    assert sum(bits > 7 for _, bits in got.values()) > 20
+    assert all((n < len(words(items[i][1]))) == want[d, i] for (d, i), (n, _) in got.items())
+    seven = sum(1 for _ in Index(items, radius=7).search(pa.array([t for _, t in docs])))
+    print("matches", len(want), "shorter documents", sum(want.values()), "found at radius 7", seven, "most bits", max(b for _, b in got.values()))

@@ -1,12 +1,15 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
 Every benchmark item of L words (A-Z lower-cased) has a 64-bit SimHash of its words. In a document, the
-windows of L consecutive words get theirs by prefix sums of the words' bit votes. A multi-index over four
-16-bit blocks, entered with each value's neighbours at one bit, guarantees every item of that length whose
-fingerprint lies within ``RADIUS`` bits (if each block differed in two bits or more, eight would differ).
+windows of L consecutive words get theirs by prefix sums of the words' bit votes; a document of fewer words is
+one window. A window is a candidate for the items of that length whose fingerprints lie within ``RADIUS`` bits. The
+radius covers the similarity: at 0.8 about a ninth of the words differ at most, which changes 10 of 64 bits with a
+deviation of 3, while unrelated texts differ in 32 with a deviation of 4. All fingerprints of a length are compared.
+With a radius of 7 or less, a multi-index over four 16-bit blocks, entered with each value's neighbours at one bit,
+finds the same pairs (if each block differed in two bits or more, eight would differ).
 Candidates are verified exactly by the weighted Jaccard similarity of the bags of 5-word shingles, a shingle weighing
-its words' bytes. A window that shares no shingle with the benchmark has similarity 0 with every item, so
-only windows that hold one are fingerprinted.
+its words' bytes. Only windows that hold shingles of an item with 0.8 of its weight are fingerprinted: the similarity of any
+other window is less.
 
 Documents are scanned where they lie, without a shuffle. The benchmark is read in blocks of bounded size, each
 a broadcast index; a larger one costs more scans, never memory.
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 WORDS = 5
-RADIUS = 7
+RADIUS = 24
 SIMILARITY = 0.8
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
+#: Pairs of fingerprints compared at a time.
+_PAIRS = 1 << 20
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -45,7 +50,7 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     return _folded(votes, starts, length)
 
 
-def _folded(votes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def _folded(votes: np.ndarray, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     bits = votes[starts + length] - votes[starts] > 0
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -69,8 +74,6 @@ class Index:
     """Fingerprints and shingles of a block of benchmark items, by length in words."""
 
     def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS, least: float = SIMILARITY, k: int = WORDS):
-        if radius > 7:
-            raise ValueError("four blocks entered at one bit guarantee a radius of 7 at most")
         self.radius, self.least, self.k = radius, least, k
         self.ids = [i for i, _ in items]
         self.weight: dict[int, int] = {}
@@ -89,6 +92,15 @@ class Index:
                     shared.setdefault(size, []).append(tv.combine(h, size))
                 at += 1
         self.shared = {size: np.unique(np.concatenate(x)) for size, x in shared.items()}
+        # each item's length and weight, and the items of each shingle
+        self.words = {int(x): n for n, found in by_length.items() for x, _ in found}
+        self.total = np.array([sum(self.weight[s] * c for s, c in bag.items()) for bag in self.bags], np.float64)
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in self.shared:
+            own = [(s, i) for i, n in self.words.items() if min(k, n) == size for s in self.bags[i]]
+            h, item = np.array([s for s, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
+            order = np.argsort(h, kind="stable")
+            self.owners[size] = h[order], item[order]
         self.maybe = {size: self._filter(x) for size, x in self.shared.items()}
         self.lengths = {}
         flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint64)
@@ -109,8 +121,13 @@ class Index:
         return out
 
     def _near(self, fp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item of length n) pairs within the radius, by the multi-index."""
+        """(window, item of length n) pairs within the radius: by the multi-index up to 7 bits, else by comparing all."""
         item, of, blocks = self.lengths[n]
+        if self.radius > 7:
+            step = max(1, _PAIRS // len(of))
+            found = [np.argwhere(np.bitwise_count(fp[i:i + step, None] ^ of) <= self.radius) + (i, 0) for i in range(0, len(fp), step)]
+            win, own = np.concatenate(found or [np.zeros((0, 2), np.int64)]).T
+            return win, own
         found = []
         for j, (values, owner) in enumerate(blocks):
             v = (fp >> np.uint64(16 * j)) & np.uint64(0xFFFF)
@@ -124,54 +141,75 @@ class Index:
         near = np.bitwise_count(fp[win] ^ of[own]) <= self.radius
         return win[near], own[near]
 
+    def _windows(self, p: np.ndarray, h: np.ndarray, width: np.ndarray, size: int, first: np.ndarray,
+                 last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(words of an item, starts): windows whose shingles at places p, of hashes h and such widths, weigh ``least`` of
+        the item or more. The similarity of any other window is less."""
+        known, owner = self.owners[size]
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        count = hi - lo
+        at = np.repeat(np.arange(len(p)), count)
+        item = owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+        order = np.argsort(item, kind="stable")
+        at, item = at[order], item[order]
+        if not len(at):
+            return
+        begin = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (first[p[at[1:]]] != first[p[at[:-1]]])])
+        whole = np.add.reduceat(width[at], begin)
+        for g in np.flatnonzero(whole >= self.least * self.total[item[begin]] - 1e-6).tolist():
+            mine = at[begin[g]:begin[g + 1] if g + 1 < len(begin) else len(at)]
+            i = int(item[begin[g]])
+            n, a, b = self.words[i], int(first[p[mine[0]]]), int(last[p[mine[0]]])
+            if b - a <= n:                       # a document shorter than the item is one window
+                yield n, np.array([a])
+                continue
+            run = np.zeros(b - a + 1)
+            run[p[mine] - a + 1] = width[mine]
+            run = np.cumsum(run)
+            yield n, a + np.flatnonzero(run[n - size + 1:b - a - size + 2] - run[:b - a - n + 1] >= self.least * self.total[i] - 1e-6)
+
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, first word, words, differing bits, similarity): the best window of each match."""
         for w in tv.words(texts):
             doc = w.doc_of()
             first, last = w.bounds[doc], w.bounds[doc + 1]
-            hits = {}
+            windows: dict[int, list[np.ndarray]] = {}
             for size, known in self.shared.items():
                 h = tv.combine(w.hashes, size)
                 p = np.flatnonzero(self.maybe[size][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                 place = np.searchsorted(known, h[p])
-                hits[size] = p[(known[np.minimum(place, len(known) - 1)] == h[p]) & (p + size <= last[p])]
-            if not any(len(p) for p in hits.values()):
+                p = p[(known[np.minimum(place, len(known) - 1)] == h[p]) & (p + size <= last[p])]
+                ends = np.r_[0, np.cumsum(w.ends - w.starts)]
+                for n, starts in self._windows(p, h[p], ends[p + size] - ends[p], size, first, last):
+                    windows.setdefault(n, []).append(starts)
+            if not windows:
                 continue
-            reach = max(self.lengths)
-            # the words around hits, in one dense matrix of running votes
+            # the words of these windows, in one dense matrix of running votes
+            found = {n: np.unique(np.concatenate(x)) for n, x in windows.items()}
             mark = np.zeros(len(w.hashes) + 1, np.int32)
-            for p in hits.values():
-                np.add.at(mark, np.maximum(p - reach, first[p]), 1)
-                np.add.at(mark, np.minimum(p + reach, last[p]), -1)
+            for n, starts in found.items():
+                np.add.at(mark, starts, 1)
+                np.add.at(mark, np.minimum(starts + n, last[starts]), -1)
             used = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
             dense = np.zeros(len(w.hashes) + 1, np.int64)
             dense[used] = np.arange(len(used))
             votes = np.zeros((len(used) + 1, 64), np.int32)
             np.cumsum(((w.hashes[used][:, None] & _BITS) != 0).astype(np.int8) * 2 - 1, axis=0, out=votes[1:], dtype=np.int32)
             best: dict[tuple[int, int], tuple] = {}
-            for n, (item, of, _) in self.lengths.items():
-                size = min(self.k, n)
-                p = hits[size]
-                # windows that hold a hit and stay inside its document
-                lo, hi = np.maximum(p - (n - size), first[p]), np.minimum(p, last[p] - n)
-                ok = lo <= hi
-                mark = np.zeros(len(w.hashes) + 1, np.int32)
-                np.add.at(mark, lo[ok], 1)
-                np.add.at(mark, hi[ok] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                if not len(starts):
-                    continue
-                fp = _folded(votes, dense[starts], n)
+            for n, starts in found.items():
+                item, of, _ = self.lengths[n]
+                size, sizes = min(self.k, n), np.minimum(n, last[starts] - starts)
+                fp = _folded(votes, dense[starts], sizes)
                 for x, y in zip(*self._near(fp, n)):
-                    s = int(starts[x])
+                    s, m = int(starts[x]), int(sizes[x])
                     weight: dict[int, int] = {}
-                    bag = _bag(w.hashes[s:s + n], (w.ends - w.starts)[s:s + n], size, weight)
+                    bag = _bag(w.hashes[s:s + m], (w.ends - w.starts)[s:s + m], size, weight)
                     own = self.bags[item[y]]
                     weight.update((q, self.weight[q]) for q in own)
                     sim = similarity(bag, own, weight)
                     if sim >= self.least:
                         key = (w.first + int(doc[s]), int(item[y]))
-                        row = (-sim, s - int(first[s]), n, int(np.bitwise_count(fp[x] ^ of[y])))
+                        row = (-sim, s - int(first[s]), m, int(np.bitwise_count(fp[x] ^ of[y])))
                         best[key] = min(best.get(key, row), row)
             for (row, i), (sim, s, n, bits) in sorted(best.items()):
                 yield row, i, s, n, bits, -sim
