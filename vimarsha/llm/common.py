@@ -54,5 +54,8 @@ def crc32_text(column: Column | str) -> Column:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, each found by its exact name first: extra columns may clash but for case."""
-    return df.select(*[df[f"`{c}`"] for c in columns])
+    """The named columns, each found by its exact name first, else but for case. Columns are renamed by their places
+    before, so that extra columns whose names differ in case only do not clash."""
+    names, lower = df.columns, [c.lower() for c in df.columns]
+    at = [names.index(c) if c in names else lower.index(c.lower()) for c in columns]
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).select(*[F.col(f"_{i}").alias(c) for i, c in zip(at, columns)])

@@ -200,3 +200,10 @@ def op1_token_counts(spark, sf_dir):
     rollup.commit("3-signs", changes(marked.filter("not copy"), "revise", "words", "named", "words"))
     rollup.commit("4-bpe", changes(marked.filter("not copy"), "insert", "byte_bpe_50k", "bpe"))
     return rollup.totals()
+
+
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    from .spelling import count_words, group_variants
+    words = count_words(read_table(spark, sf_dir, "documents"), damage=199)
+    return group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
