@@ -207,3 +207,29 @@ def op12_spelling_variants(spark, sf_dir):
     from .spelling import count_words, group_variants
     words = count_words(read_table(spark, sf_dir, "documents"), damage=199)
     return group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    from .conversations import audit_conversations, damaged
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return audit_conversations(rows).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                                            "repaired_sha256")
+
+
+OP11_SQL = """
+WITH x AS (SELECT vec_id, min([greatest(-16777216, least(16777216, floor(1024 * e::DOUBLE)))::BIGINT for e in embedding]) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0
+  GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query, c.vec_id, coalesce(list_sum([q.v[i] * c.v[i] for i in range(1, least(len(q.v), len(c.v)) + 1)]), 0)::BIGINT AS score
+  FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@register("op11_exact_topk", OP11_SQL)
+def op11_exact_topk(spark, sf_dir):
+    from .common import saved
+    from .topk import int_vectors, top_k
+    vectors = saved(int_vectors(read_table(spark, sf_dir, "embeddings")), "int-vectors")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
