@@ -124,7 +124,11 @@ def metrics_by(df: DataFrame, key: str, truth: str = "ground_truth", pred: str =
 def classification_report(df: DataFrame, truth: str = "ground_truth", pred: str = "predicted_label",
                           labels: list[str] | None = None) -> DataFrame:
     """Rows per class + 'accuracy' + 'macro avg' + 'weighted avg' (precision, recall, f1, support)."""
-    counts = confusion_counts(df, truth, pred)
+    return report_of(confusion_counts(df, truth, pred), labels)
+
+
+def report_of(counts: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """A8 from counts (truth, pred, n)."""
     st = label_stats(counts, None, labels)
     summ = summary_from_stats(st, counts)
     cls = st.select(F.col("label").alias("row"), "precision", "recall", F.col("f1").alias("f1_score"),
@@ -146,9 +150,12 @@ def confusion_matrix(df: DataFrame, truth: str = "ground_truth", pred: str = "pr
 
     A truth label with no rows gives NULL shares (the reference shows NaN).
     """
-    counts = confusion_counts(df, truth, pred)
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "truth string, pred string")
+    return matrix_of(confusion_counts(df, truth, pred), labels)
+
+
+def matrix_of(counts: DataFrame, labels: list[str] = FV.LABELS) -> DataFrame:
+    """A4 from counts (truth, pred, n)."""
+    grid = counts.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "truth string, pred string")
     j = grid.join(counts, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = j.groupBy("truth").agg(F.sum("n").alias("row_total"))
     j = j.join(rows, "truth")

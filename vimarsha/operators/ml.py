@@ -12,17 +12,22 @@ spread over 65 536 sort groups.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
+from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as FV
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import materialize
 from . import metrics as M
+from .linear import LinearModel, fit_linear
 
 BUCKET_BITS = 16
 CLASSIFIERS = ["naive_bayes", "logistic_regression", "linear_svm"]
@@ -93,6 +98,12 @@ def prepare_polarity(df: DataFrame, text: str, label: str, key: str, frac: float
 # ---------------------------------------------------------------------------
 def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 2.0, max_features: int = 50000,
               keep: list[str] | None = None) -> tuple[PipelineModel, DataFrame]:
+    """``fit_tfidf_grams`` on the n-grams of a text column."""
+    return fit_tfidf_grams(train.select(*(keep or []), X.char_wb_ngrams(text).alias("_vm_grams")), min_df, max_features, keep)
+
+
+def fit_tfidf_grams(grams: DataFrame, min_df: float = 2.0, max_features: int = 50000,
+                    keep: list[str] | None = None) -> tuple[PipelineModel, DataFrame]:
     """char_wb 2-4 grams -> counts (min_df, top max_features by corpus frequency) -> smoothed IDF
     ln((1+n)/(1+df)) + 1 -> L2 normalisation.
 
@@ -102,9 +113,8 @@ def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 2.0, max_fea
     ElementwiseProduct stage. Returns (model, training features with ``keep`` columns).
     """
     keep = list(keep or [])
-    grams = train.select(*keep, X.char_wb_ngrams(text).alias("_vm_grams"))
     cv_model = CountVectorizer(inputCol="_vm_grams", outputCol="_vm_tf", minDF=min_df, vocabSize=max_features).fit(grams)
-    tf = cut_lineage(cv_model.transform(grams).select(*keep, "_vm_tf"))
+    tf = materialize(cv_model.transform(grams).select(*keep, "_vm_tf"), "term-counts")
     idf_model = IDF(inputCol="_vm_tf", outputCol="_vm_unused").fit(tf)
     shifted = Vectors.dense([v + 1.0 for v in idf_model.idf.toArray()])
     scale = ElementwiseProduct(scalingVec=shifted, inputCol="_vm_tf", outputCol="_vm_tfidf")
@@ -127,74 +137,95 @@ def tfidf_features(df: DataFrame, model: PipelineModel, text: str = "text") -> D
 # ---------------------------------------------------------------------------
 # classifiers
 # ---------------------------------------------------------------------------
-def build_classifier(name: str, n_train: int, n_classes: int):
-    """Settings mirroring the reference's classifier defaults: C=1 -> regParam = 1/n_train, no
-    standardization; logistic regression max 2000 iterations, linear SVM max 1000, both with the
-    default stopping tolerance 1e-4."""
-    reg = 1.0 / max(n_train, 1)
+#: Largest gradient component of the mean loss at which a fit stops, and steps at most.
+STOP = {"logistic_regression": (1e-4, 2000), "linear_svm": (1e-5, 1000)}
+
+
+def fit_classifier(name: str, train: DataFrame, n_classes: int):
+    """A classifier with the reference's settings (C = 1, smoothing 1) on (features, label_idx)."""
     if name == "naive_bayes":
-        return NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label_idx")
-    if name == "logistic_regression":
-        return LogisticRegression(maxIter=2000, tol=1e-4, regParam=reg, elasticNetParam=0.0, standardization=False,
-                                  featuresCol="features", labelCol="label_idx")
-    if name == "linear_svm":
-        svc = LinearSVC(maxIter=1000, tol=1e-4, regParam=reg, standardization=False, featuresCol="features",
-                        labelCol="label_idx")
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="label_idx")
+        return NaiveBayes(modelType="multinomial", smoothing=1.0, featuresCol="features", labelCol="label_idx").fit(train)
+    if name in STOP:
+        tol, steps = STOP[name]
+        return fit_linear(train, name, n_classes, tol=tol, max_iter=steps)
     raise ValueError(f"Unknown classifier: {name}")
 
 
-def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str,
-                          classifiers: list[str] | None = None, test_frac: float = 0.2,
-                          seed: int = 42) -> DataFrame:
-    """One stratified split, features fitted once on train and cached, each classifier fitted
-    and scored; metrics per classifier from the confusion counts; ranked by macro F1 (ties keep
-    list order). Returns name, accuracy, macro_f1, weighted_f1, per-label F1, rank, best, baseline.
-    """
+@dataclass
+class Benchmark:
+    """What the classifiers of one data set did: the confusion counts (classifier, truth, pred, n), written once."""
+
+    counts: DataFrame
+    classifiers: list[str]
+    labels: list[str]
+    sizes: dict[str, int]
+
+    def per_class(self) -> DataFrame:
+        """(classifier, label, precision, recall, f1, support) of all classifiers in one aggregation."""
+        stats = M.label_stats(self.counts, ["classifier"], self.labels)
+        return stats.select("classifier", "label", "precision", "recall", "f1", "support")
+
+    def summary(self) -> DataFrame:
+        """One row a classifier: accuracy, macro and weighted F1, F1 of the three labels, sizes, labels, rank by macro F1 (ties keep
+        the order asked for), best, baseline."""
+        stats = M.label_stats(self.counts, ["classifier"], None)
+        summ = M.summary_from_stats(stats, self.counts, ["classifier"])
+        f1 = stats.groupBy("classifier").agg(*[F.max(F.when(F.col("label") == c, F.col("f1"))).alias(c) for c in FV.LABELS])
+        order = F.array(*[F.lit(c) for c in self.classifiers])
+        j = summ.join(f1, "classifier").withColumn("_pos", F.array_position(order, F.col("classifier")))
+        w = Window.orderBy(F.desc("macro_f1"), F.asc("_pos"))      # over the few classifiers
+        j = j.withColumn("rank", F.row_number().over(w))
+        baseline = (F.col("classifier") == "naive_bayes") if "naive_bayes" in self.classifiers else F.col("rank") == len(self.classifiers)
+        return j.select(
+            F.col("classifier").alias("name"), "accuracy", "macro_f1", "weighted_f1",
+            *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c.lower()}_f1") for c in FV.LABELS],
+            "rank", (F.col("rank") == 1).alias("best"), baseline.alias("baseline"),
+            *[F.lit(self.sizes[s]).cast("long").alias(f"{s}_size") for s in ("dataset", "train", "test")],
+            F.array(*[F.lit(x) for x in self.labels]).alias("labels"))
+
+    def report(self, classifier: str | None = None) -> DataFrame:
+        """A8 of one classifier, by default of the best one."""
+        name = F.lit(classifier) if classifier else self.summary().filter("best").select("name").scalar()
+        own = self.counts.filter(F.col("classifier") == name).groupBy("truth", "pred").agg(F.sum("n").alias("n"))
+        return M.report_of(own)
+
+
+def run_benchmark(df: DataFrame, key: str, text: str, label: str, classifiers: list[str] | None = None, test_frac: float = 0.2,
+                  seed: int = 42) -> Benchmark:
+    """One stratified split; n-grams made once, features fitted on the training part and written once; every classifier
+    fitted on them; all predictions of the test part counted in one pass."""
     classifiers = classifiers or CLASSIFIERS
     for c in classifiers:
         if c not in CLASSIFIERS:
             raise ValueError(f"Unknown classifier: {c}")
-    # the split reads its input in several branches (bucket counts, quotas, ranking): persist the
-    # labelled training table once instead of recomputing its scan and joins per branch
-    clean = (df.select(key, text, F.col(label).cast("string").alias("label")).dropna(subset=[text, "label"])
-             .persist())
-    split = stratified_split(clean, key, "label", test_frac, seed).persist()  # read 4x below: compute once
-    indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(split)
-    labels = list(indexer.labels)
-    train = indexer.transform(split.filter(F.col("split") == "train"))
-    test = indexer.transform(split.filter(F.col("split") == "test"))
-    feats, train_f = fit_tfidf(train, text, keep=[key, "label", "label_idx"])
-    n_train = train_f.count()
-    train_f = train_f.cache()
-    test_f = tfidf_features(test, feats, text).select(key, "label", "label_idx", "features").cache()
-    out = None
-    known = ["Positive", "Negative", "Neutral"]
-    for pos, name in enumerate(classifiers):
-        model = build_classifier(name, n_train, len(labels)).fit(train_f)
-        pred = model.transform(test_f).withColumn(
-            "pred_label", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1))
-        counts = M.confusion_counts(pred, "label", "pred_label")
-        stats = M.label_stats(counts, None, labels)
-        summ = M.summary_from_stats(M.label_stats(counts, None, None), counts)
-        f1s = stats.agg(*[F.max(F.when(F.col("label") == c, F.col("f1"))).alias(c) for c in known])
-        row = summ.select(F.lit(name).alias("name"), F.lit(pos).alias("position"), "accuracy", "macro_f1", "weighted_f1",
-                          *[f1s.select(c).scalar().alias(c) for c in known])
-        out = row if out is None else out.unionByName(row)
-    w = Window.orderBy(F.desc("macro_f1"), F.asc("position"))  # over |classifiers| rows
-    ranked = out.withColumn("rank", F.row_number().over(w))
-    nb = "naive_bayes" if "naive_bayes" in classifiers else None
-    last = F.max("rank").over(Window.partitionBy(F.lit(1)))
-    baseline = (F.col("name") == nb) if nb else (F.col("rank") == last)
-    result = cut_lineage(ranked.select(
-        "name", "accuracy", "macro_f1", "weighted_f1",
-        F.coalesce(F.col("Positive"), F.lit(0.0)).alias("positive_f1"),
-        F.coalesce(F.col("Negative"), F.lit(0.0)).alias("negative_f1"),
-        F.coalesce(F.col("Neutral"), F.lit(0.0)).alias("neutral_f1"),
-        "rank", (F.col("rank") == 1).alias("best"), baseline.alias("baseline")))
-    for kept in (clean, split, train_f, test_f):    # the result stands by itself
-        kept.unpersist()
-    return result
+    clean = df.select(key, text, F.col(label).cast("string").alias("label")).dropna(subset=[text, "label"])
+    grams = materialize(clean.select(key, "label", X.char_wb_ngrams(text).alias("_vm_grams")), "benchmark-ngrams")
+    marked = materialize(stratified_split(grams.select(key, "label"), key, "label", test_frac, seed), "benchmark-split")
+    split = grams.join(marked.drop("label"), key)
+    sizes = {r["split"]: r["n"] for r in marked.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    sizes = {"dataset": sum(sizes.values()), "train": sizes.get("train", 0), "test": sizes.get("test", 0)}
+    labels = sorted(r["label"] for r in marked.select("label").distinct().collect())
+    index = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1).cast("double")
+    train = split.filter(F.col("split") == "train").withColumn("label_idx", index)
+    feats, train_f = fit_tfidf_grams(train, keep=["label_idx"])
+    train_f = materialize(train_f, "benchmark-train")
+    test = feats.transform(split.filter(F.col("split") == "test")).select("label", "features")
+    pred = test
+    for i, name in enumerate(classifiers):
+        cols = pred.columns
+        model = fit_classifier(name, train_f, len(labels))
+        pred = model.transform(pred).select(*cols, F.col("prediction").alias(f"_p{i}"))
+    names = F.array(*[F.lit(x) for x in labels])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("classifier"), F.element_at(names, F.col(f"_p{i}").cast("int") + 1).alias("pred"))
+                               for i, c in enumerate(classifiers)]))
+    counted = pred.select(F.col("label").alias("truth"), each.alias("_c")).groupBy("_c.classifier", "truth", "_c.pred").agg(F.count("*").alias("n"))
+    return Benchmark(materialize(counted, "benchmark-counts"), classifiers, labels, sizes)
+
+
+def benchmark_classifiers(df: DataFrame, key: str, text: str, label: str, classifiers: list[str] | None = None,
+                          test_frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """L7 as one row per classifier (see ``Benchmark.summary``)."""
+    return run_benchmark(df, key, text, label, classifiers, test_frac, seed).summary()
 
 
 def benchmark_suite(datasets: dict[str, tuple[DataFrame, str, str, str]],
@@ -207,57 +238,116 @@ def benchmark_suite(datasets: dict[str, tuple[DataFrame, str, str, str]],
     return out
 
 
+def suite_per_class(datasets: dict[str, tuple[DataFrame, str, str, str]], classifiers: list[str] | None = None) -> DataFrame:
+    """L8's per-class rows (dataset, classifier, label, precision, recall, f1, support)."""
+    out = None
+    for name, (df, key, text, label) in datasets.items():
+        r = run_benchmark(df, key, text, label, classifiers).per_class().withColumn("dataset", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # training and scoring
 # ---------------------------------------------------------------------------
+#: Of the folder that ``save_sentiment`` writes.
+MODEL_FORMAT = 2
+
+
+class TextModel:
+    """TF-IDF features and a classifier of them; ``transform`` takes rows with their n-grams in ``_vm_grams``."""
+
+    def __init__(self, features: PipelineModel, classifier):
+        self.features, self.classifier = features, classifier
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.classifier.transform(self.features.transform(df))
+
+    def predict(self, df: DataFrame, text: str, labels: list[str], out: str = "pred_label") -> DataFrame:
+        cols = df.columns
+        scored = self.transform(df.withColumn("_vm_grams", X.char_wb_ngrams(F.coalesce(F.col(text), F.lit("")))))
+        names = F.array(*[F.lit(x) for x in labels])
+        return scored.select(*cols, F.element_at(names, F.col("prediction").cast("int") + 1).alias(out))
+
+
 def train_sentiment(df: DataFrame, key: str, text: str, label: str, path: str | None = None,
-                    val_frac: float = 0.1, seed: int = 42, classifier: str = "logistic_regression"):
-    """Fit TF-IDF + classifier on the hash-holdout train part, evaluate weighted metrics on the
-    validation part, optionally save model and run record. Returns (model, labels, metrics_df)."""
-    clean = df.select(key, F.col(text).alias("text"), F.col(label).cast("string").alias("label")).dropna()
-    split = holdout_split(clean, key, val_frac, seed)
-    indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(split)
-    labels = list(indexer.labels)
-    train = indexer.transform(split.filter(F.col("split") == "train"))
-    feats, train_f = fit_tfidf(train, "text", keep=["label", "label_idx"])
-    n_train = train_f.count()
-    train_f = train_f.cache()
-    clf = build_classifier(classifier, n_train, len(labels)).fit(train_f)
-    model = PipelineModel(stages=list(feats.stages) + [clf])
-    val = split.filter(F.col("split") == "validation")
-    scored = model.transform(val.withColumn("_vm_grams", X.char_wb_ngrams("text")))
-    scored = scored.withColumn("pred_label", F.element_at(F.array(*[F.lit(x) for x in labels]),
-                                                          F.col("prediction").cast("int") + 1))
-    metrics = M.weighted_metrics(scored, "label", "pred_label")
+                    val_frac: float = 0.1, seed: int = 42, classifier: str = "logistic_regression",
+                    validation: DataFrame | None = None, dataset: str = "custom"):
+    """Fit TF-IDF + classifier, evaluate weighted metrics on the ``validation`` table (same columns) or, without one, on
+    a hash holdout of ``val_frac``, and save model and run record under ``path``. Returns (model, labels, metrics_df)."""
+    def clean(d):
+        return d.select(key, F.col(text).alias("text"), F.col(label).cast("string").alias("label")).dropna(subset=["text", "label"])
+    if validation is None:
+        split = holdout_split(clean(df), key, val_frac, seed)
+        train, val = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "validation")
+    else:
+        train, val = clean(df), clean(validation)
+    train = materialize(train.select("label", X.char_wb_ngrams("text").alias("_vm_grams")), "training-ngrams")
+    per_label = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(per_label)
+    index = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1).cast("double")
+    feats, train_f = fit_tfidf_grams(train.withColumn("label_idx", index), keep=["label_idx"])
+    model = TextModel(feats, fit_classifier(classifier, materialize(train_f, "training-features"), len(labels)))
+    # the few counts of the validation part are kept: the metrics and the record read them
+    counts = M.confusion_counts(model.predict(val, "text", labels), "label", "pred_label")
+    summary = M.summary_from_stats(M.label_stats(counts, None, None), counts)
+    metrics = summary.select("accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
     if path:
-        model.write().overwrite().save(f"{path}/model")
-        record = metrics.select(F.lit(classifier).alias("base"), F.array(*[F.lit(x) for x in labels]).alias("labels"),
-                                F.struct(*metrics.columns).alias("metrics"))
-        record.coalesce(1).write.mode("overwrite").json(f"{path}/run")
+        settings = {"val_frac": None if validation is not None else val_frac, "seed": seed}
+        save_sentiment(model, labels, path, classifier, dataset, per_label, summary, settings)
     return model, labels, metrics
 
 
+def save_sentiment(model: TextModel, labels: list[str], path: str, classifier: str, dataset: str, per_label: dict[str, int],
+                   summary: DataFrame, settings: dict) -> None:
+    """Model folders and, last, the run record: format, base, dataset, labels, sizes, settings, metrics, fit."""
+    spark = summary.sparkSession
+    model.features.write().overwrite().save(f"{path}/features")
+    if isinstance(model.classifier, LinearModel):
+        model.classifier.save(spark, f"{path}/classifier")
+        fit = {"steps": model.classifier.steps, "converged": model.classifier.converged}
+    else:
+        model.classifier.write().overwrite().save(f"{path}/classifier")
+        fit = {}
+    record = summary.select(
+        F.lit(MODEL_FORMAT).alias("format"), F.lit(classifier).alias("base"), F.lit(dataset).alias("dataset"),
+        F.array(*[F.lit(x) for x in labels]).alias("labels"), F.lit(sum(per_label.values())).alias("n_train"),
+        F.col("n").cast("long").alias("n_validation"), F.lit(json.dumps(per_label, sort_keys=True)).alias("train_labels"),
+        F.lit(json.dumps(settings)).alias("settings"), F.lit(json.dumps(fit)).alias("fit"),
+        F.struct("accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "macro_f1").alias("metrics"),
+        F.lit(path).alias("model_path"))
+    record.write.mode("overwrite").json(f"{path}/run")
+
+
+RUN_RECORD = ("format int, base string, dataset string, labels array<string>, n_train long, n_validation long, train_labels string, "
+              "settings string, fit string, metrics struct<accuracy:double,weighted_precision:double,weighted_recall:double,"
+              "weighted_f1:double,macro_f1:double>, model_path string")
+
+
+def load_sentiment(spark: SparkSession, path: str):
+    """(model, labels, run record) of a folder that ``train_sentiment`` wrote."""
+    record = spark.read.schema(RUN_RECORD).json(f"{path}/run").first()
+    if record is None or record["format"] != MODEL_FORMAT:
+        raise ValueError(f"{path}: no model of format {MODEL_FORMAT}")
+    if record["base"] == "naive_bayes":
+        classifier = NaiveBayesModel.load(f"{path}/classifier")
+    else:
+        classifier = LinearModel.load(spark, f"{path}/classifier")
+    return TextModel(PipelineModel.load(f"{path}/features"), classifier), list(record["labels"]), record
+
+
 class TextModelScorer:
-    """Score a text column with a model from :func:`train_sentiment` (probabilities per label)."""
+    """Score a text column with a model from :func:`train_sentiment`: label, probabilities per label, raw scores (margins, or
+    log likelihoods for naive Bayes)."""
 
-    def __init__(self, model: PipelineModel, labels: list[str]):
+    def __init__(self, model: TextModel, labels: list[str]):
         self.model, self.labels = model, labels
 
-    def _probabilities(self, scored: DataFrame) -> Column:
-        """Probabilities per label; a model without them (linear SVM, one-vs-rest) has its margins put through softmax."""
-        from .score import softmax
-        if "probability" in scored.columns:
-            return vector_to_array(F.col("probability"))
-        return softmax(vector_to_array(F.col("rawPrediction")))
-
     def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
-        from .score import argmax_index, label_of, label_probabilities
+        from .score import from_probs
         cols = df.columns
         tmp = df.withColumn("_vm_grams", X.char_wb_ngrams(F.coalesce(F.col(text_col), F.lit(""))))
         scored = self.model.transform(tmp)
-        probs = self._probabilities(scored)
-        res = F.struct(label_of(argmax_index(probs), self.labels).alias("label"),
-                       F.array_max(probs).alias("confidence"),
-                       label_probabilities(probs, self.labels).alias("probabilities"),
-                       F.lit(None).cast("array<double>").alias("raw_scores"))
-        return scored.withColumn(out, res).select(*cols, out)
+        if "margins" not in scored.columns:
+            scored = scored.withColumns({"probabilities": vector_to_array("probability"), "margins": vector_to_array("rawPrediction")})
+        return scored.select(*cols, from_probs(F.col("probabilities"), F.col("margins"), self.labels).alias(out))

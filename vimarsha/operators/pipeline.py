@@ -2,9 +2,9 @@
 
 ``analyze(df, text_col)`` returns one row per input row with the 11 result columns
 (``RESULT_COLUMNS``), plus any ``keep`` columns (carry the row key to re-attach anything).
-Nothing is collected and nothing shuffles: detection, transliteration, translation and a
-native-expression scorer are columns of one projection; ``when`` only evaluates the branch a
-row takes, so English rows never pay for translation.
+Nothing is collected and, unless words or segments are looked up in tables, nothing shuffles: detection,
+transliteration, translation and a native-expression scorer are columns of one projection; ``when`` only
+evaluates the branch a row takes, so English rows never pay for translation.
 
 Routing per detected language:
 
@@ -30,8 +30,10 @@ from ..functions import text as X
 from ..sources.columns import resolve_text_column
 from .detect import detect_language
 from .score import LexiconScorer
-from .translate import translated_text
-from .translit import transliterated_text
+from .lookup import distinct_items, with_hits
+from .translate import joined_pairs, memory_table, segment_pairs, translated_text, with_segment_memory
+from .translit import parts_method, parts_text, spelled_parts, token_hit, transliterated_text
+from .wordjoin import open_words, spellings
 
 RESULT_COLUMNS = [
     "original_text", "detected_language", "detection_confidence", "transliterated_text",
@@ -42,18 +44,44 @@ RESULT_COLUMNS = [
 
 def route(df: DataFrame, text_col: str, lang_col: str = "_vm_lang",
           roman_dictionary: dict[str, str] | None = None,
-          native_dictionary: dict[str, str] | None = None) -> DataFrame:
-    """Add ``_vm_translit``, ``_vm_translated``, ``_vm_tfs`` (text for scoring), ``_vm_route_err``."""
+          native_dictionary: dict[str, str] | None = None, words: DataFrame | None = None, scheme: bool = False,
+          memory: DataFrame | None = None) -> DataFrame:
+    """Add ``_vm_translit``, ``_vm_translated``, ``_vm_tfs`` (text for scoring), ``_vm_route_err``, and how they were
+    made: ``_vm_method``, ``_vm_sources``.
+
+    ``words`` (src, dst) and ``scheme`` spell words beside the dictionary, ``memory`` (item, value) translates segments. Both
+    are looked up for the distinct words and segments of the rows that need them.
+    """
     rl = LX.roman_lookup(roman_dictionary)
     nl = LX.native_lookup(native_dictionary)
     c, lang = F.col(text_col), F.col(lang_col)
     is_rom = lang == "romanized_kannada"
     is_kn = lang == "kannada_script"
-    translit = F.when(is_rom, transliterated_text(c, rl))
-    out = df.withColumn("_vm_translit", translit)
-    translated = (F.when(is_kn, translated_text(c, nl))
-                  .when(is_rom, translated_text(F.col("_vm_translit"), nl)))
-    out = out.withColumn("_vm_translated", translated)
+    none = F.lit(None).cast("string")
+    if words is not None or scheme:
+        toks = X.tokens_ws(c)
+        asked = open_words(toks)
+        if words is None:     # what the dictionary knows comes before the scheme
+            asked = F.filter(asked, lambda t: token_hit(t, rl).isNull())
+        asked = F.when(is_rom, asked).otherwise(F.array().cast("array<string>"))
+        table = spellings(distinct_items(df, asked), None, words, scheme)
+        out = with_hits(df, text_col, asked, table, "_vm_words")
+        out = out.withColumn("_vm_parts", F.when(is_rom, spelled_parts(c, rl, F.col("_vm_words"))))
+        out = out.withColumns({"_vm_translit": F.when(is_rom, parts_text(c, F.col("_vm_parts"))),
+                               "_vm_method": F.when(is_rom, parts_method(c, F.col("_vm_parts")))}).drop("_vm_words", "_vm_parts")
+    else:
+        out = df.withColumns({"_vm_translit": F.when(is_rom, transliterated_text(c, rl)), "_vm_method": none})
+    if memory is not None:
+        src = F.when(is_kn, c).when(is_rom, F.col("_vm_translit"))
+        out = with_segment_memory(out.withColumn("_vm_native", src), "_vm_native", memory, "_vm_hits", "_vm_segs")
+        out = out.withColumn("_vm_pairs", F.when(is_kn | is_rom, segment_pairs(F.col("_vm_segs"), F.col("_vm_hits"), nl)))
+        out = out.withColumns({"_vm_translated": F.when(is_kn | is_rom, joined_pairs(F.col("_vm_native"), F.col("_vm_pairs"))),
+                               "_vm_sources": F.array_distinct(F.transform("_vm_pairs", lambda p: p["source"]))})
+        out = out.drop("_vm_native", "_vm_segs", "_vm_hits", "_vm_pairs")
+    else:
+        translated = (F.when(is_kn, translated_text(c, nl))
+                      .when(is_rom, translated_text(F.col("_vm_translit"), nl)))
+        out = out.withColumns({"_vm_translated": translated, "_vm_sources": F.lit(None).cast("array<string>")})
     return out.withColumns({
         "_vm_tfs": F.when(is_kn | is_rom, F.col("_vm_translated")).otherwise(c),
         "_vm_route_err": F.when(~lang.isin("kannada_script", "romanized_kannada", "english"),
@@ -76,8 +104,16 @@ def pipeline_steps(lang: Column, classified: Column) -> Column:
 def analyze(df: DataFrame, text_col: str = "text", scorer=None, keep: list[str] | None = None,
             nested: bool = False, langid: tuple[str, str] | None = None,
             roman_dictionary: dict[str, str] | None = None,
-            native_dictionary: dict[str, str] | None = None, **thresholds) -> DataFrame:
-    """T14. ``nested=True`` keeps ``pipeline_steps`` and ``errors`` as arrays (per-text result)."""
+            native_dictionary: dict[str, str] | None = None, scheme: bool = False, words: DataFrame | None = None,
+            memories: list[tuple[str, DataFrame]] | DataFrame | None = None, details: bool = False, **thresholds) -> DataFrame:
+    """T14. ``nested=True`` keeps ``pipeline_steps`` and ``errors`` as arrays (per-text result).
+
+    ``scheme=True`` spells unknown words of romanized texts by the rules (T7), ``words`` (src, dst) are a model's spellings
+    and come first; ``memories``, an ordered list (name, DataFrame(source_text, translated_text)) or a table made of it by
+    ``translate.memory_table``, translate segments before the dictionary does (T10). Distinct words and segments are looked
+    up once and joined back; without these three the plan stays one narrow stage. ``details`` adds
+    ``transliteration_method`` and ``translation_sources`` (in order of use, joined by ", ").
+    """
     text_col = resolve_text_column(df, text_col)
     keep = list(keep or [])
     scorer = scorer or LexiconScorer()
@@ -88,7 +124,8 @@ def analyze(df: DataFrame, text_col: str = "text", scorer=None, keep: list[str]
                            .when(X.is_blank(c), F.lit(FV.MSG_BLANK)))
     det = detect_language(base, text_col, "_vm_det", langid=langid, **thresholds)
     det = det.withColumn("_vm_lang", F.col("_vm_det.language"))
-    routed = route(det, text_col, "_vm_lang", roman_dictionary, native_dictionary)
+    memory = memories if isinstance(memories, DataFrame) else memory_table(memories) if memories else None
+    routed = route(det, text_col, "_vm_lang", roman_dictionary, native_dictionary, words, scheme, memory)
     routed = routed.withColumn("_vm_has_text", F.coalesce(F.length("_vm_tfs") > 0, F.lit(False)))
     scored = scorer.score(routed.withColumn("_vm_score_in", F.when(F.col("_vm_has_text"), F.col("_vm_tfs"))
                                             .otherwise(F.lit(""))), "_vm_score_in", "_vm_sent")
@@ -119,6 +156,8 @@ def analyze(df: DataFrame, text_col: str = "text", scorer=None, keep: list[str]
         F.when(ok, F.lit(None).cast("double")).otherwise(F.lit(0.0)).alias("processing_time_s"),
         F.when(~ok, F.lit("skipped")).when(F.size(errors) > 0, F.lit("ok_with_warnings"))
          .otherwise(F.lit("ok")).alias("status"),
+        *([F.when(ok, F.col("_vm_method")).alias("transliteration_method"),
+           F.when(ok, F.array_join("_vm_sources", ", ")).alias("translation_sources")] if details else []),
     )
     return result
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as FV
 from ..functions import text as X
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def _div(a, b) -> Column:
@@ -84,9 +84,6 @@ def accuracy_by(df: DataFrame, key: str, correct: str = "correct") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A12-A14, A19, A23
-QUANTILE_BUCKETS = 4096
-
-
 def _group(by: list[str]) -> Column:
     """A group's values as one text that is never NULL."""
     return F.to_json(F.struct(*by)).alias("_vm_g")
@@ -95,29 +92,35 @@ def _group(by: list[str]) -> Column:
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``value`` per group as (``_vm_g``, one column per entry of ``qs``).
 
-    Distinct values are counted first (partial sums before the shuffle) and fall into buckets that rise with the value
-    between the group's least and greatest. Prefix sums over at most ``QUANTILE_BUCKETS`` bucket totals of a
-    group find the buckets that hold the wanted ranks, and only their values are ranked one by one.
-    No group's values meet in one task's memory, whatever their number. NULLs are left out.
+    Distinct values are counted first, with partial sums before the shuffle. NULLs are left out.
     """
+    return quantiles_of_counts(df.filter(F.col(value).isNotNull()).select(_group(by), F.col(value).cast("double").alias("v"))
+                               .groupBy("_vm_g", "v").agg(F.count("*").alias("n")), qs)
+
+
+def ranked_parts(counts: DataFrame) -> DataFrame:
+    """Counts of distinct values (``_vm_g``, v, n) with the part ``b`` that holds them, written once. Parts are ranges of (group,
+    value) between sampled pivots, so they hold about equally many values however those are spread."""
+    return materialize(counts.repartitionByRange("_vm_g", "v").withColumn("b", F.spark_partition_id()), "ranked-parts")
+
+
+def quantiles_of_counts(counts: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """Quantiles of counted distinct values (``_vm_g``, v, n). Prefix sums over the parts' totals (parts of a group, at most as
+    many as there are partitions) find the parts that hold the wanted ranks; only their values are ranked one by one."""
     g = "_vm_g"
-    counts = cut_lineage(df.filter(F.col(value).isNotNull()).select(_group(by), F.col(value).cast("double").alias("v"))
-                         .groupBy(g, "v").agg(F.count("*").alias("n")))
-    ends = counts.groupBy(g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    bucket = F.least(F.coalesce(F.floor(share * QUANTILE_BUCKETS), F.lit(0)).cast("int"), F.lit(QUANTILE_BUCKETS - 1))
-    bucketed = counts.join(ends, g).select(g, "v", "n", "total", bucket.alias("b"))
-    totals = bucketed.groupBy(g, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
-    before = F.coalesce(F.sum("bn").over(Window.partitionBy(g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranked_parts(counts)
+    totals = parts.groupBy(g, "b").agg(F.sum("n").alias("bn"))
+    w = Window.partitionBy(g)
+    before = F.coalesce(F.sum("bn").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.lit(side).alias("side"))
                       for name, q in qs.items() for side in (0, 1)])
     place = F.col("want.q") * (F.col("total") - 1)
-    wanted = totals.withColumn("before", before).withColumn("want", F.explode(ranks)).select(
+    wanted = totals.withColumn("before", before).withColumn("total", F.sum("bn").over(w)).withColumn("want", F.explode(ranks)).select(
         g, "b", "bn", "before", F.col("want.name").alias("name"), F.col("want.side").alias("side"), place.alias("place"),
         F.when(F.col("want.side") == 0, F.floor(place)).otherwise(F.ceil(place)).alias("rank")).filter(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("bn")))
     upto = F.sum("n").over(Window.partitionBy(g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = bucketed.select(g, "b", "v", "n").join(wanted.select(g, "b", "before").distinct(), [g, "b"]).withColumn(
+    inside = parts.join(wanted.select(g, "b", "before").distinct(), [g, "b"]).withColumn(
         "last", F.col("before") + upto).withColumn("first", F.col("last") - F.col("n")).drop("before")
     found = wanted.join(inside, [g, "b"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     end = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))

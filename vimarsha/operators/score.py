@@ -8,6 +8,8 @@ Scorers plug into :func:`vimarsha.operators.pipeline.analyze` as objects with
 * :class:`vimarsha.operators.ml.TextModelScorer` -- a fitted Spark ML model (TF-IDF + classifier),
   probabilities from ``vector_to_array``; the label names travel with the model.
 * :class:`BatchModelScorer` -- a user's own network through ``predict_batch_udf`` (Arrow batches).
+* :class:`DistinctScorer` -- any of these, run once per distinct text; :class:`NeutralScorer` -- any of these with
+  the neutral threshold.
 """
 
 from __future__ import annotations
@@ -137,3 +139,50 @@ class BatchModelScorer:
         tmp = tmp.withColumn("_vm_probs", softmax(F.col("_vm_logits")))
         res = from_probs(F.col("_vm_probs"), F.col("_vm_logits"), self.label_map)
         return tmp.withColumn(out, res).drop("_vm_logits", "_vm_probs")
+
+
+#: A text that stands in so large a share of the rows that have one is met by a broadcast join; at most 1 / share texts do.
+HOT_SHARE = 0.001
+
+
+class DistinctScorer:
+    """Any scorer, run once for each distinct text.
+
+    The distinct texts are counted (with partial aggregation, so a hot text is counted where it is read), scored, and their
+    results written under a SHA-256 of the text: the network runs once per text, also where a later stage is repeated.
+    Results are joined back by that key. Texts in ``HOT_SHARE`` of the rows or more come back by a broadcast join, of at
+    most 1 / ``HOT_SHARE`` results, and take no part in the shuffle join, where a stand-in key spreads them.
+    """
+
+    def __init__(self, scorer, hot_share: float = HOT_SHARE):
+        self.scorer, self.hot_share = scorer, hot_share
+
+    def results(self, texts: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+        """((_vm_key, n, _vm_result) of the distinct texts, all rows with a text)."""
+        from ..session import materialize
+        counted = texts.select(F.col(text_col).alias("_vm_text")).filter("_vm_text is not null").groupBy("_vm_text").agg(F.count("*").alias("_vm_n"))
+        scored = self.scorer.score(counted, "_vm_text", "_vm_result")
+        table = materialize(scored.select(F.unhex(F.sha2("_vm_text", 256)).alias("_vm_key"), "_vm_n", "_vm_result"), "distinct-scores")
+        return table, table.agg(F.sum("_vm_n")).first()[0] or 0
+
+    def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
+        table, n = self.results(df, text_col)
+        often = F.col("_vm_n") >= max(2.0, self.hot_share * n)
+        hot = table.filter(often).select(F.col("_vm_key"), F.col("_vm_result").alias("_vm_hot"))
+        rest = table.filter(~often).select(F.col("_vm_key").alias("_vm_far"), F.col("_vm_result").alias("_vm_cold"))
+        keyed = df.withColumn("_vm_key", F.unhex(F.sha2(F.col(text_col), 256))).join(F.broadcast(hot), "_vm_key", "left")
+        # rows that have their result get a key that no text has, each its own
+        spread = F.encode(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")), "UTF-8")
+        keyed = keyed.withColumn("_vm_far", F.when(F.col("_vm_hot").isNull() & F.col("_vm_key").isNotNull(), F.col("_vm_key")).otherwise(spread))
+        return keyed.join(rest, "_vm_far", "left").withColumn(out, F.coalesce("_vm_hot", "_vm_cold")).drop(
+            "_vm_key", "_vm_far", "_vm_hot", "_vm_cold")
+
+
+class NeutralScorer:
+    """X10 around any scorer: a label of less confidence than the threshold becomes Neutral, all else is kept."""
+
+    def __init__(self, scorer, threshold: float = FV.NEUTRAL_THRESHOLD):
+        self.scorer, self.threshold = scorer, threshold
+
+    def score(self, df: DataFrame, text_col: str, out: str = "sentiment") -> DataFrame:
+        return self.scorer.score(df, text_col, out).withColumn(out, apply_neutral_threshold(F.col(out), self.threshold))

@@ -10,7 +10,8 @@ sentence delimiters removed when the text is longer than the segment limit, so t
 built without the packing fold; the fold runs only when segment pairs are asked for.
 
 T10: precomputed translation tables (translation memories, e.g. output of a neural system) are
-tried in order by left joins on the stripped source text; the dictionary is the last resort.
+tried in order, for whole texts (``translate_with``) or for every segment by itself
+(``translate_by_segments``); the dictionary is the last resort.
 """
 
 from __future__ import annotations
@@ -113,15 +114,107 @@ def translate_with(df: DataFrame, col: str, sources: list[tuple[str, DataFrame]]
     return cur.drop("_vm_key", *[t for _, t in names])
 
 
-def score_translations(df: DataFrame, key: str, text: str, category: str, native: str | None = None, width: int = 35) -> DataFrame:
+def memory_table(memories: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(item, value struct(text, source)): one row per stripped source text of the memories (name, DataFrame(source_text,
+    translated_text)), from the first memory that holds it; its least translation where it holds several."""
+    layers = [mem.select(X.py_strip(F.col("source_text")).alias("item"), F.lit(i).alias("layer"),
+                         F.col("translated_text").alias("text"), F.lit(name).alias("source")) for i, (name, mem) in enumerate(memories)]
+    both = layers[0]
+    for layer in layers[1:]:
+        both = both.unionByName(layer)
+    both = both.filter((F.col("item") != "") & F.col("text").isNotNull())
+    return both.groupBy("item").agg(F.min(F.struct("layer", "text", "source")).alias("_b")).select(
+        "item", F.struct(F.col("_b.text").alias("text"), F.col("_b.source").alias("source")).alias("value"))
+
+
+def segments_of(c, max_len: int = FV.MAX_SEGMENT_LEN) -> Column:
+    """X7 of the stripped text; a blank text has none."""
+    c = X.col_(c)
+    return F.when(X.is_blank(c), F.array().cast("array<string>")).otherwise(X.segment_text(X.py_strip(c), max_len))
+
+
+def with_segment_memory(df: DataFrame, text: str, memory: DataFrame, out: str, segments: str,
+                        max_len: int = FV.MAX_SEGMENT_LEN) -> DataFrame:
+    """Adds the text's ``segments`` and ``out``, the map of those that the memory holds. ``memory`` (item, value) as made by
+    ``memory_table``; the distinct segments are looked up in it once."""
+    from .lookup import distinct_items, with_hits
+    df = df.withColumn(segments, segments_of(text, max_len))
+    held = distinct_items(df, F.col(segments)).join(memory, "item")
+    return with_hits(df, text, F.col(segments), held, out)
+
+
+def segment_pairs(segments: Column, hits: Column, lookup: dict[str, str]) -> Column:
+    """Per segment struct(src, dst, source): the memory's translation, else the dictionary's as ``fallback``."""
+    known = F.transform(segments, lambda s: F.struct(s.alias("src"), F.try_element_at(hits, s).alias("hit")))
+    return F.transform(known, lambda p: F.struct(
+        p["src"].alias("src"), F.coalesce(p["hit"]["text"], translate_words(p["src"], lookup)).alias("dst"),
+        F.coalesce(p["hit"]["source"], F.lit("fallback")).alias("source")))
+
+
+def joined_pairs(c: Column, pairs: Column) -> Column:
+    """The translated text; a blank text as it is."""
+    return F.when(X.is_blank(c), c).otherwise(F.array_join(F.transform(pairs, lambda p: p["dst"]), " "))
+
+
+def used_backend(names: list[str], sources: Column) -> Column:
+    """The least preferred source that a text needed, as a translator that falls back for one segment stays there; the
+    first one for a text without segments."""
+    order = F.array(*[F.lit(n) for n in names])
+    last = F.aggregate(sources, F.lit(1), lambda a, s: F.greatest(a, F.array_position(order, s).cast("int")))
+    return F.element_at(order, last)
+
+
+def translate_by_segments(df: DataFrame, col: str, memories: list[tuple[str, DataFrame]] | None = None, out: str = "translation",
+                          dictionary: dict[str, str] | None = None, max_len: int = FV.MAX_SEGMENT_LEN,
+                          auto_fallback: bool = True) -> DataFrame:
+    """T9 with T10: every segment is tried in the memories in order, the dictionary is the last resort of that segment
+    alone. Appends struct(original, translated, source_lang, target_lang, backend, segments (src, dst, source), sources,
+    success, error). Without ``auto_fallback`` a text with a segment that no memory holds fails: it stays as it is, without
+    segments, and the error says how many were missing."""
+    memories = memories or []
+    lookup = LX.native_lookup(dictionary)
+    c = F.col(col)
+    blank = X.is_blank(c)
+    if memories:
+        tmp = with_segment_memory(df, col, memory_table(memories), "_vm_hits", "_vm_segs", max_len)
+    else:
+        tmp = df.withColumn("_vm_segs", segments_of(col, max_len)).withColumn(
+            "_vm_hits", F.lit(None).cast("map<string,struct<text:string,source:string>>"))
+    tmp = tmp.withColumn("_vm_pairs", segment_pairs(F.col("_vm_segs"), F.col("_vm_hits"), lookup))
+    missing = F.size(F.filter("_vm_pairs", lambda p: p["source"] == "fallback")) if not auto_fallback else F.lit(0)
+    tmp = tmp.withColumn("_vm_missing", missing)
+    failed = F.col("_vm_missing") > 0
+    sources = F.array_distinct(F.transform("_vm_pairs", lambda p: p["source"]))
+    names = [n for n, _ in memories] + ["fallback"]
+    none = F.array().cast("array<struct<src:string,dst:string,source:string>>")
+    res = F.struct(
+        F.when(blank, c).otherwise(X.py_strip(c)).alias("original"),
+        F.when(failed, X.py_strip(c)).otherwise(joined_pairs(c, F.col("_vm_pairs"))).alias("translated"),
+        F.lit("kn").alias("source_lang"), F.lit("en").alias("target_lang"),
+        F.when(failed, F.lit(names[0])).otherwise(used_backend(names, sources)).alias("backend"),
+        F.when(failed, none).otherwise(F.col("_vm_pairs")).alias("segments"),
+        F.when(failed, F.array().cast("array<string>")).otherwise(sources).alias("sources"),
+        (~failed).alias("success"),
+        F.when(failed, F.concat(F.lit("Translation failed: segments in no memory: "), F.col("_vm_missing").cast("string"))).alias("error"))
+    return tmp.withColumn(out, res).drop("_vm_segs", "_vm_hits", "_vm_pairs", "_vm_missing")
+
+
+def score_translations(df: DataFrame, key: str, text: str, category: str, native: str | None = None, width: int = 35,
+                       memories: list[tuple[str, DataFrame]] | None = None, auto_fallback: bool = True) -> DataFrame:
     """Translations scored against their texts: key, category, backend, score (0 to 5), success, display.
 
-    Without a ``native`` column the text is romanized: it goes through the dictionary into native script first.
+    Without a ``native`` column the text is romanized: it goes through the dictionary into native script first. With
+    ``memories`` (and without a fallback) backend and success are those of each row; a failed row has no score.
     """
     from .translit import transliterate
     src = "_vm_native"
     t = df.withColumn(src, F.col(native)) if native else transliterate(df, text, "_vm_tl").withColumn(
         src, F.col("_vm_tl.transliterated"))
-    t = X.with_similarity(t.withColumn("_vm_out", translated_text(src)), "_vm_out", text, "_vm_score")
-    return t.select(key, F.col(category).alias("category"), F.lit("fallback").alias("backend"), F.col("_vm_score").alias("score"),
-                    F.lit(True).alias("success"), X.truncate_text(text, width).alias("display"))
+    if memories or not auto_fallback:
+        t = translate_by_segments(t, src, memories, "_vm_res", auto_fallback=auto_fallback).withColumn("_vm_out", F.col("_vm_res.translated"))
+        backend, success = F.col("_vm_res.backend"), F.col("_vm_res.success")
+    else:
+        t, backend, success = t.withColumn("_vm_out", translated_text(src)), F.lit("fallback"), F.lit(True)
+    t = X.with_similarity(t, "_vm_out", text, "_vm_score")
+    return t.select(key, F.col(category).alias("category"), backend.alias("backend"), F.when(success, F.col("_vm_score")).alias("score"),
+                    success.alias("success"), X.truncate_text(text, width).alias("display"))

@@ -35,25 +35,24 @@ def _keys_imply_word(lookup: dict[str, str]) -> bool:
     return all(k.isascii() and re.search("[A-Za-z]", k) and not re.search(r"\s", k) for k in lookup)
 
 
-def token_hits(tokens: Column, lookup: dict[str, str]) -> Column:
-    """Per token: the dictionary spelling, or NULL when the token stays as it is.
+def token_hit(t: Column, lookup: dict[str, str]) -> Column:
+    """The dictionary spelling of a token, or NULL when it stays as it is.
 
     Exact lower-cased key first, then the key without trailing ``.,!?;:`` with that part
     re-attached (the regex strip only runs for tokens that end in such a mark).
     """
-    fast = _keys_imply_word(lookup)
+    low = F.lower(t)
+    stem = X.rstrip_punct(low)
+    by_stem = F.when(F.substring(low, -1, 1).isin(_PUNCT),
+                     F.concat(LX.lookup_expr(stem, lookup), F.substr(low, F.length(stem) + 1)))
+    h = F.coalesce(LX.lookup_expr(low, lookup), by_stem)
+    if not _keys_imply_word(lookup):
+        h = F.when(~X.has_native(t) & t.rlike(r"\p{L}") & ~X.is_ws_token(t), h)
+    return h
 
-    def hit(t):
-        low = F.lower(t)
-        stem = X.rstrip_punct(low)
-        by_stem = F.when(F.substring(low, -1, 1).isin(_PUNCT),
-                         F.concat(LX.lookup_expr(stem, lookup), F.substr(low, F.length(stem) + 1)))
-        h = F.coalesce(LX.lookup_expr(low, lookup), by_stem)
-        if not fast:
-            h = F.when(~X.has_native(t) & t.rlike(r"\p{L}") & ~X.is_ws_token(t), h)
-        return h
 
-    return F.transform(tokens, hit)
+def token_hits(tokens: Column, lookup: dict[str, str]) -> Column:
+    return F.transform(tokens, lambda t: token_hit(t, lookup))
 
 
 def _finish(c: Column, tokens: Column, hits: Column, kinds: Column | None = None) -> Column:
@@ -72,20 +71,46 @@ def _finish(c: Column, tokens: Column, hits: Column, kinds: Column | None = None
         c.alias("original"),
         F.when(blank, c).otherwise(F.array_join(F.transform(pairs, lambda m: m["dst"]), "")).alias("transliterated"),
         F.when(blank, empty).otherwise(F.filter(pairs, lambda m, i: is_word(i))).alias("word_mappings"),
-        _method(blank, hits, kinds).alias("method"),
+        _method(blank, hits, kinds, None if kinds is None else F.transform(tokens, lambda t: t.rlike(X.NON_WS))).alias("method"),
         F.lit(True).alias("success"),
     )
 
 
-def _method(blank: Column, hits: Column, kinds: Column | None) -> Column:
-    """scheme+fallback -> mixed, scheme, fallback, else unchanged."""
+def _method(blank: Column, hits: Column, kinds: Column | None, words: Column | None = None) -> Column:
+    """T5. A model's words beside any others -> mixed, alone -> model; scheme and fallback -> mixed; scheme; fallback;
+    else unchanged. ``words``: which of the tokens are words, asked for only where a model took part."""
     if kinds is None:
         return F.when(blank | ~F.exists(hits, lambda h: h.isNotNull()), F.lit("unchanged")).otherwise(F.lit("fallback"))
-    has = lambda k: F.exists(kinds, lambda x: x == k)
-    return (F.when(blank, "unchanged").when(has("scheme") & has("fallback"), "mixed").when(has("scheme"), "scheme")
+    has = lambda k: F.coalesce(F.exists(kinds, lambda x: x == k), F.lit(False))
+    others = F.lit(False)
+    if words is not None:
+        others = F.exists(F.zip_with(kinds, words, lambda k, w: w & ~k.eqNullSafe("model")), lambda x: x)
+    return (F.when(blank, "unchanged").when(has("model") & others, "mixed").when(has("model"), "model")
+            .when(has("scheme") & has("fallback"), "mixed").when(has("scheme"), "scheme")
             .when(has("fallback"), "fallback").otherwise("unchanged"))
 
 
+def spelled_parts(c: Column, lookup: dict[str, str], words: Column) -> Column:
+    """Per token struct(src, text, kind): a model's spelling, then the dictionary's, then the scheme's, of ``words``, a map
+    (token -> struct(text, kind)); text is NULL where the token stays."""
+    toks = X.tokens_ws(c)
+    by_table = F.transform(toks, lambda t: F.struct(t.alias("src"), F.try_element_at(words, t).alias("hit")))
+
+    def part(t, own):
+        hit = t["hit"]
+        return F.struct(t["src"].alias("src"), F.when(hit["kind"] == "model", hit["text"]).otherwise(F.coalesce(own, hit["text"])).alias("text"),
+                        F.when(hit["kind"] == "model", "model").when(own.isNotNull(), "fallback").otherwise(hit["kind"]).alias("kind"))
+    return F.zip_with(by_table, token_hits(toks, lookup), part)
+
+
+def parts_text(c: Column, parts: Column) -> Column:
+    return F.when(X.is_blank(c), c).otherwise(F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], p["src"])), ""))
+
+
+def parts_method(c: Column, parts: Column) -> Column:
+    return _method(X.is_blank(c), None, F.transform(parts, lambda p: p["kind"]), F.transform(parts, lambda p: p["src"].rlike(X.NON_WS)))
+
+
 def transliterated_text(c, lookup: dict[str, str] | None = None) -> Column:
     """Only the transliterated string (no mappings): what routing needs."""
     c = X.col_(c)
@@ -97,31 +122,26 @@ def transliterated_text(c, lookup: dict[str, str] | None = None) -> Column:
 
 def transliterate(df: DataFrame, col: str = "text", out: str = "transliteration",
                   dictionary: dict[str, str] | DataFrame | None = None, key: str | None = None,
-                  scheme: bool = False) -> DataFrame:
+                  scheme: bool = False, words: DataFrame | None = None) -> DataFrame:
     """Append the T4/T5 result struct. ``dictionary`` adds/overrides entries (T6): a dict is
-    inlined; a DataFrame (src, dst) is merged over the defaults and applied through joins (``key`` names a unique row key for that path).
-    ``scheme=True`` spells words missing from the dictionary with the ITRANS rules (T7), once per
-    distinct word, through the same join path.
+    inlined; a DataFrame (src, dst) is merged over the defaults and applied through joins.
+    ``words`` (src, dst) is a model's output and comes before the dictionary. ``scheme=True`` spells words
+    missing from both with the ITRANS rules (T7), once per distinct word, through the same join path.
+    ``key`` is not needed any more.
     """
     lookup = LX.roman_lookup()
     if isinstance(dictionary, dict):
         lookup = LX.roman_lookup(dictionary)
-    elif dictionary is not None or scheme:
-        table = dictionary if dictionary is not None else df.sparkSession.createDataFrame([], "src string, dst string")
-        return _transliterate_by_join(df, col, out, table, key, scheme)
+    if isinstance(dictionary, DataFrame) or scheme or words is not None:
+        base = LX.dictionary_table(df.sparkSession, lookup)
+        from .wordjoin import dictionary_rewrite
+        merged = LX.merge_dictionary(base, dictionary) if isinstance(dictionary, DataFrame) else base
+        return dictionary_rewrite(df, col, out, merged, scheme=scheme, words=words)
     tmp = df.withColumn("_vm_toks", X.tokens_ws(col))
     tmp = tmp.withColumn("_vm_hits", token_hits(F.col("_vm_toks"), lookup))
     return tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.col("_vm_hits"))).drop("_vm_toks", "_vm_hits")
 
 
-def _transliterate_by_join(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None,
-                           scheme: bool = False) -> DataFrame:
-    """Large dictionary: look up each *distinct* lower-cased word once, then rebuild per row."""
-    from .wordjoin import dictionary_rewrite
-    merged = LX.merge_dictionary(LX.dictionary_table(df.sparkSession, LX.roman_lookup()), dictionary)
-    return dictionary_rewrite(df, col, out, merged, key, scheme)
-
-
 def dictionary_join(df: DataFrame, col: str, dictionary: DataFrame, out: str = "native") -> DataFrame:
     """Left join each token to a dictionary table (src, dst); a miss keeps the token.
 

@@ -1,61 +1,67 @@
-"""Dictionary rewrite through joins, for user dictionaries too large to inline.
+"""Spellings of words from tables and rules: user dictionaries too large to inline, a model's output, the rule scheme.
 
-Tokens are exploded with their position, each *distinct* lower-cased word (and its stem without
-trailing punctuation) is looked up once, and every row is rebuilt from its own tokens. Catalyst
-chooses between a broadcast and a shuffle join by size in bytes, and AQE splits hot words; blank
-runs, half of all tokens, never take part in the lookup join. A row's tokens are regrouped by the
-row key, so a group holds exactly one text's tokens.
+The distinct words of all texts are looked up (and spelled) once; each text gets a map of those of its words that
+change and is rewritten in place (see ``lookup``). Blank runs and words that stay never travel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import cut_lineage
+from .lookup import distinct_items, valued, with_hits
 
 
-def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None = None,
-                       scheme: bool = False) -> DataFrame:
-    """Same result struct as the inline transliteration, computed with joins."""
-    if key is None:
-        # ids must not change if a stage is recomputed: freeze them in the shared checkpoint folder
-        df = cut_lineage(df.withColumn("_vm_row", F.monotonically_increasing_id()))
-        key = "_vm_row"
-    d = dictionary.select(F.col("src").alias("_k"), F.col("dst").alias("_v"))
-    toks = df.select(key, F.posexplode(X.tokens_ws(col)).alias("pos", "tok"))
-    toks = toks.withColumns({"_ws": X.is_ws_token(F.col("tok")), "_low": F.lower("tok")})
-    toks = toks.withColumn("_stem", X.rstrip_punct("_low"))
-    # the distinct vocabulary is looked up (and spelled) once, then joined back to every occurrence
-    vocab = toks.filter(~F.col("_ws")).select("tok", "_low", "_stem").distinct()
-    exact = d.select(F.col("_k").alias("_low"), F.col("_v").alias("_exact"))
-    stem = d.select(F.col("_k").alias("_stem"), F.col("_v").alias("_by_stem"))
-    looked = vocab.join(exact, "_low", "left").join(stem, "_stem", "left")
-    passthrough = X.has_native("tok") | ~F.col("tok").rlike(r"\p{L}")
-    by_stem = F.concat(F.col("_by_stem"), F.substr(F.col("_low"), F.length("_stem") + 1))
-    looked = looked.withColumn("_dict", F.when(~passthrough, F.coalesce(F.col("_exact"), by_stem)))
+def open_words(tokens: Column) -> Column:
+    """Tokens that a spelling may change: those with a letter and no native character."""
+    return F.filter(tokens, lambda t: t.rlike(r"\p{L}") & ~X.has_native(t))
+
+
+def spellings(items: DataFrame, dictionary: DataFrame | None = None, words: DataFrame | None = None,
+              scheme: bool = False) -> DataFrame:
+    """(item, value struct(text, kind)) of the distinct words (item) that change: by a model's ``words`` (src, dst; exact
+    word), then by the ``dictionary`` (src, dst; lower-cased word, else without trailing marks), then by the scheme."""
+    tries = []
+    if words is not None:
+        model = words.filter("dst is not null").groupBy(F.col("src").alias("item")).agg(F.min("dst").alias("_model"))
+        items = items.join(model, "item", "left")
+        tries.append(("_model", "model"))
+    if dictionary is not None:
+        d = dictionary.select(F.col("src").alias("_k"), F.col("dst").alias("_v"))
+        items = items.withColumn("_low", F.lower("item")).withColumn("_stem", X.rstrip_punct("_low"))
+        items = items.join(d.select(F.col("_k").alias("_low"), F.col("_v").alias("_exact")), "_low", "left")
+        items = items.join(d.select(F.col("_k").alias("_stem"), F.col("_v").alias("_by_stem")), "_stem", "left")
+        by_stem = F.concat(F.col("_by_stem"), F.substr(F.col("_low"), F.length("_stem") + 1))
+        items = items.withColumn("_dict", F.coalesce("_exact", by_stem))
+        tries.append(("_dict", "fallback"))
     if scheme:
         from .scheme import scheme_spelling
-        looked = looked.withColumn("_sch", F.when(~passthrough & F.col("_dict").isNull(), scheme_spelling("tok")))
-    else:
-        looked = looked.withColumn("_sch", F.lit(None).cast("string"))
-    looked = looked.select("tok", "_dict", "_sch")
-    # words are joined with the entries that change them; blank runs only meet them again at the regrouping
-    none = F.lit(None).cast("string")
-    hits = looked.filter(F.col("_dict").isNotNull() | F.col("_sch").isNotNull())
-    words = toks.filter(~F.col("_ws")).join(hits, "tok", "left")
-    kind = F.when(F.col("_dict").isNotNull(), "fallback").when(F.col("_sch").isNotNull(), "scheme")
-    words = words.select(key, "pos", "tok", F.coalesce("_dict", "_sch").alias("hit"), kind.alias("kind"))
-    t = words.unionByName(toks.filter("_ws").select(key, "pos", "tok", none.alias("hit"), none.alias("kind")))
-    rebuilt = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "hit", "kind"))).alias("_ms"))
-    rebuilt = rebuilt.select(key, F.transform("_ms", lambda x: x["tok"]).alias("_vm_toks"),
-                             F.transform("_ms", lambda x: x["hit"]).alias("_vm_hits"),
-                             F.transform("_ms", lambda x: x["kind"]).alias("_vm_kinds"))
+        known = [F.col(c).isNull() for c, _ in tries]
+        spelled = scheme_spelling("item")
+        items = items.withColumn("_scheme", F.when(_all(known), spelled) if known else spelled)
+        tries.append(("_scheme", "scheme"))
+    value = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("text"), F.lit(kind).alias("kind"))) for c, kind in tries])
+    return valued(items, value)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame, key: str | None = None,
+                       scheme: bool = False, words: DataFrame | None = None) -> DataFrame:
+    """Same result struct as the inline transliteration, computed with joins. Rows need no key."""
     from .translit import _finish
-    j = df.join(rebuilt, key, "left")
-    empty = F.array().cast("array<string>")
-    res = j.withColumn(out, _finish(F.col(col), F.coalesce("_vm_toks", empty), F.coalesce("_vm_hits", empty),
-                                    F.coalesce("_vm_kinds", empty)))
-    res = res.drop("_vm_toks", "_vm_hits", "_vm_kinds")
-    return res.drop("_vm_row") if key == "_vm_row" else res
+    df = df.withColumn("_vm_toks", X.tokens_ws(col))
+    items = open_words(F.col("_vm_toks"))
+    table = spellings(distinct_items(df, items), dictionary, words, scheme)
+    tmp = with_hits(df, col, items, table, "_vm_words")
+    tmp = tmp.withColumn("_vm_found", F.transform("_vm_toks", lambda t: F.try_element_at(F.col("_vm_words"), t)))
+    found = F.col("_vm_found")
+    res = tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.transform(found, lambda f: f["text"]),
+                                      F.transform(found, lambda f: f["kind"])))
+    return res.drop("_vm_toks", "_vm_words", "_vm_found")

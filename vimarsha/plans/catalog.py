@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plans() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import q_text, q_pipeline, q_metrics, q_reports, q_learning  # noqa: F401  (registration)
+    from . import q_text, q_pipeline, q_metrics, q_reports, q_learning, q_lookup, q_evaluation  # noqa: F401  (registration)
     return dict(_PLANS)

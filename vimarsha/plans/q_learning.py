@@ -87,14 +87,57 @@ def q_classifier_benchmark(spark, sf):
 
 @register("benchmark_suite")
 def q_benchmark_suite(spark, sf):
+    return ML.benchmark_suite(_suite(spark, sf))
+
+
+def _suite(spark, sf):
     tox = "CASE WHEN toxic = 1 THEN 'Negative' ELSE 'Positive' END"
-    return ML.benchmark_suite({
-        "documents_quality": (labelled(spark, sf), "doc_id", "text", "label"),
-        "documents_toxicity": (labelled(spark, sf, tox), "doc_id", "text", "label"),
-    })
+    return {"documents_quality": (labelled(spark, sf), "doc_id", "text", "label"),
+            "documents_toxicity": (labelled(spark, sf, tox), "doc_id", "text", "label")}
+
+
+@register("benchmark_per_class")
+def q_benchmark_per_class(spark, sf):
+    """Per-class rows of all classifiers on both label sets."""
+    return ML.suite_per_class(_suite(spark, sf))
+
+
+@register("benchmark_sizes", """
+WITH x AS (SELECT 'documents_quality' AS dataset, quality::VARCHAR AS label FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL
+  UNION ALL SELECT 'documents_toxicity', toxic::VARCHAR FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL),
+n AS (SELECT dataset, count(*) AS n FROM x GROUP BY 1)
+SELECT dataset, 'naive_bayes' AS name, n AS dataset_size, n - ceil(n * 0.2::DOUBLE)::BIGINT AS train_size,
+  ceil(n * 0.2::DOUBLE)::BIGINT AS test_size, 'Negative, Positive' AS labels, 1 AS rank, true AS best, true AS baseline FROM n""")
+def q_benchmark_sizes(spark, sf):
+    out = ML.benchmark_suite(_suite(spark, sf), ["naive_bayes"])
+    return out.select("dataset", "name", "dataset_size", "train_size", "test_size", F.array_join("labels", ", ").alias("labels"), "rank", "best", "baseline")
+
+
+@register("benchmark_report")
+def q_benchmark_report(spark, sf):
+    """The classification report of the best of the three classifiers."""
+    return ML.run_benchmark(labelled(spark, sf), "doc_id", "text", "label").report()
 
 
 # --------------------------------------------------------------------------- L9 / T11
+@register("train_reload_score", "SELECT doc_id, true AS same_label, true AS same_confidence, true AS same_raw_scores FROM documents")
+def q_train_reload_score(spark, sf):
+    """Trained on one table, validated on another, saved, loaded again: the loaded model scores every document as the first."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex[:10]}"
+    parts = ML.holdout_split(labelled(spark, sf), "doc_id", 0.2, 7)
+    model, labels, _ = ML.train_sentiment(parts.filter("split = 'train'"), "doc_id", "text", "label", path,
+                                          validation=parts.filter("split = 'validation'"), dataset="documents")
+    loaded, names, _record = ML.load_sentiment(spark, path)
+    first = ML.TextModelScorer(model, labels).score(docs(spark, sf), "text", "a")
+    both = ML.TextModelScorer(loaded, names).score(first, "text", "b")
+    return both.select("doc_id", (F.col("a.label") == F.col("b.label")).alias("same_label"),
+                       (F.col("a.confidence") == F.col("b.confidence")).alias("same_confidence"),
+                       (F.col("a.raw_scores") == F.col("b.raw_scores")).alias("same_raw_scores"))
+
+
 @register("train_sentiment")
 def q_train_sentiment(spark, sf):
     _model, _labels, metrics = ML.train_sentiment(labelled(spark, sf), "doc_id", "text", "label")
@@ -170,3 +213,38 @@ def q_merge_splits(spark, sf):
         write_report(d.filter(F.col("split") == split).drop("split"), f"{root}/{split}")
     m = merge_splits(spark, {s: f"{root}/{s}" for s in ("train", "validation")}, "doc_id long, source string, text string")
     return m.select("doc_id", "source", "text", "_split")
+
+
+# --------------------------------------------------------------------------- S1, S5, S9: CSV by header
+_CSV_SCHEMA = "doc_id long, text string, n_chars long, lang string"
+
+
+def _landed_csv(spark, sf, broken: bool):
+    """The documents as CSV: columns in another order than the schema, one that it lacks; numbers spoilt where ``broken``."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.readers import write_csv
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:10]}"
+    d = table(spark, sf, "documents")
+    n = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("n/a "), F.col("n_chars").cast("string"))).otherwise(F.col("n_chars").cast("string"))
+    write_csv(d.select("lang", "text", "source", (n if broken else F.col("n_chars")).alias("n_chars"), "doc_id"), path)
+    return path
+
+
+@register("csv_by_header", "SELECT doc_id, text, n_chars, lang FROM documents")
+def q_csv_by_header(spark, sf):
+    from pyspark.sql.types import StructType
+
+    from ..sources.readers import read_reviews_csv
+    return read_reviews_csv(spark, _landed_csv(spark, sf, False), StructType.fromDDL(_CSV_SCHEMA))
+
+
+@register("csv_quarantine", """
+SELECT CASE WHEN doc_id % 9 = 0 THEN 'no value of its type: n_chars' ELSE 'good' END AS reason, count(*) AS n FROM documents GROUP BY 1""")
+def q_csv_quarantine(spark, sf):
+    from pyspark.sql.types import StructType
+
+    from ..sources.readers import read_csv_by_header
+    good, bad = read_csv_by_header(spark, _landed_csv(spark, sf, True), StructType.fromDDL(_CSV_SCHEMA))
+    return good.select(F.lit("good").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))

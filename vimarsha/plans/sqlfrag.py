@@ -186,14 +186,89 @@ def softmax_ctes(prev: str, name: str = "_sm") -> str:
                         ELSE 'Positive' END AS _label, greatest(_p0, _p1, _p2) AS _sconf FROM {name}3)"""
 
 
-def analyze_sql(src: str, key: str, text: str) -> str:
-    """Full T14 oracle with the lexicon scorer: key + the 11 result columns."""
+def scheme_spelling(t: str) -> str:
+    """ITRANS spelling of a word or NULL: each unit's letters follow from it and the unit before it."""
+    from ..operators.scheme import _units_pattern
+    cons = lambda u: lookup(u, FV.ITRANS_CONSONANTS)
+    vowel = lambda u, i: lookup(u, {k: v[i] for k, v in FV.ITRANS_VOWELS.items()})
+    pending = f"(CASE WHEN {cons('z[2]')} IS NOT NULL THEN {q(FV.VIRAMA)} ELSE '' END)"
+    units = f"regexp_extract_all({t}, {q(_units_pattern())}, 1)"
+    spelled = (f"array_to_string(list_transform(list_zip({units}, list_prepend('', {units})), lambda z: CASE WHEN z[1] IS NULL THEN {pending} "
+               f"WHEN {cons('z[1]')} IS NOT NULL THEN {pending} || {cons('z[1]')} "
+               f"WHEN {vowel('z[1]', 0)} IS NOT NULL THEN CASE WHEN {cons('z[2]')} IS NOT NULL THEN {vowel('z[1]', 1)} ELSE {vowel('z[1]', 0)} END "
+               f"ELSE coalesce({lookup('z[1]', FV.ITRANS_SIGNS)}, {pending} || z[1]) END), '')")
+    return f"(SELECT CASE WHEN {strip('x')} <> {t} AND NOT regexp_matches(x, '^[\\x00-\\x7F]*$') THEN x END FROM (SELECT {spelled} AS x))"
+
+
+def open_word(t: str) -> str:
+    return f"(regexp_matches({t}, '\\pL') AND NOT regexp_matches({t}, '{KANNADA}'))"
+
+
+def dictionary_hit(t: str, lk: dict[str, str]) -> str:
+    stem = rstrip_punct(f"lower({t})")
+    return f"coalesce({lookup(f'lower({t})', lk)}, {lookup(stem, lk)} || substr(lower({t}), length({stem}) + 1))"
+
+
+def spelled_ctes(src: str, key: str, text: str, words: str | None, name: str = "_sp", lk: dict[str, str] | None = None) -> str:
+    """CTE ``name`` (key, tl, method): texts of ``src`` spelled by a model's ``words`` (src, dst), the dictionary, the scheme."""
+    lk = lk if lk is not None else LX.roman_lookup()
+    model = f"LEFT JOIN {words} w ON w.src = v.t" if words else ""
+    return f"""
+{name}t AS (SELECT {key}, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM (SELECT {key}, {tokens_ws(text)} AS toks FROM {src})),
+{name}v AS (SELECT t, {'CASE WHEN ' + open_word('v.t') + ' THEN w.dst END' if words else 'NULL::VARCHAR'} AS m,
+  CASE WHEN {open_word('t')} THEN {dictionary_hit('t', lk)} END AS d, CASE WHEN {open_word('t')} THEN {scheme_spelling('t')} END AS s
+  FROM (SELECT DISTINCT t FROM {name}t) v {model}),
+{name}k AS (SELECT {key}, i, coalesce(m, d, s, t) AS o, CASE WHEN NOT regexp_matches(t, '{NON_WS}') THEN NULL WHEN m IS NOT NULL THEN 'model'
+  WHEN d IS NOT NULL THEN 'fallback' WHEN s IS NOT NULL THEN 'scheme' ELSE 'unchanged' END AS kind FROM {name}t JOIN {name}v USING (t)),
+{name} AS (SELECT {key}, string_agg(o, '' ORDER BY i) AS tl,
+  CASE WHEN bool_or(kind = 'model') AND bool_or(kind <> 'model') THEN 'mixed' WHEN bool_or(kind = 'model') THEN 'model'
+       WHEN bool_or(kind = 'scheme') AND bool_or(kind = 'fallback') THEN 'mixed' WHEN bool_or(kind = 'scheme') THEN 'scheme'
+       WHEN bool_or(kind = 'fallback') THEN 'fallback' ELSE 'unchanged' END AS method FROM {name}k GROUP BY {key})"""
+
+
+def translate_words(s: str, lk: dict[str, str] | None = None) -> str:
+    lk = lk if lk is not None else LX.native_lookup()
+    return f"array_to_string(list_transform({split_ws(s)}, lambda w: {translate_word('w', lk)}), ' ')"
+
+
+def segmented_ctes(src: str, key: str, text: str, memory: str, names: list[str], name: str = "_sg") -> str:
+    """CTE ``name`` (key, tr, sources, n, n_fallback, backend): non-blank texts of ``src``, each segment by ``memory`` (k, t, source), else
+    by the dictionary. ``names``: the memories in order."""
+    from .q_text import _segments_sql
+    rank = " ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(names))
+    back = " ".join(f"WHEN {i} THEN {q(n)}" for i, n in enumerate(names))
+    return f"""
+{name}s AS (SELECT {key}, unnest(segs) AS s, generate_subscripts(segs, 1) AS i
+  FROM (SELECT {key}, {_segments_sql('_x')} AS segs FROM (SELECT {key}, {strip(text)} AS _x FROM {src} WHERE NOT {is_blank(text)}))),
+{name}p AS (SELECT {key}, i, coalesce(m.t, {translate_words('s')}) AS dst, coalesce(m.source, 'fallback') AS source
+  FROM {name}s LEFT JOIN {memory} m ON m.k = {name}s.s),
+{name}o AS (SELECT {key}, string_agg(source, ', ' ORDER BY since) AS sources FROM (SELECT {key}, source, min(i) AS since FROM {name}p GROUP BY ALL) GROUP BY 1),
+{name} AS (SELECT p.{key}, string_agg(dst, ' ' ORDER BY i) AS tr, any_value(o.sources) AS sources, count(*) AS n,
+  count(*) FILTER (source = 'fallback') AS n_fallback,
+  CASE max(CASE source {rank} ELSE {len(names)} END) {back} ELSE 'fallback' END AS backend
+  FROM {name}p p JOIN {name}o o ON p.{key} = o.{key} GROUP BY 1)"""
+
+
+def analyze_sql(src: str, key: str, text: str, words: str | None = None, memory: str | None = None, names: list[str] | None = None,
+                before: str = "") -> str:
+    """Full T14 oracle with the lexicon scorer: key + the 11 result columns. With a model's ``words`` and a segment ``memory``
+    (CTEs made in ``before``) also how texts were spelled and translated."""
     rl, nl = LX.roman_lookup(), LX.native_lookup()
     route_langs = "('kannada_script', 'romanized_kannada', 'english')"
-    return f"""WITH {detection_ctes(src, key, text)},
+    if memory:
+        routed = f"""{spelled_ctes("(SELECT * FROM _d3 WHERE _lang = 'romanized_kannada')", key, '_t', words)},
+_r1 AS (SELECT _d3.*, _sp.tl AS _tl, _sp.method AS _method FROM _d3 LEFT JOIN _sp USING ({key})),
+_rn AS (SELECT {key}, CASE _lang WHEN 'kannada_script' THEN _t ELSE _tl END AS _n FROM _r1 WHERE _lang IN ('kannada_script', 'romanized_kannada')),
+{segmented_ctes('_rn', key, '_n', memory, names)},
+_r2 AS (SELECT _r1.*, _sg.tr AS _tr, _sg.sources AS _sources FROM _r1 LEFT JOIN _sg USING ({key})),"""
+        extra = ",\n  CASE WHEN NOT _blank THEN _method END AS transliteration_method, CASE WHEN NOT _blank THEN _sources END AS translation_sources"
+    else:
+        extra = ""
+        routed = f"""
 _r1 AS (SELECT *, CASE WHEN _lang = 'romanized_kannada' THEN {transliterated('_t', rl)} END AS _tl FROM _d3),
 _r2 AS (SELECT *, CASE WHEN _lang = 'kannada_script' THEN {translated_text('_t', nl)}
-                       WHEN _lang = 'romanized_kannada' THEN {translated_text('_tl', nl)} END AS _tr FROM _r1),
+                       WHEN _lang = 'romanized_kannada' THEN {translated_text('_tl', nl)} END AS _tr FROM _r1),"""
+    return f"""WITH {before}{detection_ctes(src, key, text)},{routed}
 _r3 AS (SELECT *, CASE WHEN _lang IN ('kannada_script', 'romanized_kannada') THEN _tr ELSE _t END AS _tfs,
                CASE WHEN _lang NOT IN {route_langs}
                     THEN 'Language is ''' || _lang || '''; attempting direct sentiment classification.' END AS _rerr
@@ -217,5 +292,5 @@ SELECT {key},
        ELSE array_to_string(list_filter([_rerr, CASE WHEN NOT _has THEN 'No text available for sentiment classification.' END],
                                         lambda e: e IS NOT NULL), '; ') END AS errors,
   CASE WHEN _blank THEN 0.0::DOUBLE END AS processing_time_s,
-  CASE WHEN _blank THEN 'skipped' WHEN _rerr IS NOT NULL OR NOT _has THEN 'ok_with_warnings' ELSE 'ok' END AS status
+  CASE WHEN _blank THEN 'skipped' WHEN _rerr IS NOT NULL OR NOT _has THEN 'ok_with_warnings' ELSE 'ok' END AS status{extra}
 FROM _sm"""

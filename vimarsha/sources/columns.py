@@ -10,10 +10,14 @@ from ..functions import fixed_values as FV
 def resolve_text_column(df: DataFrame, name: str) -> str:
     """The column must exist; the error lists what does."""
     if name not in df.columns:
-        raise ValueError(f"Column '{name}' not found in DataFrame. Available columns: {list(df.columns)}")
+        raise ValueError(missing_column(name, df.columns))
     return name
 
 
+def missing_column(name: str, columns: list[str]) -> str:
+    return f"Column '{name}' not found in DataFrame. Available columns: {list(columns)}"
+
+
 def guess_text_column(df: DataFrame) -> str:
     """Exact (case-insensitive) known name, else first column containing one, else first column."""
     cols = list(df.columns)

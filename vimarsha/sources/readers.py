@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as FV
 from ..functions.labels import normalize_label, rating_to_sentiment
+from .columns import missing_column
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.LongType()),
@@ -26,10 +27,51 @@ LABELLED_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in
                                  "LABEL", "_split"]])
 
 
-def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; quoted fields may span lines."""
-    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "lineSep": "\n"}
+_BAD = "_vm_record"
+
+
+def read_csv_by_header(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """CSV columns found by their names in the header and cast to the schema: (good rows, bad rows).
+
+    Columns that the schema does not name go; those that the header lacks are NULL, but for ``required`` ones, whose absence
+    raises S7's error. An empty field is NULL, quoted or not. Bad rows (record, reason, file) have another number of fields than the header or a value that does
+    not fit its type. Files of one path share a header; a file with another one is an error, not a misread column.
+    """
+    header = [h.lstrip("\ufeff") for h in spark.read.options(**_CSV).csv(path).columns]
+    for name in required or []:
+        if name not in header:
+            raise ValueError(missing_column(name, header))
+    text = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField(_BAD, T.StringType())])
+    raw = spark.read.schema(text).options(**_CSV, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, enforceSchema=False,
+                                          columnPruning=False).csv(path)
+    def field(f):
+        if f.name not in header:
+            return F.lit(None).cast(f.dataType)
+        c = F.col(f"`{f.name}`")
+        return c if isinstance(f.dataType, T.StringType) else F.btrim(c).try_cast(f.dataType)
+    values = F.struct(*[field(f).alias(f.name) for f in schema])
+    odd = [f.name for f in schema if f.name in header and not isinstance(f.dataType, T.StringType)]
+    unfit = F.concat_ws(", ", *[F.when(F.col(f"`{n}`").isNotNull() & (F.btrim(F.col(f"`{n}`")) != "") & values[n].isNull(), F.lit(n)) for n in odd])
+    reason = (F.when(F.col(_BAD).isNotNull(), "another number of fields than the header")
+              .when(unfit != "", F.concat(F.lit("no value of its type: "), unfit)))
+    record = F.coalesce(F.col(_BAD), F.to_json(F.struct(*[F.col(f"`{h}`") for h in header])))
+    checked = raw.select(values.alias("_v"), reason.alias("_r"), record.alias("_rec"), F.col("_metadata.file_path").alias("_f"))
+    good = checked.filter("_r IS NULL").select("_v.*")
+    bad = checked.filter("_r IS NOT NULL").select(F.col("_rec").alias("record"), F.col("_r").alias("reason"), F.col("_f").alias("file"))
+    return good, bad
+
+
+def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, quarantine: str | None = None,
+                     required: list[str] | None = None) -> DataFrame:
+    """CSV with header; quoted fields may span lines. With a schema, columns are bound by their names and bad rows are
+    left out (see ``read_csv_by_header``); ``quarantine`` names a folder that gets them."""
+    if schema is None:
+        return spark.read.options(**_CSV, inferSchema=True).csv(path)
+    good, bad = read_csv_by_header(spark, path, schema, required)
+    if quarantine:
+        bad.write.mode("append").json(quarantine)
+    return good
 
 
 def read_reviews_json(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA) -> DataFrame:
@@ -87,8 +129,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             cols.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    (df.select(*cols).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .csv(path))
+    # blanks at the ends of a value are part of it
+    (df.select(*cols).write.mode(mode).options(header=True, quote='"', escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False,
+                                               ignoreTrailingWhiteSpace=False).csv(path))
 
 
 def write_report(df: DataFrame, path: str, alias: str | None = None) -> None:
@@ -99,12 +142,14 @@ def write_report(df: DataFrame, path: str, alias: str | None = None) -> None:
 
 
 def load_training(spark: SparkSession, train: str, val: str | None = None, text_column: str = "text",
-                  label_column: str = "label") -> tuple[DataFrame, DataFrame | None]:
-    """Labelled training CSV (and optional validation CSV) renamed to (text, label)."""
+                  label_column: str = "label", quarantine: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Labelled training CSV (and optional validation CSV) as (text, label), columns found by their names; a file without
+    one of them raises S7's error. Without a validation file ``train_sentiment`` holds rows out itself."""
+    schema = T.StructType([T.StructField(text_column, T.StringType()), T.StructField(label_column, T.StringType())])
+
     def one(p):
-        df = read_reviews_csv(spark, p, T.StructType([T.StructField(text_column, T.StringType()),
-                                                      T.StructField(label_column, T.StringType())]))
-        return df.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"))
+        df = read_reviews_csv(spark, p, schema, quarantine, [text_column, label_column])
+        return df.select(F.col(f"`{text_column}`").alias("text"), F.col(f"`{label_column}`").alias("label"))
     return one(train), (one(val) if val else None)
 
 
