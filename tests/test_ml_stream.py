@@ -75,3 +75,42 @@ def test_unknown_classifier(spark):
     df = spark.createDataFrame([(1, "a b", "x")], "k long, t string, l string")
     with pytest.raises(ValueError, match="Unknown classifier"):
         ML.benchmark_classifiers(df, "k", "t", "l", ["forest"])
+
+
+def _reviews(spark, n, seed):
+    import random
+    r = random.Random(seed)
+    words = {"Positive": "good fine nice lovely", "Negative": "bad awful poor broken", "Neutral": "plain okay so usual"}
+    rows = []
+    for i in range(n):
+        label = list(words)[i % 3]
+        rows.append((i, " ".join(r.choice((words[label] if r.random() < .9 else words[r.choice(list(words))]).split()) for _ in range(5)), label))
+    return spark.createDataFrame(rows, "k long, t string, l string")
+
+
+def test_benchmark_holds_per_class_rows_sizes_and_report(spark):
+    b = ML.run_benchmark(_reviews(spark, 150, 1), "k", "t", "l")
+    assert b.sizes == {"dataset": 150, "train": 120, "test": 30} and b.labels == ["Negative", "Neutral", "Positive"]
+    per = b.per_class().collect()
+    assert len(per) == 9 and all(sum(r.support for r in per if r.classifier == c) == 30 for c in ML.CLASSIFIERS)
+    summary = {r.name: r for r in b.summary().collect()}
+    assert sorted(r["rank"] for r in summary.values()) == [1, 2, 3] and summary["naive_bayes"].baseline
+    for c in ML.CLASSIFIERS:
+        f1 = [r.f1 for r in per if r.classifier == c]
+        assert abs(sum(f1) / 3 - summary[c].macro_f1) < 1e-9 and summary[c].macro_f1 > .8 and summary[c].train_size == 120
+    best = next(r.name for r in summary.values() if r.best)
+    report = {r.row: r for r in b.report().collect()}
+    assert set(report) == {*b.labels, "accuracy", "macro avg", "weighted avg"}
+    assert abs(report["macro avg"].f1_score - summary[best].macro_f1) < 1e-9
+
+
+@pytest.mark.parametrize("classifier", ["logistic_regression", "naive_bayes"])
+def test_train_with_a_validation_table_save_and_reload(spark, tmp_path, classifier):
+    train, val = _reviews(spark, 90, 2), _reviews(spark, 30, 3)
+    path = str(tmp_path / "m")
+    model, labels, metrics = ML.train_sentiment(train, "k", "t", "l", path, classifier=classifier, validation=val, dataset="reviews")
+    loaded, names, record = ML.load_sentiment(spark, path)
+    assert names == labels and (record.base, record.dataset, record.n_train, record.n_validation) == (classifier, "reviews", 90, 30)
+    assert record.metrics.accuracy == metrics.first().accuracy > .8 and record.model_path == path
+    a, b = (ML.TextModelScorer(m, labels).score(val, "t").orderBy("k").collect() for m in (model, loaded))
+    assert a == b and all(len(r.sentiment.raw_scores) == 3 and abs(sum(r.sentiment.probabilities.values()) - 1) < 1e-9 for r in a)

@@ -157,8 +157,13 @@ def split_trailing_punct(c) -> Column:
 # ---------------------------------------------------------------------------
 # X7 segmentation
 # ---------------------------------------------------------------------------
+# Sentences and words are stripped before they are packed, so a segment never has blanks at its ends.
 def _append_if(arr: Column, s: Column) -> Column:
-    return F.when(s != "", F.concat(arr, F.array(py_strip(s)))).otherwise(arr)
+    return F.when(s != "", F.concat(arr, F.array(s))).otherwise(arr)
+
+
+def _joined(cur: Column, s: Column) -> Column:
+    return F.when(cur == "", s).otherwise(F.concat(cur, F.lit(" "), s))
 
 
 def _pack_words(sentence: Column, max_len: int) -> Column:
@@ -168,7 +173,7 @@ def _pack_words(sentence: Column, max_len: int) -> Column:
         over = F.length(acc["cur"]) + F.length(w) + 1 > max_len
         return F.struct(
             F.when(over, _append_if(acc["segs"], acc["cur"])).otherwise(acc["segs"]).alias("segs"),
-            F.when(over, w).otherwise(py_strip(F.concat(acc["cur"], F.lit(" "), w))).alias("cur"),
+            F.when(over, w).otherwise(_joined(acc["cur"], w)).alias("cur"),
         )
 
     return F.aggregate(split_ws(sentence), init, step, lambda acc: _append_if(acc["segs"], acc["cur"]))
@@ -191,7 +196,7 @@ def segment_text(c, max_len: int = FV.MAX_SEGMENT_LEN) -> Column:
             F.when(long_sentence, F.concat(flushed, _pack_words(s, max_len)))
              .when(full, flushed).otherwise(acc["segs"]).alias("segs"),
             F.when(long_sentence, F.lit(""))
-             .when(full, s).otherwise(py_strip(F.concat(acc["cur"], F.lit(" "), s))).alias("cur"),
+             .when(full, s).otherwise(_joined(acc["cur"], s)).alias("cur"),
         )
 
     packed = F.aggregate(sentences, init, step, lambda acc: _append_if(acc["segs"], acc["cur"]))

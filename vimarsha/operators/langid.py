@@ -2,8 +2,8 @@
 
 Fit: n-grams of every text (``char_wb``, 1-3 by default) counted per language -- one
 aggregation; the profile holds one row per n-gram with its weights of all languages in an array.
-Score: each row's n-grams are pre-aggregated per (row, n-gram), joined to the profile once, and
-summed per row for all languages at a time:
+Score: each row's n-grams meet the profile (broadcast where its counted rows are few, else by a join of the counts per
+row and n-gram) and are summed per row for all languages at a time:
 
     score(row, lang) = log prior(lang) + sum_g count(g) * log(c_lang(g) + 1) - N_row * log(T_lang + V)
 
@@ -31,6 +31,11 @@ class LangIdModel:
     languages: list[tuple[str, float, float]]  # (lang, log_prior, log_denominator) -- |languages| rows
     n_min: int
     n_max: int
+    n_grams: int | None = None    # rows of the profile, where they were counted
+
+
+#: A profile of so many counted rows at most (a gram and one weight per language each) is broadcast.
+BROADCAST_GRAMS = 200_000
 
 
 def ngram_counts(df: DataFrame, text: str, lang: str, n_min: int = 1, n_max: int = 3) -> DataFrame:
@@ -51,15 +56,19 @@ def fit_langid(df: DataFrame, text: str = "text", lang: str = "lang", n_min: int
     languages = sorted((r[lang], math.log(r["d"] / n_docs), math.log(r["t"] + vocab)) for r in stats)
     weight = lambda l: F.log(F.sum(F.when(F.col(lang) == l, F.col("n")).otherwise(0)) + 1.0)
     profile = counts.groupBy("gram").agg(F.array(*[weight(l) for l, _, _ in languages]).alias("weights"))
-    return LangIdModel(profile, languages, n_min, n_max)
+    return LangIdModel(profile, languages, n_min, n_max, vocab)
 
 
 def langid_scores(df: DataFrame, key: str, model: LangIdModel, text: str = "text",
                   out_lang: str = "langid_lang", out_prob: str = "langid_prob") -> DataFrame:
     """Adds the top language (ties: the first by name) and its probability to every row; a row without text gets NULL."""
     grams = X.explode_rows(df.select(key, X.char_wb_ngrams(text, model.n_min, model.n_max).alias("_g")), F.col("_g"), "gram", key)
-    per_gram = grams.groupBy(key, "gram").agg(F.count("*").alias("_c"))
-    matched = per_gram.join(model.profile, "gram", "left").groupBy(key).agg(
+    if model.n_grams is not None and model.n_grams <= BROADCAST_GRAMS:
+        # nothing but the sums of a row leaves the task that reads it
+        per_gram, profile = grams.withColumn("_c", F.lit(1)), F.broadcast(model.profile)
+    else:
+        per_gram, profile = grams.groupBy(key, "gram").agg(F.count("*").alias("_c")), model.profile
+    matched = per_gram.join(profile, "gram", "left").groupBy(key).agg(
         F.sum("_c").alias("_N"), *[F.sum(F.col("_c") * F.coalesce(F.col("weights")[i], F.lit(0.0))).alias(f"_m{i}")
                                    for i in range(len(model.languages))])
     scores = F.array(*[F.lit(prior) + F.col(f"_m{i}") - F.col("_N") * F.lit(den) for i, (_, prior, den) in enumerate(model.languages)])

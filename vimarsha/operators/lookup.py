@@ -8,26 +8,38 @@ item's value is. Repeated texts and hot items are counted once before the shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialize
 
 _HASH = "_vm_text_hash"
 
 
-def distinct_items(df: DataFrame, items: Column) -> DataFrame:
-    """(item): the distinct elements of an array column."""
-    return X.explode_rows(df, F.array_distinct(items), "item").distinct()
-
-
 def with_hits(df: DataFrame, text: str, items: Column, table: DataFrame, out: str) -> DataFrame:
     """Adds ``out``, the map of a row's items to their values, NULL without a hit. ``table``: (item, value), one row an
     item; ``items`` depends on the text alone."""
+    return _attached(df, text, _held(df, text, items), table, out)
+
+
+def with_values(df: DataFrame, text: str, items: Column, values: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """``with_hits`` with a table made of the distinct items that occur: ``values`` gets (item) and returns (item, value). What the
+    texts hold is written once, as both need it."""
+    held = materialize(_held(df, text, items), "held-items")
+    return _attached(df, text, held, values(held.select("item").distinct()), out)
+
+
+def _held(df: DataFrame, text: str, items: Column) -> DataFrame:
     tagged = df.withColumn(_HASH, F.xxhash64(text))
-    held = X.explode_rows(tagged, F.array_distinct(items), "item", _HASH).distinct()
+    return X.explode_rows(tagged, F.array_distinct(items), "item", _HASH).distinct()
+
+
+def _attached(df: DataFrame, text: str, held: DataFrame, table: DataFrame, out: str) -> DataFrame:
     hits = held.join(table, "item").groupBy(_HASH).agg(F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias(out))
-    return tagged.join(hits, _HASH, "left").drop(_HASH)
+    return df.withColumn(_HASH, F.xxhash64(text)).join(hits, _HASH, "left").drop(_HASH)
 
 
 def valued(df: DataFrame, value: Column) -> DataFrame:

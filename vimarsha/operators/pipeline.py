@@ -30,7 +30,7 @@ from ..functions import text as X
 from ..sources.columns import resolve_text_column
 from .detect import detect_language
 from .score import LexiconScorer
-from .lookup import distinct_items, with_hits
+from .lookup import with_values
 from .translate import joined_pairs, memory_table, segment_pairs, translated_text, with_segment_memory
 from .translit import parts_method, parts_text, spelled_parts, token_hit, transliterated_text
 from .wordjoin import open_words, spellings
@@ -64,8 +64,7 @@ def route(df: DataFrame, text_col: str, lang_col: str = "_vm_lang",
         if words is None:     # what the dictionary knows comes before the scheme
             asked = F.filter(asked, lambda t: token_hit(t, rl).isNull())
         asked = F.when(is_rom, asked).otherwise(F.array().cast("array<string>"))
-        table = spellings(distinct_items(df, asked), None, words, scheme)
-        out = with_hits(df, text_col, asked, table, "_vm_words")
+        out = with_values(df, text_col, asked, lambda w: spellings(w, None, words, scheme), "_vm_words")
         out = out.withColumn("_vm_parts", F.when(is_rom, spelled_parts(c, rl, F.col("_vm_words"))))
         out = out.withColumns({"_vm_translit": F.when(is_rom, parts_text(c, F.col("_vm_parts"))),
                                "_vm_method": F.when(is_rom, parts_method(c, F.col("_vm_parts")))}).drop("_vm_words", "_vm_parts")

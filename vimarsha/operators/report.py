@@ -390,11 +390,14 @@ def evaluation_document(evaluated: DataFrame, analyzed: DataFrame | None = None,
                         key: str = "script_type") -> DataFrame:
     """One row holding every report section as structs / arrays plus its JSON text.
 
-    Each section is a grouped aggregate (bounded by labels, groups or k), folded into one row and
+    The few columns that the sections read are written once, so texts are read and analyzed once. Each section is a
+    grouped aggregate (bounded by labels, groups or k), folded into one row and
     selected as scalar subqueries; ``document`` is ``to_json`` of all of them (write it with S6).
     """
     from . import metrics as M
-    ev = evaluated.withColumn("correct", F.col("ground_truth").eqNullSafe(F.col("predicted_label")))
+    ev = materialize(evaluated.select(
+        *dict.fromkeys([key, "product_category", "ground_truth", "predicted_label", "confidence_score", "errors"]),
+        F.col("ground_truth").eqNullSafe(F.col("predicted_label")).alias("correct")), "evaluated")
     sections = [
         _as_struct(M.f1_summary(ev), "overall"),
         _as_array(M.per_class_metrics(ev), "per_class"),
@@ -410,6 +413,7 @@ def evaluation_document(evaluated: DataFrame, analyzed: DataFrame | None = None,
         _as_array(value_counts(ev, "ground_truth"), "ground_truth_distribution"),
     ]
     if analyzed is not None:
+        analyzed = materialize(analyzed.select("status", "sentiment_label", "confidence_score", "processing_time_s", "detected_language"), "analyzed")
         sections += [_as_struct(kpis(analyzed), "kpis"),
                      _as_array(value_counts(analyzed, "detected_language"), "detected_languages")]
     # every section is one row and one column: scalar subqueries, no joins

@@ -1,11 +1,11 @@
 """Rule-based spelling of out-of-vocabulary romanized words (ITRANS -> Kannada).
 
-A word is cut into ITRANS units by one greedy longest-first regex, then folded left to right
-with ``aggregate``: a consonant followed by another consonant (or by nothing) takes the virama,
+A word is cut into ITRANS units by one greedy longest-first regex; what a unit becomes follows from it
+and the unit before it: a consonant followed by another consonant (or by nothing) takes the virama,
 a vowel after a consonant becomes its vowel sign, otherwise the independent letter. Characters
 outside the scheme pass through. A spelling equal to the word or still pure ASCII is rejected.
 
-The fold runs once per *distinct* unknown word (see ``wordjoin``), never per occurrence.
+It is done once per *distinct* unknown word (see ``wordjoin``), never per occurrence.
 """
 
 from __future__ import annotations
@@ -24,33 +24,29 @@ def _units_pattern() -> str:
     return "(?s)(" + "|".join(esc) + "|.)"
 
 
-def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-
-
 def scheme_spelling(word) -> Column:
     """ITRANS spelling of one word, or NULL when rejected."""
     w = X.col_(word)
-    cons = _map(FV.ITRANS_CONSONANTS)
-    indep = _map({k: v[0] for k, v in FV.ITRANS_VOWELS.items()})
-    sign = _map({k: v[1] for k, v in FV.ITRANS_VOWELS.items()})
-    marks = _map(FV.ITRANS_SIGNS)
-    units = F.regexp_extract_all(w, F.lit(_units_pattern()), 1)
-    init = F.struct(F.lit("").alias("out"), F.lit(False).alias("prev"))
+    # one lookup per unit: what it is as a consonant, as an independent vowel, as a vowel sign, as another sign
+    kinds = ([(k, (v, None, None, None)) for k, v in FV.ITRANS_CONSONANTS.items()]
+             + [(k, (None, v[0], v[1], None)) for k, v in FV.ITRANS_VOWELS.items()]
+             + [(k, (None, None, None, v)) for k, v in FV.ITRANS_SIGNS.items()])
+    parts = ("cons", "vowel", "sign", "mark")
+    table = F.create_map(*[x for k, v in kinds for x in (
+        F.lit(k), F.struct(*[F.lit(y).cast("string").alias(n) for n, y in zip(parts, v)]))])
+    units = F.transform(F.regexp_extract_all(w, F.lit(_units_pattern()), 1),
+                        lambda u: F.struct(u.alias("u"), F.try_element_at(table, u).alias("e")))
+    after = F.concat(F.array(F.lit(False)), F.transform(units, lambda x: x["e"]["cons"].isNotNull()))
     virama = F.lit(FV.VIRAMA)
 
-    def step(acc, u):
-        c, iv, sv, mk = (F.try_element_at(cons, u), F.try_element_at(indep, u),
-                         F.try_element_at(sign, u), F.try_element_at(marks, u))
-        pending = F.when(acc["prev"], virama).otherwise(F.lit(""))
-        out = (F.when(c.isNotNull(), F.concat(acc["out"], pending, c))
-               .when(iv.isNotNull(), F.concat(acc["out"], F.when(acc["prev"], sv).otherwise(iv)))
-               .when(mk.isNotNull(), F.concat(acc["out"], mk))
-               .otherwise(F.concat(acc["out"], pending, u)))
-        return F.struct(out.alias("out"), c.isNotNull().alias("prev"))
-
-    spelled = F.aggregate(units, init, step,
-                          lambda acc: F.concat(acc["out"], F.when(acc["prev"], virama).otherwise(F.lit(""))))
+    def letters(x, follows):
+        e = x["e"]
+        pending = F.when(follows, virama).otherwise(F.lit(""))
+        return (F.when(x["u"].isNull(), pending)              # behind the last unit
+                .when(e["cons"].isNotNull(), F.concat(pending, e["cons"]))
+                .when(e["vowel"].isNotNull(), F.when(follows, e["sign"]).otherwise(e["vowel"]))
+                .when(e["mark"].isNotNull(), e["mark"]).otherwise(F.concat(pending, x["u"])))
+    spelled = F.array_join(F.zip_with(units, after, letters), "")
     rejected = X.py_strip(spelled) == w
     ascii_only = spelled.rlike("^[\\x00-\\x7F]*$")
     return F.when(~rejected & ~ascii_only, spelled)

@@ -137,10 +137,9 @@ def with_segment_memory(df: DataFrame, text: str, memory: DataFrame, out: str, s
                         max_len: int = FV.MAX_SEGMENT_LEN) -> DataFrame:
     """Adds the text's ``segments`` and ``out``, the map of those that the memory holds. ``memory`` (item, value) as made by
     ``memory_table``; the distinct segments are looked up in it once."""
-    from .lookup import distinct_items, with_hits
+    from .lookup import with_values
     df = df.withColumn(segments, segments_of(text, max_len))
-    held = distinct_items(df, F.col(segments)).join(memory, "item")
-    return with_hits(df, text, F.col(segments), held, out)
+    return with_values(df, text, F.col(segments), lambda s: s.join(memory, "item"), out)
 
 
 def segment_pairs(segments: Column, hits: Column, lookup: dict[str, str]) -> Column:

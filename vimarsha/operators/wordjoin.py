@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .lookup import distinct_items, valued, with_hits
+from .lookup import valued, with_values
 
 
 def open_words(tokens: Column) -> Column:
@@ -58,8 +58,7 @@ def dictionary_rewrite(df: DataFrame, col: str, out: str, dictionary: DataFrame,
     from .translit import _finish
     df = df.withColumn("_vm_toks", X.tokens_ws(col))
     items = open_words(F.col("_vm_toks"))
-    table = spellings(distinct_items(df, items), dictionary, words, scheme)
-    tmp = with_hits(df, col, items, table, "_vm_words")
+    tmp = with_values(df, col, items, lambda w: spellings(w, dictionary, words, scheme), "_vm_words")
     tmp = tmp.withColumn("_vm_found", F.transform("_vm_toks", lambda t: F.try_element_at(F.col("_vm_words"), t)))
     found = F.col("_vm_found")
     res = tmp.withColumn(out, _finish(F.col(col), F.col("_vm_toks"), F.transform(found, lambda f: f["text"]),

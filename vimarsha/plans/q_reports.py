@@ -582,14 +582,19 @@ def q_evaluation_document(spark, sf):
 
 
 # --------------------------------------------------------------------------- T7 rule scheme on the OOV vocabulary
-@register("translit_vocab")
+@register("translit_vocab", f"""
+WITH {_OOV_SQL}
+SELECT word, {S.scheme_spelling('word')} AS spelling FROM (SELECT DISTINCT input AS word FROM f)""")
 def q_translit_vocab(spark, sf):
     from ..operators.scheme import scheme_spelling
     words = _oov_pairs(spark, sf).select(F.col("input").alias("word")).distinct()
     return words.select("word", scheme_spelling("word").alias("spelling"))
 
 
-@register("transliterate_scheme")
+@register("transliterate_scheme", f"""
+WITH {S.spelled_ctes('(SELECT doc_id, text FROM documents)', 'doc_id', 'text', None)}
+SELECT CASE WHEN {S.is_blank('text')} THEN 'unchanged' ELSE method END AS method, count(*) AS n
+FROM documents LEFT JOIN _sp USING (doc_id) GROUP BY 1""")
 def q_transliterate_scheme(spark, sf):
     t = transliterate(docs(spark, sf), key="doc_id", scheme=True)
     return t.groupBy(F.col("transliteration.method").alias("method")).agg(F.count("*").alias("n"))

@@ -50,10 +50,11 @@ class Lookups:
 
     def publish_langid(self, model: LangIdModel) -> int:
         languages = self.spark.createDataFrame(
-            [(*row, i, model.n_min, model.n_max) for i, row in enumerate(model.languages)],
-            "lang string, prior double, denominator double, place int, n_min int, n_max int")
+            [(*row, i, model.n_min, model.n_max, model.n_grams) for i, row in enumerate(model.languages)],
+            "lang string, prior double, denominator double, place int, n_min int, n_max int, n_grams long")
         # profile and languages are one table, so that no micro-batch sees half of a model
-        both = model.profile.select("gram", "weights", F.lit(None).cast("struct<lang:string,prior:double,denominator:double,place:int,n_min:int,n_max:int>").alias("language"))
+        both = model.profile.select("gram", "weights", F.lit(None).cast(
+            "struct<lang:string,prior:double,denominator:double,place:int,n_min:int,n_max:int,n_grams:bigint>").alias("language"))
         return self.publish("langid", both.unionByName(languages.select(
             F.lit(None).cast("string").alias("gram"), F.lit(None).cast("array<double>").alias("weights"), F.struct(*languages.columns).alias("language"))))
 
@@ -69,7 +70,7 @@ class Lookups:
             return None
         rows = table.filter("language is not null").select("language.*").orderBy("place").collect()  # one per language
         profile = table.filter("gram is not null").select("gram", "weights")
-        return LangIdModel(profile, [(r.lang, r.prior, r.denominator) for r in rows], rows[0].n_min, rows[0].n_max)
+        return LangIdModel(profile, [(r.lang, r.prior, r.denominator) for r in rows], rows[0].n_min, rows[0].n_max, rows[0].n_grams)
 
 
 def analyze_with(df: DataFrame, lookups: Lookups, text_col: str, key: str, keep: list[str] | None = None,
