@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from vimarsha.llm import textvec as tv
-from vimarsha.llm.decontaminate import Index, drop_leaks, find_leaks
+from vimarsha.llm.decontaminate import RADIUS, Index, drop_leaks, find_leaks
 
 
 def words(text):
@@ -32,7 +32,7 @@ def weighted(a, b):
     return sum(weight(s) * min(a[s], b[s]) for s in keys) / sum(weight(s) * max(a[s], b[s]) for s in keys)
 
 
-def brute(docs, items, radius=7, least=.8):
+def brute(docs, items, radius=RADIUS, least=.8):
     hashes = {w: word_hash(w) for _, t in docs + items for w in words(t)}
     out = {}
     for d, t in docs:
@@ -80,16 +80,27 @@ def test_search_equals_brute_force(spark):
     assert drop_leaks(df, bench).columns == df.columns
 
 
-def test_multi_index_finds_all_within_radius():
+def test_multi_index_finds_all_within_the_default_radius_and_compares_few():
     r = np.random.default_rng(1)
     index = Index([(i, " ".join(f"a{i}b{j}" for j in range(10))) for i in range(50)])
-    _, fp, _ = index.lengths[10]
-    probe = np.repeat(fp, 8)
+    fp = index.lengths[10][1]
+    probe = np.repeat(fp, 40)
     for i in range(len(probe)):
-        for b in r.choice(64, i % 8, replace=False):
+        for b in r.choice(64, i % 40, replace=False):
             probe[i] ^= np.uint64(1) << np.uint64(b)
     win, own = index._near(probe, 10)
-    assert {(i, i // 8) for i in range(len(probe))} <= set(zip(win.tolist(), own.tolist()))
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.bitwise_count(probe[:, None] ^ fp) <= RADIUS)}
+    assert set(zip(win.tolist(), own.tolist())) == want and len(want) > 40 * RADIUS
+    assert 0 < index.looked_up < 0.35 * len(probe) * len(fp)
+
+
+def test_matches_come_from_the_multi_index():
+    """Without the blocks' answers there is no match, so nothing else finds any."""
+    docs, items = sample()
+    index = Index(items)
+    assert list(index.search(pa.array([t for _, t in docs]))) and index.looked_up > 0
+    index._near = lambda fp, n: (np.zeros(0, int), np.zeros(0, int))
+    assert not list(index.search(pa.array([t for _, t in docs])))
 
 
 def test_empty_tables(spark):

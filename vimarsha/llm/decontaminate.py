@@ -2,19 +2,18 @@
 
 Every benchmark item of L words (A-Z lower-cased) has a 64-bit SimHash of its words. In a document, the
 windows of L consecutive words get theirs by prefix sums of the words' bit votes; a document of fewer words is
-one window. A window is a candidate for the items of that length whose fingerprints lie within ``RADIUS`` bits. The
-radius covers the similarity: at 0.8 about a ninth of the words differ at most, which changes 10 of 64 bits with a
-deviation of 3, while unrelated texts differ in 32 with a deviation of 4. All fingerprints of a length are compared.
-With a radius of 7 or less, a multi-index over four 16-bit blocks, entered with each value's neighbours at one bit,
-finds the same pairs (if each block differed in two bits or more, eight would differ).
+one window. A multi-index over four 16-bit blocks finds the items of that length whose fingerprints lie within ``RADIUS``
+bits: each block is entered with all values that differ in a quarter of the radius at most, and a pair within the radius
+agrees so far in at least one block. At a similarity of 0.8 about a ninth of the words differ, which changes 10 of 64 bits
+with a deviation of 3, while unrelated texts differ in 32 with a deviation of 4.
 Candidates are verified exactly by the weighted Jaccard similarity of the bags of 5-word shingles, a shingle weighing
-its words' bytes. Only windows that hold shingles of an item with 0.8 of its weight are fingerprinted: the similarity of any
-other window is less.
+its words' bytes. Windows that hold no shingle of any item are passed over: their similarity to all of them is 0.
 
 Documents are scanned where they lie, without a shuffle. The benchmark is read in blocks of bounded size, each
 a broadcast index; a larger one costs more scans, never memory.
 
-A document matches an item when a window lies within the radius and reaches the similarity. Defined cases:
+A document matches an item when a window lies within the radius and reaches the similarity; the radius bounds a
+probability, so an edited copy can be missed (the README states the recall). Defined cases:
 an item of fewer than five words is one shingle; items or documents that are NULL or hold no words match
 nothing; ties go to the first window; repeated rows and repeated items are each reported; rows without an id are
 reported with a NULL id; an empty table or benchmark gives no match; other columns pass through or are not read.
@@ -33,13 +32,13 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 WORDS = 5
-RADIUS = 24
+RADIUS = 19
 SIMILARITY = 0.8
 #: Characters of benchmark text in one broadcast index.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 _FILTER_BITS = 22
-#: Pairs of fingerprints compared at a time.
-_PAIRS = 1 << 20
+#: Windows that are looked up in the multi-index at a time.
+_LOOKUPS = 1 << 14
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -92,27 +91,25 @@ class Index:
                     shared.setdefault(size, []).append(tv.combine(h, size))
                 at += 1
         self.shared = {size: np.unique(np.concatenate(x)) for size, x in shared.items()}
-        # each item's length and weight, and the items of each shingle
-        self.words = {int(x): n for n, found in by_length.items() for x, _ in found}
-        self.total = np.array([sum(self.weight[s] * c for s, c in bag.items()) for bag in self.bags], np.float64)
-        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in self.shared:
-            own = [(s, i) for i, n in self.words.items() if min(k, n) == size for s in self.bags[i]]
-            h, item = np.array([s for s, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
-            order = np.argsort(h, kind="stable")
-            self.owners[size] = h[order], item[order]
         self.maybe = {size: self._filter(x) for size, x in self.shared.items()}
-        self.lengths = {}
-        flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint64)
-        for n, found in by_length.items():
-            item = np.array([x for x, _ in found])
-            fp = np.array([x for _, x in found], np.uint64)
-            blocks = []
+        self.total = np.array([sum(self.weight[s] * c for s, c in bag.items()) for bag in self.bags], np.float64)
+        self.keys = [np.array(sorted(bag), np.uint64) for bag in self.bags]
+        self.lengths = {n: (np.array([x for x, _ in found]), np.array([x for _, x in found], np.uint64)) for n, found in by_length.items()}
+        values = np.arange(1 << 16)
+        self.flips = values[np.bitwise_count(values) <= radius // 4].astype(np.uint16)
+        self.blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.looked_up = 0
+
+    def _multi_index(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per block: values in order, and the place of the item of length n that each leads to. Made when first needed."""
+        if n not in self.blocks:
+            fp = self.lengths[n][1]
+            self.blocks[n] = []
             for j in range(4):
-                value = ((fp >> np.uint64(16 * j)) & np.uint64(0xFFFF))[:, None] ^ flips
+                value = ((fp >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.uint16)[:, None] ^ self.flips
                 order = np.argsort(value.ravel(), kind="stable")
-                blocks.append((value.ravel()[order], np.repeat(np.arange(len(fp)), len(flips))[order]))
-            self.lengths[n] = (item, fp, blocks)
+                self.blocks[n].append((value.ravel()[order], (order // len(self.flips)).astype(np.int32)))
+        return self.blocks[n]
 
     @staticmethod
     def _filter(h: np.ndarray) -> np.ndarray:
@@ -121,94 +118,104 @@ class Index:
         return out
 
     def _near(self, fp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item of length n) pairs within the radius: by the multi-index up to 7 bits, else by comparing all."""
-        item, of, blocks = self.lengths[n]
-        if self.radius > 7:
-            step = max(1, _PAIRS // len(of))
-            found = [np.argwhere(np.bitwise_count(fp[i:i + step, None] ^ of) <= self.radius) + (i, 0) for i in range(0, len(fp), step)]
-            win, own = np.concatenate(found or [np.zeros((0, 2), np.int64)]).T
-            return win, own
-        found = []
-        for j, (values, owner) in enumerate(blocks):
-            v = (fp >> np.uint64(16 * j)) & np.uint64(0xFFFF)
-            lo, hi = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
-            count = hi - lo
-            win = np.repeat(np.arange(len(fp)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            found.append(win * len(of) + owner[at])
-        pair = np.unique(np.concatenate(found))
-        win, own = pair // len(of), pair % len(of)
-        near = np.bitwise_count(fp[win] ^ of[own]) <= self.radius
-        return win[near], own[near]
-
-    def _windows(self, p: np.ndarray, h: np.ndarray, width: np.ndarray, size: int, first: np.ndarray,
-                 last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(words of an item, starts): windows whose shingles at places p, of hashes h and such widths, weigh ``least`` of
-        the item or more. The similarity of any other window is less."""
-        known, owner = self.owners[size]
-        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-        count = hi - lo
-        at = np.repeat(np.arange(len(p)), count)
-        item = owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-        order = np.argsort(item, kind="stable")
-        at, item = at[order], item[order]
-        if not len(at):
-            return
-        begin = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (first[p[at[1:]]] != first[p[at[:-1]]])])
-        whole = np.add.reduceat(width[at], begin)
-        for g in np.flatnonzero(whole >= self.least * self.total[item[begin]] - 1e-6).tolist():
-            mine = at[begin[g]:begin[g + 1] if g + 1 < len(begin) else len(at)]
-            i = int(item[begin[g]])
-            n, a, b = self.words[i], int(first[p[mine[0]]]), int(last[p[mine[0]]])
-            if b - a <= n:                       # a document shorter than the item is one window
-                yield n, np.array([a])
-                continue
-            run = np.zeros(b - a + 1)
-            run[p[mine] - a + 1] = width[mine]
-            run = np.cumsum(run)
-            yield n, a + np.flatnonzero(run[n - size + 1:b - a - size + 2] - run[:b - a - n + 1] >= self.least * self.total[i] - 1e-6)
+        """(window, item of length n) pairs within the radius, by the multi-index."""
+        of, blocks = self.lengths[n][1], self._multi_index(n)
+        out = [np.zeros((0, 2), np.int64)]
+        for first in range(0, len(fp), _LOOKUPS):
+            part, found = fp[first:first + _LOOKUPS], []
+            for j, (values, owner) in enumerate(blocks):
+                v = ((part >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.uint16)
+                lo, hi = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+                count = hi - lo
+                win = np.repeat(np.arange(len(part)), count)
+                own = owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+                near = np.bitwise_count(part[win] ^ of[own]) <= self.radius
+                found.append(win[near] * len(of) + own[near])
+                self.looked_up += len(win)
+            pair = np.unique(np.concatenate(found))
+            out.append(np.stack([pair // len(of) + first, pair % len(of)], 1))
+        win, own = np.concatenate(out).T
+        return win, own
+
+    @staticmethod
+    def _starts(p: np.ndarray, n: int, size: int, first: np.ndarray, last: np.ndarray, used: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Windows of n words that hold a benchmark shingle of ``size`` words at one of the places p of documents that go from
+        first to last (by place of p); a document of fewer words is one window."""
+        short = last - first < n
+        low = np.where(short, first, np.maximum(first, np.minimum(p + size, last) - n))
+        high = np.where(short, first, np.maximum(np.minimum(p, last - n), low))
+        mark = np.bincount(dense[low], minlength=len(used) + 1)[:len(used) + 1] - np.bincount(dense[high] + 1, minlength=len(used) + 1)[:len(used) + 1]
+        return used[np.flatnonzero(np.cumsum(mark[:-1]) > 0)]
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, first word, words, differing bits, similarity): the best window of each match."""
         for w in tv.words(texts):
             doc = w.doc_of()
             first, last = w.bounds[doc], w.bounds[doc + 1]
-            windows: dict[int, list[np.ndarray]] = {}
+            places: dict[int, np.ndarray] = {}
+            shingles: dict[int, np.ndarray] = {}
+            held: dict[int, np.ndarray] = {}       # running weight of the benchmark's shingles,
+            whole: dict[int, np.ndarray] = {}      # and of all
+            near = np.zeros(len(w.hashes) + 1, np.int32)
+            ends = np.r_[0, np.cumsum(w.ends - w.starts)]
+            widest = max(self.lengths)
             for size, known in self.shared.items():
                 h = tv.combine(w.hashes, size)
                 p = np.flatnonzero(self.maybe[size][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                 place = np.searchsorted(known, h[p])
                 p = p[(known[np.minimum(place, len(known) - 1)] == h[p]) & (p + size <= last[p])]
-                ends = np.r_[0, np.cumsum(w.ends - w.starts)]
-                for n, starts in self._windows(p, h[p], ends[p + size] - ends[p], size, first, last):
-                    windows.setdefault(n, []).append(starts)
-            if not windows:
+                if len(p):
+                    places[size], shingles[size] = p, h
+                    whole[size] = np.r_[0, np.cumsum(ends[size:] - ends[:-size]), np.zeros(size + 1, np.int64)]
+                    held[size] = np.zeros(len(w.hashes) + 2)
+                    held[size][p + 1] = ends[p + size] - ends[p]
+                    np.cumsum(held[size], out=held[size])
+                    near += np.bincount(np.maximum(first[p], p - widest), minlength=len(near))
+                    near -= np.bincount(np.minimum(last[p], p + size + widest), minlength=len(near))
+            if not places:
                 continue
-            # the words of these windows, in one dense matrix of running votes
-            found = {n: np.unique(np.concatenate(x)) for n, x in windows.items()}
-            mark = np.zeros(len(w.hashes) + 1, np.int32)
-            for n, starts in found.items():
-                np.add.at(mark, starts, 1)
-                np.add.at(mark, np.minimum(starts + n, last[starts]), -1)
-            used = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            # the words around these places, in one dense matrix of running votes
+            used = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             dense = np.zeros(len(w.hashes) + 1, np.int64)
             dense[used] = np.arange(len(used))
-            votes = np.zeros((len(used) + 1, 64), np.int32)
-            np.cumsum(((w.hashes[used][:, None] & _BITS) != 0).astype(np.int8) * 2 - 1, axis=0, out=votes[1:], dtype=np.int32)
+            votes = np.zeros((len(used) + 1, 64), np.int16 if len(used) < 1 << 15 else np.int32)
+            np.cumsum(((w.hashes[used][:, None] & _BITS) != 0).astype(np.int8) * 2 - 1, axis=0, out=votes[1:], dtype=votes.dtype)
             best: dict[tuple[int, int], tuple] = {}
-            for n, starts in found.items():
-                item, of, _ = self.lengths[n]
-                size, sizes = min(self.k, n), np.minimum(n, last[starts] - starts)
+            for n, (item, of) in self.lengths.items():
+                size = min(self.k, n)
+                if size not in places:
+                    continue
+                p = places[size]
+                starts = self._starts(p, n, size, first[p], last[p], used, dense)
+                sizes = np.minimum(n, last[starts] - starts)
                 fp = _folded(votes, dense[starts], sizes)
-                for x, y in zip(*self._near(fp, n)):
+                win, own = self._near(fp, n)
+                # what a window shares with an item weighs no more than the benchmark's shingles in it
+                a = starts[win]
+                b = a + np.maximum(sizes[win] - size, 0) + 1
+                shared = held[size][b] - held[size][a]
+                most = shared / np.maximum(shared, self.total[item[own]] + whole[size][b] - whole[size][a] - shared)
+                ok = np.flatnonzero(most >= self.least - 1e-9)
+                for j in ok[np.argsort(-most[ok], kind="stable")].tolist():
+                    x, y = int(win[j]), int(own[j])
                     s, m = int(starts[x]), int(sizes[x])
+                    key = (w.first + int(doc[s]), int(item[y]))
+                    if key in best and most[j] < -best[key][0] - 1e-9:
+                        continue
+                    # cheaply for this item alone, before the bags are compared
+                    own_hashes = self.keys[item[y]]
+                    h = shingles[size][s:s + m - size + 1]
+                    at = np.minimum(np.searchsorted(own_hashes, h), len(own_hashes) - 1)
+                    wide = ends[s + size:s + m + 1] - ends[s:s + m - size + 1]
+                    common = int(wide[own_hashes[at] == h].sum())
+                    if common < self.least * (self.total[item[y]] + int(wide.sum()) - common) - 1e-6:
+                        continue
                     weight: dict[int, int] = {}
                     bag = _bag(w.hashes[s:s + m], (w.ends - w.starts)[s:s + m], size, weight)
-                    own = self.bags[item[y]]
-                    weight.update((q, self.weight[q]) for q in own)
-                    sim = similarity(bag, own, weight)
+                    known = self.bags[item[y]]
+                    weight.update((q, self.weight[q]) for q in known)
+                    sim = similarity(bag, known, weight)
                     if sim >= self.least:
-                        key = (w.first + int(doc[s]), int(item[y]))
                         row = (-sim, s - int(first[s]), m, int(np.bitwise_count(fp[x] ^ of[y])))
                         best[key] = min(best.get(key, row), row)
             for (row, i), (sim, s, n, bits) in sorted(best.items()):
