@@ -83,8 +83,8 @@ def test_document_holds_every_section_and_one_scan(spark):
     assert parsed["evaluation_date"] == "2026-01-01" and json.loads(parsed["pipeline_config"]) == {"translation_backend": "fallback"}
     assert set(parsed) >= {"dataset", "overall_metrics", "per_language_metrics", "language_detection", "confusion_matrix", "timing_statistics", "error_analysis"}
     assert parsed["dataset"]["total"] == 240 and len(parsed["confusion_matrix"]) == 9
-    plan = done.long()._jdf.queryExecution().executedPlan().toString()
-    assert "Scan ExistingRDD" not in plan.replace("LocalTableScan", "") and plan.count("evaluation-cube") > 0      # only the written cube is read
+    files = done.long().inputFiles()        # only the written cube, and what quantiles make of it, is read
+    assert files and all("evaluation-cube" in f or "ranked-parts" in f for f in files)
     empty = E.Evaluation(data.limit(0), COLUMNS)
     assert json.loads(empty.document("x").first()["document"])["dataset"]["sizes"] == []
 
