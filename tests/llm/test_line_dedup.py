@@ -41,6 +41,19 @@ def test_banded_distance_equals_dynamic_programme(spark, k):
         assert (got == want) if want <= k else got > k, (a, b, want, got)
 
 
+def test_trimmed_pairs_keep_their_distance(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(600):
+        a = "".join(r.choice("abñ") for _ in range(r.choice([0, 1, 3, 9, 40])))
+        rows.append((i, a, edited(r, a, r.randint(0, 4), "abñ") if r.random() < .9 else a[::-1]))
+    rows += [(600, "x" * 70_000 + "a" + "y" * 9, "x" * 70_000 + "y" * 9), (601, "", ""), (602, "ab", ""), (603, "", "abc")]
+    df = spark.createDataFrame(rows, "i int, p string, q string")
+    for k in (1, 2, 3):
+        got = {x.i for x in L.near_enough(df, "p", "q", k).collect()}
+        assert got == {i for i, a, b in rows if i == 600 or i != 600 and distance(a, b) <= k}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_segment_join_finds_every_pair(spark, k):
     r = random.Random(10 + k)

@@ -24,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, saved, small
+from .common import BLANKS, BROADCAST_ROWS, rows_where, saved, small
 
 THRESHOLD = 2
 MIN_CHARS = 32
-_LETTERS = "etaoinsrhldcumg"
+#: Sixteen letters: their counts fill two longs.
+_LETTERS = "etaoinsrhldcumgp"
 
 
 def segment(number: Column, length: Column, threshold: int) -> tuple[Column, Column]:
@@ -58,10 +59,38 @@ def segment_keys(lines: DataFrame, places: list[tuple[int, int, int]], threshold
     return at.select(F.xxhash64(F.col("p.i"), of, F.substring("line", start + F.col("p.x"), size)).alias("key"), "h")
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of ``_LETTERS`` stands in a line, up to 127, packed into two longs."""
+    n = F.char_length(line)
+    counts = [F.least(n - F.char_length(F.replace(line, F.lit(c))), F.lit(127)).cast("long") for c in _LETTERS]
+    return F.array(*[sum((F.shiftleft(c, 7 * i) for i, c in enumerate(half[1:], 1)), half[0]) for half in (counts[:8], counts[8:])])
+
+
 def unlike(a: Column, b: Column) -> Column:
-    """A lower bound of twice the edit distance: the differences of some letters' counts."""
-    return sum((F.abs(F.char_length(F.replace(a, F.lit(c))) - F.char_length(a)
-                      - F.char_length(F.replace(b, F.lit(c))) + F.char_length(b)) for c in _LETTERS), F.lit(0))
+    """A lower bound of twice the edit distance, from packed letter counts."""
+    def count(x, i):
+        return F.shiftright(x[i // 8], 7 * (i % 8)).bitwiseAND(F.lit(127))
+    return sum((F.abs(count(a, i) - count(b, i)) for i in range(len(_LETTERS))), F.lit(0))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many first characters two strings share, counted up to 65 535, by halving steps."""
+    most = F.least(F.char_length(a), F.char_length(b))
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), lambda n, step: F.when(
+        (n + step <= most) & (F.substr(a, n + 1, step) == F.substr(b, n + 1, step)), n + step).otherwise(n))
+
+
+def near_enough(pairs: DataFrame, p: str, q: str, threshold: int) -> DataFrame:
+    """Rows whose strings are within the threshold. What both begin and end with goes first: it does not change the
+    distance, and of the variants of one line little is left."""
+    rows = pairs.withColumn("_n", common_prefix(F.col(p), F.col(q)))
+    rows = rows.withColumns({"_p": F.reverse(F.substr(p, F.col("_n") + 1)), "_q": F.reverse(F.substr(q, F.col("_n") + 1))})
+    rows = rows.withColumn("_n", common_prefix(F.col("_p"), F.col("_q")))
+    # the bit vectors need more than threshold characters: both get the same ones in front
+    pad = F.lit("x" * (threshold + 1))
+    rows = rows.withColumns({"_p": F.concat(pad, F.substr("_p", F.col("_n") + 1)), "_q": F.concat(pad, F.substr("_q", F.col("_n") + 1))})
+    rows = rows.withColumn("_far", banded_distance(F.col("_p"), F.col("_q"), threshold))
+    return rows_where(rows, F.col("_far") <= threshold).drop("_n", "_p", "_q", "_far")
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -116,16 +145,29 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def near_pairs(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of line hashes, a < b, within the threshold. ``lines``: h, line, n_chars, each line once."""
-    left = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).withColumnRenamed("h", "x")
-    right = segment_keys(lines, shifts(threshold), threshold).withColumnRenamed("h", "y")
-    pairs = saved(left.join(right, "key").filter("x <> y").select(
+    """Pairs (a, b) of line hashes, a < b, within the threshold. ``lines``: h, line, n_chars, each line once.
+
+    Keys that one line alone has, nearly all, go first. The letter counts of the lines that are left travel with their keys
+    and are compared inside the join: of the variants of one line, which share its other segments, only those come out
+    whose letters are nearly the same."""
+    # whole segments stand for their line, which is found by them and by the shifted substrings of others
+    whole = [(i, 0, 0) for i in range(threshold + 1)]
+    keys = saved(segment_keys(lines, whole, threshold).withColumn("own", F.lit(True)).unionByName(
+        segment_keys(lines, [x for x in shifts(threshold) if x not in whole], threshold).withColumn("own", F.lit(False))), "line-keys")
+    common = saved(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).filter(
+        "own and lo <> hi").select("key"), "line-common")
+    keys = saved(keys.join(small(common), "key"), "line-shared")
+    wanted = saved(keys.select("h").distinct(), "line-wanted")
+    texts = saved(lines.join(small(wanted), "h").select("h", "line", letter_counts(F.col("line")).alias("letters")), "line-texts")
+    keys = keys.join(texts.select("h", "letters"), "h")
+    left = keys.filter("own").select("key", F.col("h").alias("x"), F.col("letters").alias("lx"))
+    right = keys.select("key", F.col("h").alias("y"), F.col("letters").alias("ly"))
+    alike = (F.col("x") != F.col("y")) & (unlike(F.col("lx"), F.col("ly")) <= 2 * threshold)
+    pairs = saved(left.join(right, "key").filter(alike).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-wanted")
-    texts = saved(lines.join(small(wanted), "h").select("h", "line"), "line-texts")
     both = (pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("p")), "a")
             .join(texts.select(F.col("h").alias("b"), F.col("line").alias("q")), "b"))
-    return both.filter(unlike(F.col("p"), F.col("q")) <= 2 * threshold).filter(banded_distance(F.col("p"), F.col("q"), threshold) <= threshold).select("a", "b")
+    return near_enough(both, "p", "q", threshold).select("a", "b")
 
 
 def once(lines: DataFrame, first: DataFrame) -> DataFrame:
@@ -167,11 +209,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thr
     ``n_removed`` and ``n_removed_near`` added. Documents left without a line keep an empty text."""
     clash = {"n_lines", "n_removed", "n_removed_near", "_gone"}
     docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in clash])
-    gone = removed_lines(docs, id_col, text, threshold, min_chars).groupBy(id_col).agg(
-        F.collect_list("line_no").alias("_gone"), F.count_if("near").alias("n_removed_near"))
-    df = docs.join(gone, id_col, "left")
+    removed = saved(removed_lines(docs, id_col, text, threshold, min_chars), "line-removed")
+    gone = removed.groupBy(id_col).agg(F.collect_list("line_no").alias("_gone"), F.count_if("near").alias("n_removed_near"))
+    # the line numbers are broadcast if they are few; texts meet them in a shuffle only beyond that
+    df = docs.join(F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone, id_col, "left")
     lines = F.split(text, "\n")
-    df = (df.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0)).cast("long"))
+    df = (df.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"))
           .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
           .withColumn("n_removed_near", F.coalesce("n_removed_near", F.lit(0).cast("long"))))
     left = F.when(F.col("n_removed") == 0, F.col(text)).otherwise(
