@@ -107,4 +107,45 @@ def test_slugs_links_and_formulas_of_an_article_stay():
     <div class="x share-buttons"><p>Share</p></div><ul class="related_posts"><li>Other</li></ul><div id="comments"><p>First!</p></div>
     <div class="newsletter-signup-2"><p>Mail?</p></div></article>"""
     assert text(page) == ("Related work\n\nLogin\n\nPrices\n\nHistory\n\nHow to\n\nNote\n\nSee that and more\n\nWork\n\nLet x=2 be")
+    assert text("<article><div class='social-media'><p>Essay</p></div><div class='reader-comments'><p>First!</p></div></article>") == "Essay"
+    assert text("<main><div class='alert-history'><p>On alerts</p></div><div class='user-comments'>x</div><div class='alert'>y</div></main>") == "On alerts"
+    assert text("<main><p><a href='/'>Whole linked paragraph</a></p></main>") == "Whole linked paragraph"
+    assert text("<p><a>Linked</a></p><ul><li><a>Menu</a></ul><p>t</p>") == "Linked\n\nt"
     assert text("<main><h2 id='related-work'>A</h2><section id='social-history'><p>b</p></section><section id='comments'>c</section></main>") == "A\n\nb"
+
+
+def hosts_without_names(r, n):
+    """Pages of div and p alone: a bar, a menu, offers, a notice and a foot line recur on their host, in changing parts."""
+    def prose(k):
+        return " ".join("".join(r.choice("aeioubdklmnrst") for _ in range(r.randint(2, 9))) for _ in range(k))
+    pages, want = [], {}
+    for h in range(5):
+        bar, foot = prose(4), prose(7)
+        menus, offers, notes = [[prose(2) for _ in range(5)] for _ in range(3)], [prose(9) for _ in range(4)], [prose(12) for _ in range(2)]
+        for i in range(n):
+            own = [prose(r.randint(5, 60)) for _ in range(r.randint(1, 6))]
+            menu = "".join(f"<div>{x}</div>" for x in r.choice(menus))
+            parts = [f"<div><div>{bar}</div><div>{menu}</div></div>", f"<div><p>{own[0]}</p>" + "".join(f"<p>{x}</p>" for x in own[1:]) + "</div>"]
+            if r.random() < .6:
+                parts.insert(r.choice([1, 2]), f"<div><p>{r.choice(offers)}</p></div>")
+            if r.random() < .5:
+                parts.append(f"<div><p>{r.choice(notes)}</p></div>")
+            pages.append((h * n + i, f"http://h{h}.com/{i}", f"<body>{''.join(parts)}<div>{foot}</div></body>"))
+            want[h * n + i] = "\n\n".join(own)
+    return pages, want
+
+
+def test_recurrence_alone_finds_the_text_of_pages_without_names(spark):
+    import random
+    pages, want = hosts_without_names(random.Random(8), 60)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    assert {x.page_id: x.text for x in extract(df).collect()} == want
+    off = {x.page_id: x.text for x in extract(df, min_pages=10 ** 9, hinted_pages=10 ** 9).collect()}
+    assert all(off[i] != want[i] and want[i] in off[i] for i in want)       # without the count every page keeps its boilerplate
+
+
+def test_a_hint_lowers_the_bar(spark):
+    rows = [(i, f"http://a.com/{i}", f"<body><div class='alert-history'><p>Recurring</p></div><p>Own {i}</p></body>") for i in range(2)]
+    rows += [(i, f"http://b.com/{i}", f"<body><div class='history'><p>Recurring</p></div><p>Own {i}</p></body>") for i in range(2, 4)]
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Own 0", 1: "Own 1", 2: "Recurring\n\nOwn 2", 3: "Recurring\n\nOwn 3"}

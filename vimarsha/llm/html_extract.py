@@ -1,9 +1,11 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree gets a hash of its tags and text. Spark counts, for each host, the distinct pages in
-which a subtree recurs; subtrees on many pages of a host are its template and are deleted. What tags, roles and
-class names declare to be menu, header, footer, sidebar, notice, advert, form or reader comment goes too. The
-text is read from ``article`` elements, else ``main``, else the whole body.
+which a subtree recurs; subtrees on many pages of a host are its template and are deleted. Names move that bar: an element
+with a word of boilerplate among others in its class or id (``alert-history``) goes from two pages on, one whose
+tag, role or whole class name declares menu, header, footer, sidebar, notice, advert, form or reader comment goes
+without a count. The text is read from ``article`` elements, else ``main``, else the whole body; in the last case a block
+of which more than half is link text, outside of paragraphs and headings, is a menu.
 
 Inside a declared article the same count decides with stricter guards, so that the article's own text stays: only
 containers (boxes, sections, lists) with text beside headings count, at one place of the tree, on more pages, and only
@@ -36,8 +38,12 @@ MIN_PAGES = 4
 MIN_SHARE = 0.02
 #: ... unless it stands on so many: that is template on a host of any size.
 MANY_PAGES = 100
+#: Where a name hints at boilerplate, on so many pages.
+HINTED_PAGES = 2
 #: Inside articles on at least so many pages with different text.
 ARTICLE_PAGES = 20
+#: Kinds of subtrees: outside articles, there with a hint, a container inside an article.
+OUTSIDE, HINTED, BOX = 0, 1, 2
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -68,9 +74,9 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TEXTS = _HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "section", "caption"}
 #: What class names inside an article may hold beside a word of _CLASSES, and ids that name a box there.
 _PARTS = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "cta", "floating", "footer",
-          "form", "group", "header", "icon", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "media", "panel",
+          "form", "group", "header", "icon", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "panel",
           "post", "posts", "prompt", "right", "row", "section", "slot", "sticky", "thread", "title", "toggle", "top", "unit", "wrap", "wrapper",
-          "article", "articles", "stories", "story", "tools", "us"}
+          "article", "articles", "stories", "story", "tools", "us", "reader", "readers", "user", "users", "site", "page", "main", "fixed", "global"}
 _BOX_IDS = {"ad", "ads", "advertisement", "comment", "comments", "disqus", "newsletter", "pagination", "reply", "replies", "respond", "sidebar"}
 #: What a start tag closes if it is open.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr"},
@@ -83,6 +89,7 @@ class Node:
     parent: int
     drop: bool = False       # by its tag
     boilerplate: bool = False  # by its role, class or id
+    suspect: bool = False      # a word of its class or id hints at it
     root: int = 0            # 2: article, 1: main
     parts: list = field(default_factory=list)
     hash: int = 0
@@ -118,26 +125,24 @@ def _names(value: str, words: set[str]) -> bool:
     return False
 
 
-def _boilerplate(attributes: str, tag: str, inside: bool) -> bool:
-    """Whether role, style, class or id declare boilerplate. Inside an article, and for the article itself, only whole
-    names of containers count; the id of a heading, paragraph or section counts nowhere as words."""
-    names: set[str] = set()
+def _declared(attributes: str, tag: str, inside: bool) -> tuple[bool, bool]:
+    """Whether role, style, class or id declare boilerplate, and whether some word of a class or id hints at it. Whole names
+    declare, inside an article (and for the article itself) those of containers only; the id of a heading, paragraph
+    or section, often a slug of its words, says nothing unless it names a box."""
+    hint = False
     for k, v in _ATTRIBUTE.findall(attributes):
         k, v = k.lower(), v.strip("\"'").lower()
-        if inside and k in ("class", "id"):
-            if tag in _BOXES or tag == "article":
-                if _names(v, _CLASSES if k == "class" else _BOX_IDS):
-                    return True
-        elif k == "id" and tag in _TEXTS:
-            if tag == "section" and _names(v, _BOX_IDS):
-                return True
-        elif k in ("class", "id"):
-            names.update(_NAME.findall(v))
-        elif k == "role" and v in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
-            return True
-        elif k == "style" and "display:none" in v.replace(" ", ""):
-            return True
-    return bool(names & _CLASSES)
+        if k in ("class", "id"):
+            slug = k == "id" and tag in _TEXTS
+            known = _CLASSES if k == "class" else _BOX_IDS if inside or slug else _CLASSES
+            boxed = tag in _BOXES or tag == "article" if inside else not slug or tag == "section"
+            if boxed and _names(v, known):
+                return True, True
+            hint |= not slug and bool(_CLASSES & set(_NAME.findall(v)))
+        elif (k == "role" and v in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true"
+              or k == "style" and "display:none" in v.replace(" ", "")):
+            return True, True
+    return False, hint
 
 
 def parse(source: str) -> Page:
@@ -220,9 +225,9 @@ def parse(source: str) -> Page:
                 here = close(here)
         inside = any(nodes[i].root == 2 for i in (here, *page.above(here)))
         root = 2 if tag == "article" else 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes, re.I) else 0
-        nodes.append(Node(tag, here, tag in _DROP or tag == "header" and not inside,
-                          bool(attributes) and tag not in ("html", "body")
-                          and _boilerplate(attributes, tag, inside or tag == "article"), root))
+        named = attributes and tag not in ("html", "body")
+        declared, hint = _declared(attributes, tag, inside or tag == "article") if named else (False, False)
+        nodes.append(Node(tag, here, tag in _DROP or tag == "header" and not inside, declared, hint, root))
         here = len(nodes) - 1
         if attributes.endswith("/") and tag not in ("p", "div", "li", "article", "main", "section"):
             here = close(here)
@@ -245,15 +250,15 @@ def _kept(page: Page) -> list[bool]:
     return out
 
 
-def subtrees(page: Page) -> set[int]:
-    """Hashes of elements with text that may be template: those outside of articles."""
+def subtrees(page: Page) -> dict[int, bool]:
+    """Hashes of elements with text that may be template, those outside of articles, and whether a name hints at it."""
     inside: list[bool] = []
-    found = set()
+    found: dict[int, bool] = {}
     articles = {r for r in page.roots() if page.nodes[r].root == 2}
     for i, n in enumerate(page.nodes):
         inside.append(i in articles or n.parent >= 0 and inside[n.parent])
         if n.hash and not inside[i] and n.tag not in ("html", "body"):
-            found.add(n.hash)
+            found[n.hash] = found.get(n.hash, False) or n.suspect
     return found
 
 
@@ -295,7 +300,7 @@ def main_text(page: Page, template: set[int]) -> str:
         gone.append((box[i] if article[i] else n.hash) in template or up >= 0 and gone[up] and i not in articles)
     out = []
     for i, text, linked in page.blocks:
-        menu = not article[i] and 2 * linked > len(text)          # outside articles: a block that is mostly links
+        menu = not roots and 2 * linked > len(text) and nodes[i].tag not in _HEADINGS and nodes[i].tag != "p"
         if inside[i] and kept[i] and not gone[i] and not menu:
             out.append(text)
     return "\n\n".join(out)
@@ -306,7 +311,7 @@ def _signed(x: int) -> int:
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-            article_pages: int = ARTICLE_PAGES, many_pages: int = MANY_PAGES) -> DataFrame:
+            article_pages: int = ARTICLE_PAGES, many_pages: int = MANY_PAGES, hinted_pages: int = HINTED_PAGES) -> DataFrame:
     """The table without ``html`` and with ``text`` and ``n_chars`` added."""
     clash = {"text", "n_chars", "_host", "_page", "_template", html.lower()}
     others = [c for c in pages.columns if c.lower() not in clash]
@@ -317,26 +322,30 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
 
     def found(batches):
         for b in batches:
-            hosts, keys, hashes, rests, boxes = [], [], [], [], []
+            hosts, keys, hashes, rests, kinds = [], [], [], [], []
             for h, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 page = parse(x.as_py())
-                for s, o, box in [*((s, k, False) for s in subtrees(page)),
-                                  *((s, _signed(o), True) for s, o in article_boxes(page)[1].items())]:
+                for s, o, kind in [*((s, k, HINTED if hint else OUTSIDE) for s, hint in subtrees(page).items()),
+                                   *((s, _signed(o), BOX) for s, o in article_boxes(page)[1].items())]:
                     hosts.append(h)
                     keys.append(k)
                     hashes.append(_signed(s))
                     rests.append(o)
-                    boxes.append(box)
+                    kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()),
-                                              pa.array(rests, pa.int64()), pa.array(boxes, pa.bool_())],
-                                             ["host", "page", "subtree", "other", "box"])
+                                              pa.array(rests, pa.int64()), pa.array(kinds, pa.int8())],
+                                             ["host", "page", "subtree", "other", "kind"])
     seen = saved(rows.select("_host", "_page", "_html").mapInArrow(
-        found, "host string, page long, subtree long, other long, box boolean").distinct(), "subtrees")
+        found, "host string, page long, subtree long, other long, kind byte").distinct(), "subtrees")
     # pages of a host: its distinct pages that have any such subtree
     sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    template = (seen.select("host", "subtree", "other", "box").distinct().groupBy("host", "subtree", "box").agg(F.count("*").alias("n"))
-                .filter(F.col("n") >= F.when(F.col("box"), article_pages).otherwise(min_pages))
-                .join(sizes, "host").filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(many_pages))).select("host", "subtree"))
+    box, hinted = F.col("kind") == BOX, F.col("kind") == HINTED
+    # what a page's subtree is outside of articles counts together, whether a name hints at it there or not
+    counted = (seen.select("host", "subtree", "other", box.alias("box"), "kind").groupBy("host", "subtree", "box", "other")
+               .agg(F.max("kind").alias("kind")).groupBy("host", "subtree", "box").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    bar = F.when(box, article_pages).when(hinted, F.least(F.lit(hinted_pages), F.lit(min_pages))).otherwise(min_pages)
+    template = (counted.filter(F.col("n") >= bar).join(sizes, "host")
+                .filter(hinted | (F.col("n") >= F.least(min_share * F.col("pages"), F.lit(many_pages)))).select("host", "subtree"))
     marks = saved(seen.join(template, ["host", "subtree"]).groupBy(F.col("page").alias("_page")).agg(
         F.collect_list("subtree").alias("_template")), "templates")
 
