@@ -10,11 +10,14 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two docum
    smaller set). Tokens that a single set has are dropped; a few sets of a token and size class lead, and the
    others that share enough tokens with them are verified: a fixed number of candidates for each row, whatever
    the size of the class. Sets linked so are a part; the parts around common leaders make a group.
+   Inside a group, the sets whose prefix tokens the group shares most are its centres, a few for each group; sets of
+   other parts are verified with them, since copies that were edited at different places resemble the text that they
+   were made of more than one another. That is repeated while it finds links.
 3. The matrix stores each group's union of prefix tokens with the sizes of its sets. A set probes the
    groups that it is not in; the bound of its overlap with a group's union, by shared prefix tokens, sizes
    and places in the order, decides which groups open.
-4. In groups that open, and in its own, a set meets the other parts; the overlap with a part's union bounds
-   those of several sets. What is left is verified exactly, and components of all links are the classes.
+4. In groups that open, and in its own, a set meets the other parts that share enough of its prefix tokens; the overlap
+   with a part's union bounds those of several sets. What is left is verified exactly, and components of all links are the classes.
 
 A pair inside a part needs no link of its own, so copies are never expanded into pairs; between parts
 every pair that the bounds leave is verified, so no component is split and no cap is needed.
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import saved, small
+from .common import forget, saved, small
 from .components import components
 
 PERCENT = 80
@@ -45,6 +48,9 @@ COUNTER_BITS = 21
 _BLOCK = 1 << 14
 #: Leaders of a token and size class.
 LEADERS = 6
+#: Centres of a group, and rounds of choosing them.
+CENTRES = 6
+ROUNDS = 1
 #: So many partial tables are added up by one task at a time.
 FAN_IN = 64
 
@@ -163,6 +169,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("common").cast("long") >= percent * (F.col("sizes") - F.col("common")).cast("long")).select("a", "b").distinct()
 
 
+def _centre_pairs(placed: DataFrame, shared: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets with the centres of their group that are in another part, at most ``CENTRES`` for each set. A set's weight as a centre is how many sets of its group have its prefix tokens, by its size."""
+    part_of = placed.groupBy("group", "part").agg(F.count("*").alias("sets"))
+    most = part_of.groupBy("group").agg(F.count("*").alias("parts")).filter("parts > 1").select("group")
+    rest = placed.join(most, "group")
+    held = saved(shared.select("token", "fp").join(rest, "fp"), "centre-tokens")
+    popular = held.groupBy("group", "token").agg(F.count("*").alias("m"))
+    weight = held.join(popular, ["group", "token"]).groupBy("group", "fp", "part", "n").agg((F.sum("m") / F.col("n")).alias("w"))
+    slot = F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(CENTRES))
+    centres = weight.groupBy("group", slot.alias("slot")).agg(F.max_by(F.struct("fp", "part", "n"), F.struct("w", "fp")).alias("c"))
+    pairs = rest.join(centres.select("group", "c"), "group").filter(
+        (F.col("part") != F.col("c.part")) & (percent * F.col("n") <= 100 * F.col("c.n")) & (percent * F.col("c.n") <= 100 * F.col("n")))
+    pairs = saved(pairs.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct(), "centre-pairs")
+    forget(held)
+    return pairs
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT,
                     k: int = WORDS, bits: int = COUNTER_BITS) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (least id of the class) and
@@ -176,6 +199,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     named = docs.filter("id is not null").select("text")
     prefixes = named.mapInArrow(_prefixes(k, bits, percent, ranks), "token long, fp long, n int, pos int")
+    # one layout by token: what several sets have, and those rows, without a further exchange
+    prefixes = prefixes.repartition("token")
     common = prefixes.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("token")
     shared = saved(prefixes.join(common, "token").distinct(), "shared-tokens")
 
@@ -186,7 +211,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # groups: sets linked with leaders of their tokens, sizes within a quarter; a token has the first set by each of
     # LEADERS orders as a leader, so that members far from one leader are near another
-    leaders = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
+    leaders = shared.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))).repartition("token")
     lead = leaders.groupBy("token", "size").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.array_distinct(F.array(*[
         F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(LEADERS)])).alias("leaders"))
     led = leaders.join(lead.filter("lo <> hi").select("token", "size", "leaders"), ["token", "size"])
@@ -197,18 +222,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = sets_for(by_leader.select(F.explode(F.array("a", "b")).alias("fp")))
     links = saved(_verified(by_leader.select("a", "b"), sets, percent), "leader-links")
     # parts are linked already; a group gathers the parts around its leaders, linked or not
-    parts = components(links).withColumnRenamed("component", "part")
+    forget(sets)
     groups = components(links.union(by_leader.filter("close").select("a", "b"))).withColumnRenamed("component", "group")
-    placed = shared.select("fp", "n").distinct().join(parts.withColumnRenamed("node", "fp"), "fp", "left").join(
-        groups.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = saved(placed.select("fp", "n", F.coalesce("part", "fp").alias("part"), F.coalesce("group", "fp").alias("group")), "placed")
+    grouped = saved(shared.select("fp", "n").distinct().join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "n", F.coalesce("group", "fp").alias("group")), "grouped")
+    forget(by_leader)
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        parts = components(links).select(F.col("node").alias("fp"), F.col("component").alias("part"))
+        return saved(grouped.join(parts, "fp", "left").select("fp", "n", F.coalesce("part", "fp").alias("part"), "group"), "placed")
+    placed = placed_by(links)
+    for turn in range(ROUNDS):
+        pairs = _centre_pairs(placed, shared, percent, turn)
+        if pairs.isEmpty():
+            break
+        sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("fp")))
+        more = saved(_verified(pairs, sets, percent), "centre-links")
+        forget(sets, pairs)
+        if more.isEmpty():
+            break
+        links = saved(links.union(more), "links")
+        forget(placed)
+        placed = placed_by(links)
     part_of = placed.groupBy("group", "part").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
 
     # the token-group matrix, for tokens that several groups have
-    member = shared.join(placed.select("fp", "group"), "fp")
-    apart = member.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
     sizes = placed.groupBy("group").agg(F.count("*").alias("sets"))
-    member = saved(member.join(apart, "token").join(sizes, "group"), "members")
+    member = shared.join(placed.join(sizes, "group").select("fp", "group", "sets"), "fp").repartition("token")
+    apart = member.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
+    member = saved(member.join(apart, "token"), "members").repartition("token")
     matrix = member.groupBy("token", "group", "sets").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("place"))
 
@@ -225,17 +267,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # candidates (set, part): parts of other groups that opened, and the other parts of the set's own group
     across = probes.join(part_of, "group").filter(fits(F.col("n"), F.col("least"), F.col("most"))).select("fp", "n", "part", "sets")
-    own, other = placed.join(part_of.select("part", F.col("sets").alias("own")), "part").alias("q"), part_of.alias("m")
-    within = own.join(other, F.col("q.group") == F.col("m.group")).filter(
-        (F.struct(F.col("q.own").alias("s"), F.col("q.part").alias("p")) < F.struct(F.col("m.sets").alias("s"), F.col("m.part").alias("p")))
-        & fits(F.col("q.n"), F.col("m.least"), F.col("m.most"))).select("q.fp", "q.n", F.col("m.part").alias("part"), "m.sets")
-    heads = saved(shared.join(within.select("fp").union(within.filter("sets = 1").select("part")).distinct(), "fp").groupBy("fp").agg(
-        F.collect_list("token").alias("head"), F.first("n").alias("m")), "heads")       # bounded by a set's own prefix
-    alone = within.filter("sets = 1").join(heads.select("fp", "head"), "fp").join(
-        heads.select(F.col("fp").alias("part"), F.col("head").alias("head2"), "m"), "part").filter(
-        F.size(F.array_intersect("head", "head2")) >= F.least(_reach(F.col("n")), _reach(F.col("m")))).select("fp", "n", "part", "sets")
-    probes = saved(across.union(alone).union(within.filter("sets > 1")).distinct(), "probes")
+    # inside a group by shared prefix tokens too: each set with the parts, other than its own, that have them
+    many = part_of.groupBy("group").agg(F.count("*").alias("parts")).filter("parts > 1").select("group")
+    inner = shared.join(placed.join(many, "group").join(part_of.select("part", F.col("sets").alias("own"), "least", "most"), "part"), "fp").select(
+        "token", shared["fp"], shared["n"], "pos", "group", "part", "own", "least", "most").repartition("token")
+    union = inner.groupBy("token", "group", "part", "own").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("pos").alias("place"))
+    q, m = inner.alias("q"), union.alias("m")
+    # a pair that links fits by the places of its first shared token; rows that do not fit never leave the join. In a family
+    # of copies the tokens of a copy's own edits come first, which rules it out against all that it resembles too little
+    place = ((100 + percent) * F.least(F.col("q.n") - F.col("q.pos"), F.col("m.most") - F.col("m.place"))
+             >= percent * (F.col("q.n") + F.col("m.least")))
+    within = q.join(m, (F.col("q.token") == F.col("m.token")) & (F.col("q.group") == F.col("m.group"))
+                    & (F.struct("q.own", "q.part") < F.struct("m.own", "m.part")) & fits(F.col("q.n"), F.col("m.least"), F.col("m.most")) & place
+                    ).select("q.fp", "q.n", F.col("m.part").alias("part"), F.col("m.own").alias("sets")).distinct()
+    probes = saved(across.union(within).distinct(), "probes")
     sets = sets_for(probes.select("fp").union(placed.join(probes.select("part").distinct(), "part").select("fp")))
+    forget(shared, grouped)
 
     # the whole union bounds the overlap with parts of several sets
     wide = probes.filter("sets > 1")
@@ -254,6 +301,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = components(links).withColumnRenamed("node", "fp")
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     classes = saved(classes.join(degree, "fp"), "classes")
+    forget(probes, sets)
     marked = rows.join(small(classes), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     first = marked.filter("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("first"))
     own = F.col("id").isNull() | (F.col("n") == 0)
