@@ -39,9 +39,13 @@ BROADCAST_GRAMS = 200_000
 
 
 def ngram_counts(df: DataFrame, text: str, lang: str, n_min: int = 1, n_max: int = 3) -> DataFrame:
-    """(lang, gram, n): n-gram frequencies per language."""
-    g = X.explode_rows(df, X.char_wb_ngrams(text, n_min, n_max), "gram", lang)
-    return g.groupBy(lang, "gram").agg(F.count("*").alias("n"))
+    """(lang, gram, n): n-gram frequencies per language. An n-gram lies inside one word, so the words of a language are counted
+    first and each distinct one is cut once."""
+    words = X.explode_rows(df, X.split_ws(X.py_strip(F.lower(text))), "_vm_word", lang).filter("_vm_word <> ''")
+    counted = words.groupBy(lang, "_vm_word").agg(F.count("*").alias("_vm_n"))
+    padded = F.concat(F.lit(" "), F.col("_vm_word"), F.lit(" "))
+    g = X.explode_rows(counted, X.padded_ngrams(padded, n_min, n_max), "gram", lang, "_vm_n")
+    return g.groupBy(lang, "gram").agg(F.sum("_vm_n").alias("n"))
 
 
 def fit_langid(df: DataFrame, text: str = "text", lang: str = "lang", n_min: int = 1, n_max: int = 3) -> LangIdModel:
