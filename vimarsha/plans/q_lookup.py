@@ -213,17 +213,18 @@ def q_score_neutral_override(spark, sf):
 
 
 # --------------------------------------------------------------------------- R1 with lookup tables
-LANDED_FILES = 4
+#: Micro-batches, each of a file a core.
+LANDED_BATCHES = 4
 
 
 @register("analyze_stream_lookups", f"""
 WITH a AS ({ANALYZE_OPEN_SQL}) SELECT * FROM a""")
 def q_analyze_stream_lookups(spark, sf):
-    """The documents arrive in files, each a micro-batch; every micro-batch is analyzed with the published words and
+    """The documents arrive in files, one a core in each micro-batch; every micro-batch is analyzed with the published words and
     memories and all of them together equal the batch."""
     import uuid
 
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, spread
     from ..streaming.lookups import Lookups, analyze_stream_with
     from ..streaming.stream import DOCUMENT_SCHEMA, read_stream
     name = f"lookups-{uuid.uuid4().hex[:10]}"
@@ -232,7 +233,8 @@ def q_analyze_stream_lookups(spark, sf):
     lookups.publish("words", model_words(spark, sf))
     lookups.publish_memories(memories(spark, sf))
     arrivals = table(spark, sf, "documents").select(*DOCUMENT_SCHEMA.fieldNames())
-    arrivals.repartition(LANDED_FILES, "doc_id").write.parquet(f"{root}/landed")
-    sdf = in_open_words(read_stream(spark, f"{root}/landed", max_files_per_trigger=1))
+    cores = spark.sparkContext.defaultParallelism
+    spread(arrivals).repartition(LANDED_BATCHES * cores, "doc_id").write.parquet(f"{root}/landed")
+    sdf = in_open_words(read_stream(spark, f"{root}/landed", max_files_per_trigger=cores))
     out = analyze_stream_with(sdf, lookups, "text", "doc_id", name, scheme=True, details=True)
     return spark.read.parquet(f"{out}/rows").drop("batch")
