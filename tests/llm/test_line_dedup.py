@@ -98,3 +98,12 @@ def test_against_brute_force_with_edge_cases(spark):
 
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_is_split_once_not_for_each_line_that_stays(spark):
+    lines = [f"line number {i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines[::2])), (2, "\n".join(lines)), (3, "\n\n" + lines[0]), (4, None)], "doc_id long, text string")
+    out = L.dedup_lines(docs)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
+    assert got == {1: ("\n".join(lines[::2]), 1500, 0), 2: ("\n".join(lines[1::2]), 3000, 1500), 3: ("\n", 1, 1), 4: (None, 0, 0)}
+    assert "get(split(" not in out._jdf.queryExecution().optimizedPlan().toString()
