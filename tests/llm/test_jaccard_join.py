@@ -2,7 +2,7 @@ import random
 import re
 
 from vimarsha.llm.components import components
-from vimarsha.llm.jaccard_join import drop_near_copies, jaccard_classes
+from vimarsha.llm.jaccard_join import drop_near_copies, jaccard_classes, of_several_sets
 
 
 def shingle_set(text, k=5):
@@ -81,3 +81,11 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 150)} | {300: 300, 301: 300}
     assert got == want
+
+
+def test_prefix_tokens_are_exchanged_once(spark):
+    rows = [(1, 10, 5, 0), (1, 11, 5, 0), (1, 11, 5, 0), (2, 10, 5, 1), (2, 10, 5, 1), (3, 12, 7, 2), (4, 12, 7, 3), (4, 10, 5, 2)]
+    out = of_several_sets(spark.createDataFrame(rows, "token long, fp long, n int, pos int"))
+    assert sorted(map(tuple, out.collect())) == sorted({r for r in rows if r[0] in (1, 4)})
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
