@@ -89,3 +89,36 @@ def test_prefix_tokens_are_exchanged_once(spark):
     assert sorted(map(tuple, out.collect())) == sorted({r for r in rows if r[0] in (1, 4)})
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tokens_of_one_document_with_two_texts_are_dropped(spark):
+    rows = [(1, 10, 5, 0, 3), (1, 11, 9, 0, 3), (2, 10, 5, 1, 3), (2, 12, 5, 1, 4), (3, 10, 5, 2, 3), (3, 10, 5, 2, 6), (4, 13, 7, 0, 13), (4, 14, 7, 0, 14)]
+    out = of_several_sets(spark.createDataFrame(rows, "token long, fp long, n int, pos int, owner long"))
+    assert sorted(map(tuple, out.collect())) == sorted(x[:4] for x in rows if x[0] in (2, 4))
+
+
+def test_second_texts_of_documents_equal_brute_force(spark):
+    for seed in (5,):
+        r = random.Random(seed)
+        docs = [(i, t) for i, t in corpus(seed, n_bases=6, copies=10) if t]
+        also, kept = [], []
+        for i, t in docs:
+            w = t.split()
+            if r.random() < .6 and len(w) > 12:         # what is left of it: most of it, or another document's words
+                also.append((i, t))
+                cut = r.choice([1, 3, len(w) // 2, len(w) - 6])
+                w = w[cut:] if r.random() < .7 else r.choice(docs)[1].split()
+            kept.append((i, " ".join(w)))
+        more = [kept[20], (kept[15][0], kept[9][1]), (None, kept[10][1]), (kept[-1][0], None)]
+        rows, second = kept + more, also + [also[2], (also[4][0], also[7][1]), (None, also[5][1]), (10 ** 6, also[6][1])]
+        sets = [(i, s) for i, s in ((i, shingle_set(t)) for i, t in rows + second if i is not None) if s]
+        low = [i for i, _ in sets]
+        near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a][1] & sets[b][1]) >= 80 * len(sets[a][1] | sets[b][1])]
+        for _ in sets:
+            for a, b in near:
+                low[a] = low[b] = min(low[a], low[b])
+        gone = {i for (i, _), c in zip(sets, low) if c < i}
+        assert 5 < len(gone) < len(docs)
+        left, further = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (rows, second))
+        got = [tuple(x) for x in drop_near_copies(left, also=further).collect()]
+        assert sorted(got, key=str) == sorted([x for x in rows if x[0] not in gone], key=str)
