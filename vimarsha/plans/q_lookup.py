@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import batches as B
 from ..functions import text as X
 from ..operators.pipeline import analyze
 from ..operators.score import BatchModelScorer, DistinctScorer, NeutralScorer
@@ -39,17 +40,13 @@ OPEN_SQL = f"""(SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN {_map_sql(_pick(_NA
 
 
 def in_open_words(df):
-    words = X.split_ws(X.py_strip("text"))
-
-    def pick(entries, w):
-        return F.get(F.array(*[F.lit(e) for e in entries]), F.length(w) % len(entries))
-
-    def each(f):
-        return F.array_join(F.transform(words, f), " ")
     k = F.col("doc_id")
-    text = (F.when(k % 4 == 1, each(lambda w: pick(_NATIVE, w))).when(k % 20 == 2, each(lambda w: pick(_ROMAN, w)))
-            .when(k % 4 == 2, each(lambda w, i: F.when(i % 2 == 0, pick(_ROMAN, w)).otherwise(w)))
-            .when(k % 20 == 3, F.concat(F.lit("kammi "), F.col("text"))).when(k % 20 == 7, each(lambda w: F.lit("hubli"))).otherwise(F.col("text")))
+
+    def words(where, entries, every=1):
+        return B.by_length(F.when(where, F.col("text")), entries, every)
+    native, roman, turns, model = k % 4 == 1, k % 20 == 2, (k % 4 == 2) & (k % 20 != 2), k % 20 == 7
+    text = (F.when(native, words(native, _NATIVE)).when(roman, words(roman, _ROMAN)).when(turns, words(turns, _ROMAN, 2))
+            .when(k % 20 == 3, F.concat(F.lit("kammi "), F.col("text"))).when(model, words(model, ["hubli"])).otherwise(F.col("text")))
     return df.select("doc_id", text.alias("text"))
 
 
@@ -79,7 +76,7 @@ def model_words(spark, sf):
 
 
 def memories(spark, sf):
-    segs = open_texts(spark, sf).filter("doc_id % 4 = 1").select("doc_id", segments_of("text").alias("segs"))
+    segs = in_open_words(docs(spark, sf).filter("doc_id % 4 = 1")).select("doc_id", segments_of("text").alias("segs"))
 
     def named(name, s):
         return s.select(F.col("s").alias("source_text"), F.concat(F.lit(name + " "), F.length("s").cast("string")).alias("translated_text"))
