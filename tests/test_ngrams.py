@@ -1,6 +1,7 @@
 """Vectors made from words inside the tasks equal those of the model's Spark ML stages."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,39 @@ def test_margins_of_rows_without_entries():
     w = np.array([[1.0, 2.0, 4.0, 0.5]])
     got = margins(np.array([0, 0, 2, 2, 3, 3]), np.array([0, 2, 1]), np.array([1.0, 1.0, 3.0]), w)
     assert got[:, 0].tolist() == [0.5, 5.5, 0.5, 6.5, 0.5]
+
+
+def test_few_codes_and_few_counts_at_a_time(spark, monkeypatch):
+    texts = ["ab abc \U0001f600x", "\U0001f600x\x00 ab", "", "q\U00020000q ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    want = G.vocabulary(df, "t", 1.0, 1000)
+    assert want[2] == 4 and dict(zip(want[0], want[1]))[" ab"] == 3 and dict(zip(want[0], want[1]))["x\x00 "] == 1
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]
+    for codes, known, size in ((8, 1 << 20, 1), (3, 1 << 20, 1), (0xFFFF, 3, 1), (0xFFFF, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(G, "CODES", codes)
+        monkeypatch.setattr(G, "KNOWN", known)
+        monkeypatch.setattr(G, "CHUNK_BYTES", size)
+        got = {}
+        for b in G._count(batches):
+            for r in b.to_pylist():
+                n, df_ = got.get(r["gram"], (0, 0))
+                got[r["gram"]] = n + r["n"], df_ + r["df"]
+        assert got.pop(None) == (4, 4) and {g: v[1] for g, v in got.items()} == dict(zip(want[0], want[1]))
+        cutter = G.Cutter(want[0])
+        assert [sorted(cutter.cut([w])[0].tolist()) for w in ("ab", "zab", "")] == [
+            sorted(want[0].index(g) for g in G.windows(w) if w and g in want[0]) for w in ("ab", "zab", "")]
+
+
+def test_linear_models_score_texts_as_their_vectors(spark):
+    df = spark.createDataFrame([(i, t, float(i % 2)) for i, t in enumerate(TEXTS)], "k int, t string, y double")
+    feats = ML.fit_tfidf(df, "t")
+    models = ML.fit_text_classifiers(["linear_svm", "naive_bayes", "logistic_regression"], df, "t", F.col("y"), feats, 2)
+    vectors = ML.tfidf_features(df.withColumn("label_idx", F.col("y")), feats, "t")
+    for name, model in zip(("linear_svm", "naive_bayes", "logistic_regression"), models):
+        alone = ML.fit_classifier(name, vectors, 2)
+        if name != "naive_bayes":
+            assert np.allclose(alone.weights, model.weights, atol=1e-3)
+            got = {r.k: r.margins for r in ML.TextModel(feats, model).transform(df, "t").collect()}
+            assert all(np.allclose(r.margins, got[r.k], rtol=1e-12) for r in model.transform(vectors).collect()) and len(got) == len(TEXTS)
+        want = {r.k: r.prediction for r in model.transform(vectors).collect()}
+        assert {r.k: r.prediction for r in ML.TextModel(feats, model).transform(df, "t").collect()} == want
